@@ -2,9 +2,8 @@
 
 ``docs`` arguments are DataFrames with at least ``doc_id`` (long) and ``text``
 (string); every other column is carried or ignored, never interpreted. Where an
-operator visits the texts twice and matches rows by number (``numbered``), the
-input must be a stored table or a checkpoint, whose scan gives the same rows in
-the same order when a lost executor's task runs again.
+operator visits the texts twice, it matches rows by their place in the stored
+files (``numbered``), which no retry changes.
 """
 
 from __future__ import annotations
@@ -12,10 +11,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 #: Rows of a scan that form one batch: the unit that messages go to and come from.
 BATCH_BITS = 9
@@ -46,31 +47,31 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns with ``rid`` (a number for each row) and ``batch`` (for each
-    run of at most 2**BATCH_BITS rows of a scan task)."""
-    rows = docs.select(*[docs[c] for c in columns]).withColumn("rid", F.monotonically_increasing_id())
-    return rows.withColumn("batch", F.shiftright("rid", BATCH_BITS))
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__rid``, a name for each row, and ``__batch``, one for each run of at
+    most 2**BATCH_BITS rows of a file. Both come from the row's place in its Parquet file,
+    so every scan, split and retry gives the same ones; other inputs are written first."""
+    place = lambda bits: F.concat_ws(":", F.xxhash64("_metadata.file_path"), F.shiftright("_metadata.row_index", bits))
+    try:
+        return docs.withColumns({"__rid": place(0), "__batch": place(BATCH_BITS)})
+    except AnalysisException:
+        return cut(docs).withColumns({"__rid": place(0), "__batch": place(BATCH_BITS)})
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: str = "batch") -> Iterator[tuple[int, pa.Table]]:
+def runs(batches: Iterator[pa.RecordBatch], key: str = "__batch") -> Iterator[tuple[str, pa.Table]]:
     """Cut a stream of Arrow batches where ``key`` changes."""
     held: list[pa.RecordBatch] = []
     now = None
     for b in batches:
-        if not b.num_rows:
-            continue
-        keys = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
         start = 0
-        while start < len(keys):
-            k = keys[start]
-            end = start + int((keys[start:] == k).sum()) if keys[-1] != k else len(keys)
-            if now is not None and k != now:
+        for k, own in groupby(b.column(b.schema.get_field_index(key)).to_pylist()):
+            n = sum(1 for _ in own)
+            if held and k != now:
                 yield now, pa.Table.from_batches(held)
                 held = []
-            now = int(k)
-            held.append(b.slice(start, end - start))
-            start = end
+            now = k
+            held.append(b.slice(start, n))
+            start += n
     if held:
         yield now, pa.Table.from_batches(held)
 

@@ -15,5 +15,23 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op6_mix_sources,)}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_report
+
+    return quality_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_report
+
+    return dedup_report(documents(spark, sf_dir))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_report
+
+    return simhash_report(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_mix_sources, op7_line_dedup, op9_simhash)}
 SQL: dict[str, str] = {}
