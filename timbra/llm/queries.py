@@ -33,5 +33,25 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_mix_sources, op7_line_dedup, op9_simhash)}
-SQL: dict[str, str] = {}
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encoded
+
+    return encoded(documents(spark, sf_dir), digests=True)
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_bpe, op6_mix_sources, op7_line_dedup, op8_top_k, op9_simhash)}
+SQL: dict[str, str] = {
+    "op8_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
