@@ -57,7 +57,13 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op4_brown_lm, op5_bpe, op6_mix_sources, op7_line_dedup, op8_top_k, op9_simhash)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import repeat_report
+
+    return repeat_report(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op4_brown_lm, op5_bpe, op6_mix_sources, op7_line_dedup, op8_top_k, op9_simhash, op10_suffix_dedup)}
 SQL: dict[str, str] = {
     "op8_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
