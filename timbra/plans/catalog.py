@@ -1,6 +1,570 @@
-"""Registered queries and their SQL."""
+"""Registered queries and, where SQL can say the same, their DuckDB text."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import dims
+from ..functions import exprs as X
+from ..functions import text as T
+from ..operators import metrics as M
+from ..operators import privacy as P
+from ..operators import reports as R
+from ..operators import scoring as S
+from ..operators import speaker as V
+from ..operators import windows as W
+from . import proxies as Q
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+PROFILES_SQL = "p(profile, elevated, high, critical) AS (VALUES " + ", ".join(f"('{n}', {e}::DOUBLE, {h}::DOUBLE, {c}::DOUBLE)" for n, e, h, c, _ in dims.PROFILES) + ")"
+EVENT_PROFILE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in Q.PROFILE_OF_EVENT.items()) + " END"
+BAND = "CASE WHEN {s} >= coalesce(critical, 80) THEN 'CRITICAL' WHEN {s} >= coalesce(high, 60) THEN 'HIGH' WHEN {s} >= coalesce(elevated, 35) THEN 'ELEVATED' ELSE 'LOW' END"
+
+
+def _event_profile(w: DataFrame) -> DataFrame:
+    return w.withColumn("profile", F.create_map(*[F.lit(x) for kv in Q.PROFILE_OF_EVENT.items() for x in kv])[F.col("event_type")])
+
+
+@query(f"WITH {Q.WINDOWS}, {PROFILES_SQL} SELECT event_id, {BAND.format(s='score')} AS band FROM w LEFT JOIN p ON p.profile = {EVENT_PROFILE}")
+def risk_bands(spark, d):
+    return S.banded(_event_profile(Q.windows(spark, d)), dims.profiles(spark), "score").select("event_id", "band")
+
+
+@query(f"WITH {Q.REQUESTS}, {Q.SHIFT} SELECT request_id, round(shift, 6) AS shift FROM sh")
+def context_shift(spark, d):
+    r = Q.requests(spark, d)
+    s = X.threshold_shift(F.col("amount"), F.col("prior_fraud_reports"), F.col("known_contact"), F.col("caller_id_verified"), F.col("local_hour"))
+    return r.select("request_id", r6(s, "shift"))
+
+
+@query(f"WITH {Q.REQUESTS}, {Q.SHIFT}, {PROFILES_SQL} SELECT request_id, profile, " + ", ".join(f"round(greatest(0.0, {t} - shift), 6) AS {t}" for t in ("elevated", "high", "critical")) + " FROM sh JOIN p USING (profile)")
+def effective_thresholds(spark, d):
+    r = Q.requests(spark, d)
+    s = X.threshold_shift(F.col("amount"), F.col("prior_fraud_reports"), F.col("known_contact"), F.col("caller_id_verified"), F.col("local_hour"))
+    j = r.withColumn("shift", s).join(F.broadcast(dims.profiles(spark)), "profile")
+    return j.select("request_id", "profile", *[r6(X.lowered(F.col(t), F.col("shift")), t) for t in ("elevated", "high", "critical")])
+
+
+def _fused(spark, d) -> DataFrame:
+    return Q.layered(Q.windows(spark, d)).withColumn("fusion", S.fuse(F.col("layers")))
+
+
+@query(f"WITH {Q.WINDOWS}, {Q.LAYERS} SELECT session_id, window_index, round(probability, 6) AS probability, round(confidence, 6) AS confidence, voters FROM fused")
+def fusion_scores(spark, d):
+    return _fused(spark, d).select("session_id", "window_index", r6(F.col("fusion.probability"), "probability"), r6(F.col("fusion.confidence"), "confidence"), F.size("fusion.shares").cast("long").alias("voters"))
+
+
+@query(f"WITH {Q.WINDOWS}, {Q.LAYERS} SELECT session_id, window_index, layer, round(power / sum(power) OVER (PARTITION BY session_id, window_index), 6) AS share FROM v WHERE power > 1e-9")
+def layer_contributions(spark, d):
+    return _fused(spark, d).select("session_id", "window_index", F.inline("fusion.shares")).select("session_id", "window_index", "layer", r6(F.col("share"), "share"))
+
+
+@query(f"WITH {Q.WINDOWS}, {Q.LAYERS} SELECT session_id, window_index, layer, round(score, 4) AS score, CASE WHEN power > 1e-9 THEN 'voted' ELSE 'abstained' END AS status FROM v WHERE layer IN ('speaker', 'context')")
+def layer_status(spark, d):
+    rows = _fused(spark, d).select("session_id", "window_index", F.inline(S.layer_summary(F.col("layers"), F.col("fusion.shares"))))
+    return rows.filter(F.col("layer").isin("speaker", "context")).select("session_id", "window_index", "layer", "score", "status")
+
+
+@query(f"""WITH {Q.WINDOWS}, {Q.LAYERS}, c AS (SELECT *, row_number() OVER (PARTITION BY session_id, window_index ORDER BY confidence * (1 - score) DESC, layer) AS n FROM v WHERE confidence > 0.2 AND score < 0.35)
+  SELECT session_id, window_index, layer || '_genuine' AS code, round(confidence * (1 - score), 6) AS contribution FROM c WHERE n <= 2""")
+def counter_evidence(spark, d):
+    rows = Q.layered(Q.windows(spark, d)).select("session_id", "window_index", F.inline(S.counter_evidence(F.col("layers"))))
+    return rows.select("session_id", "window_index", "code", r6(F.col("contribution"), "contribution"))
+
+
+RULE_ROWS = f"""{Q.EVIDENCE}, {Q.rules_sql()}, ev AS (SELECT f.window_id, layer, f.feature, f.value, weight, {Q.RAMP.format(v='f.value', a='low', b='high')} * weight AS contribution
+    FROM feat f JOIN rules USING (feature) LEFT JOIN feat n ON n.window_id = f.window_id AND n.feature = need WHERE f.value IS NOT NULL AND (need IS NULL OR abs(coalesce(n.value, 0)) > 1e-9))"""
+
+
+@query(f"""WITH {RULE_ROWS}, whole AS (SELECT layer, sum(weight) AS all_weight FROM rules GROUP BY layer), g AS (SELECT window_id, layer, sum(contribution) / sum(weight) AS e, sum(weight) AS total, count(*) AS n FROM ev GROUP BY ALL)
+  SELECT window_id, layer, round(1 / (1 + exp(-(CASE layer WHEN 'acoustic' THEN -1.05 + 3.4 * (2 * e - 0.5) ELSE -1.2 + 3.0 * (2 * e - 0.5) END))), 6) AS score, round(least(1.0, 0.35 + 0.65 * total / all_weight), 6) AS confidence, n AS features_used FROM g JOIN whole USING (layer)""")
+def rule_scores(spark, d):
+    rules = dims.rules(spark)
+    out = S.rule_scores(S.rule_evidence(Q.features(spark, d), rules, ["window_id"]), rules, ["window_id"])
+    return out.select("window_id", "layer", r6(F.col("score"), "score"), r6(F.col("confidence"), "confidence"), F.col("features_used").cast("long").alias("features_used"))
+
+
+@query(f"""WITH {RULE_ROWS}, t AS (SELECT *, sum(weight) OVER (PARTITION BY window_id, layer) AS total FROM ev), k AS (SELECT window_id, feature AS code, max(contribution / total * CASE layer WHEN 'acoustic' THEN 0.45 ELSE 0.28 END) AS scaled FROM t GROUP BY ALL),
+  n AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY scaled DESC, code) AS rank FROM k) SELECT window_id, code, rank, round(CASE WHEN s > 1e-9 THEN scaled / s ELSE scaled END, 6) AS contribution FROM (SELECT *, sum(scaled) OVER (PARTITION BY window_id) AS s FROM n WHERE rank <= 6)""")
+def rule_factors_topk(spark, d):
+    rules = dims.rules(spark)
+    scored = S.rule_scores(S.rule_evidence(Q.features(spark, d), rules, ["window_id"]), rules, ["window_id"])
+    rows = scored.select("window_id", "layer", F.inline("factors")).withColumn("confidence", F.lit(1.0)).withColumn("share", X.lookup(F.col("layer"), dims.FUSION_WEIGHTS, 0.0))
+    return S.merged_factors(rows, ["window_id"]).select("window_id", "code", F.col("rank").cast("long").alias("rank"), r6(F.col("contribution"), "contribution"))
+
+
+@query(f"""WITH {Q.REQUESTS}, g AS (SELECT request_id, [
+    CASE WHEN caller_id_verified IS FALSE THEN {{'s': 1.0::DOUBLE, 'w': 1.2::DOUBLE}} WHEN caller_id_verified THEN {{'s': 0.0::DOUBLE, 'w': 0.6::DOUBLE}} END, CASE WHEN known_contact IS FALSE THEN {{'s': 0.85::DOUBLE, 'w': 1.0::DOUBLE}} WHEN known_contact THEN {{'s': 0.0::DOUBLE, 'w': 0.5::DOUBLE}} END,
+    CASE WHEN first_contact THEN {{'s': 0.6::DOUBLE, 'w': 0.5::DOUBLE}} END, CASE WHEN prior_fraud_reports > 0 THEN {{'s': {Q.ramp_sql('prior_fraud_reports', 0.0, 3.0)}, 'w': 1.4::DOUBLE}} END,
+    CASE WHEN origin <> '' THEN {{'s': (CASE lower(origin) WHEN 'international' THEN 0.7 WHEN 'voip' THEN 0.45 WHEN 'pstn' THEN 0.05 ELSE 0.25 END)::DOUBLE, 'w': 0.7::DOUBLE}} END, CASE WHEN amount > 0 THEN {{'s': {Q.ramp_sql('amount', 1e5, 5e6)}, 'w': 0.9::DOUBLE}} END,
+    CASE WHEN local_hour IS NOT NULL THEN {{'s': (CASE WHEN local_hour < 7 OR local_hour >= 21 THEN 0.55 ELSE 0 END)::DOUBLE, 'w': 0.5::DOUBLE}} END, CASE WHEN claimed_role = 'Managing Director' THEN {{'s': 0.6::DOUBLE, 'w': 0.7::DOUBLE}} END,
+    CASE WHEN transcript IS NOT NULL THEN {{'s': {Q.ramp_sql("CASE WHEN transcript LIKE 'please%' THEN 2 ELSE 0 END", 0.0, 3.0)}, 'w': 1.1::DOUBLE}} END, CASE WHEN account_age_days < 30 THEN {{'s': 0.5::DOUBLE, 'w': 0.4::DOUBLE}} END] AS x FROM r),
+  u AS (SELECT request_id, unnest(list_filter(x, lambda i: i IS NOT NULL)) AS y FROM g), t AS (SELECT request_id, sum(y.s * y.w) / sum(y.w) AS e, sum(y.w) AS total, count(*) AS n FROM u GROUP BY request_id)
+  SELECT request_id, n AS signals, round(1 / (1 + exp(1.4 - 3.2 * e)), 6) AS score, round(0.3 + 0.5 * least(1.0, total / 5), 6) AS confidence FROM t""")
+def context_layer(spark, d):
+    r = Q.requests(spark, d).withColumn("transaction_amount", F.col("amount")).withColumn("claimed_identity", F.lit(""))
+    rows = r.withColumn("signals", S.context_signals(F.col)).withColumn("c", S.context_score(F.col("signals")))
+    return rows.select("request_id", F.size("signals").cast("long").alias("signals"), r6(F.col("c.score"), "score"), r6(F.col("c.confidence"), "confidence"))
+
+
+@query(f"WITH RECURSIVE {Q.WINDOWS}, {Q.smoother('w')} SELECT session_id, window_index, round(smoothed, 6) AS smoothed FROM s")
+def smoothed_scores(spark, d):
+    return S.smoothed(Q.windows(spark, d), "session_id", "window_index", "score").select("session_id", "window_index", r6(F.col("smoothed"), "smoothed"))
+
+
+@query(f"""WITH RECURSIVE {Q.WINDOWS}, {Q.smoother('w')} SELECT session_id, window_index, window_index < 3 AS provisional, round(max(smoothed) OVER o, 6) AS peak, max(score) OVER (PARTITION BY session_id ORDER BY window_index ROWS 7 PRECEDING) AS recent_peak
+  FROM s WINDOW o AS (PARTITION BY session_id ORDER BY window_index)""")
+def session_trail(spark, d):
+    rows = S.trail(S.smoothed(Q.windows(spark, d), "session_id", "window_index", "score"), "session_id", "window_index")
+    return rows.select("session_id", "window_index", "provisional", r6(F.col("peak"), "peak"), "recent_peak")
+
+
+def _judged(spark, d) -> DataFrame:
+    """fuse, round, smooth, band: what a live call shows."""
+    fused = _fused(spark, d).select("session_id", "window_index", S.score_100(F.col("fusion.probability")).alias("score"))
+    rows = S.trail(S.smoothed(fused, "session_id", "window_index", "score"), "session_id", "window_index")
+    return S.banded(rows.withColumn("profile", F.lit("wire_transfer")), dims.profiles(spark))
+
+
+JUDGED = f"""{Q.WINDOWS}, {Q.LAYERS}, q AS (SELECT session_id, window_index, round_even(probability * 100, 1) AS score FROM fused), {Q.smoother('q')},
+  j AS (SELECT session_id, window_index, score, smoothed, window_index < 3 AS provisional, CASE WHEN smoothed >= 65 THEN 'CRITICAL' WHEN smoothed >= 45 THEN 'HIGH' WHEN smoothed >= 25 THEN 'ELEVATED' ELSE 'LOW' END AS band FROM s)"""
+
+
+@query(f"""WITH RECURSIVE {JUDGED}, g AS (SELECT session_id, count(*) AS windows_analyzed, (max(window_index) * 8000 + 16000) / 16000 AS duration_seconds, max_by(smoothed, window_index) AS final, max_by(band, window_index) AS band, max(smoothed) AS peak, avg(smoothed) AS mean,
+    count(*) FILTER (band = 'LOW') AS n_low, count(*) FILTER (band = 'ELEVATED') AS n_elevated, count(*) FILTER (band = 'HIGH') AS n_high, count(*) FILTER (band = 'CRITICAL') AS n_critical FROM j GROUP BY session_id)
+  SELECT session_id, windows_analyzed, duration_seconds, round(final, 6) AS final_score, band, round(peak, 6) AS peak_score, round(mean, 6) AS mean_score, n_low, n_elevated, n_high, n_critical,
+    CASE WHEN duration_seconds < 2 THEN 'insufficient_audio' WHEN peak >= 80 THEN 'likely_synthetic' WHEN peak >= 60 THEN 'suspicious' WHEN peak >= 35 THEN 'inconclusive' ELSE 'likely_genuine' END AS verdict FROM g""")
+def session_report(spark, d):
+    out = R.session_report(_judged(spark, d))
+    return out.withColumns({c: F.round(c, 6) for c in ("final_score", "peak_score", "mean_score")})
+
+
+@query(f"WITH RECURSIVE {JUDGED} SELECT session_id, band, count(*) AS n FROM j GROUP BY ALL")
+def band_histogram(spark, d):
+    return R.band_histogram(_judged(spark, d))
+
+
+BAND_RANK = "CASE band WHEN 'CRITICAL' THEN 3 WHEN 'HIGH' THEN 2 WHEN 'ELEVATED' THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH RECURSIVE {JUDGED}, c AS (SELECT j.session_id, j.window_index, {BAND_RANK} AS rank, epoch_us(ts) AS t, row_number() OVER (PARTITION BY j.session_id ORDER BY j.window_index) AS i
+    FROM j JOIN w ON w.session_id = j.session_id AND w.window_index = j.window_index WHERE NOT provisional AND {BAND_RANK} >= 2),
+  a AS (SELECT session_id, i, window_index, rank AS top, t AS last, true AS fires FROM c WHERE i = 1
+    UNION ALL SELECT c.session_id, c.i, c.window_index, CASE WHEN c.rank > a.top AND c.t - a.last >= 10000000 THEN c.rank ELSE a.top END, CASE WHEN c.rank > a.top AND c.t - a.last >= 10000000 THEN c.t ELSE a.last END, c.rank > a.top AND c.t - a.last >= 10000000
+    FROM a JOIN c ON c.session_id = a.session_id AND c.i = a.i + 1)
+  SELECT session_id, window_index, ['LOW', 'ELEVATED', 'HIGH', 'CRITICAL'][top + 1] AS band FROM a WHERE fires""")
+def alerts_emitted(spark, d):
+    ts = Q.windows(spark, d).select("session_id", "window_index", "ts")
+    return R.alerts(_judged(spark, d).join(ts, ["session_id", "window_index"]))
+
+
+def _reports(spark, d) -> DataFrame:
+    """Reports with an open flag and a latency, for fleet figures."""
+    return R.session_report(_judged(spark, d)).withColumn("open", F.col("session_id") % 3 != 0).withColumn("mean_latency", F.col("windows_analyzed") * 1.5)
+
+
+REPORTS = f"{JUDGED}, g AS (SELECT session_id, session_id % 3 <> 0 AS open, count(*) AS windows_analyzed, count(*) * 1.5 AS mean_latency, max_by(smoothed, window_index) AS final_score, max_by(band, window_index) AS band FROM j GROUP BY session_id)"
+
+
+@query(f"WITH RECURSIVE {REPORTS} SELECT count(*) FILTER (open) AS active, count(*) FILTER (NOT open) AS closed, CAST(sum(windows_analyzed) AS BIGINT) AS windows, round(avg(mean_latency), 6) AS mean_latency_ms, count(*) FILTER (final_score >= 60) AS at_risk FROM g")
+def fleet_stats(spark, d):
+    return R.fleet_stats(_reports(spark, d)).withColumn("mean_latency_ms", F.round("mean_latency_ms", 6))
+
+
+@query(f"WITH RECURSIVE {REPORTS} SELECT session_id, open, band, round(final_score, 6) AS final_score FROM g ORDER BY CASE WHEN open THEN 0 ELSE 1 END, {BAND_RANK} DESC, g.final_score DESC, session_id LIMIT 40")
+def dashboard_top(spark, d):
+    rows = _reports(spark, d)
+    return rows.orderBy(*R.dashboard_order(rows), "session_id").limit(40).select("session_id", "open", "band", r6(F.col("final_score"), "final_score"))
+
+
+SIX = f"{RULE_ROWS}, six AS (SELECT window_id % 100 AS session_id, feature AS code, contribution FROM ev WHERE contribution > 0.01)"
+
+
+@query(f"""WITH {SIX}, g AS (SELECT session_id, code, count(*) AS n, avg(contribution) AS m FROM six GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, round(m, 9) DESC, code) AS rank FROM g)
+  SELECT session_id, rank, code, n AS count, round(m, 6) AS mean_contribution FROM k WHERE rank <= 8""")
+def report_top_factors(spark, d):
+    ev = S.rule_evidence(Q.features(spark, d), dims.rules(spark), ["window_id"]).filter("contribution > 0.01").select((F.col("window_id") % 100).alias("session_id"), F.col("feature").alias("code"), "contribution")
+    rows = R.report_factors(ev, "session_id").select("session_id", F.inline("top_factors"))
+    return rows.select("session_id", F.col("rank").cast("long").alias("rank"), "code", "count", r6(F.col("mean_contribution"), "mean_contribution"))
+
+
+@query(f"WITH {SIX} SELECT code, count(*) AS n FROM six GROUP BY code")
+def factor_frequency(spark, d):
+    ev = S.rule_evidence(Q.features(spark, d), dims.rules(spark), ["window_id"]).filter("contribution > 0.01")
+    return R.factor_frequency(ev.withColumnRenamed("feature", "code"))
+
+
+@query(f"""WITH {Q.REQUESTS}, {PROFILES_SQL}, se AS (SELECT user_id AS session_id, floor(max(value) * 2) / 10 AS score, count(*) AS windows, count(*) / 25 AS audio FROM events WHERE user_id % 10 <> 7 GROUP BY user_id),
+  k AS (SELECT r.*, coalesce(se.score, 0) AS risk, se.session_id IS NULL AS missing, windows < 3 OR audio < 3 AS thin, elevated, high, critical, amount >= 1000000 AS big FROM r LEFT JOIN se USING (session_id) JOIN p USING (profile))
+  SELECT request_id, CASE WHEN missing THEN 'not_found' WHEN risk >= critical THEN 'block' WHEN risk >= high THEN CASE WHEN big THEN 'block' ELSE 'step_up' END WHEN risk >= elevated OR thin OR big THEN 'step_up' ELSE 'allow' END AS decision,
+    CASE WHEN missing THEN '' WHEN risk >= critical THEN 'supervisor_escalation,callback_on_registered_number' WHEN risk >= high THEN 'callback_on_registered_number,second_factor' WHEN risk >= elevated OR thin THEN 'knowledge_based_question,second_factor' WHEN big THEN 'second_factor' ELSE '' END AS verification FROM k""")
+def approval_gate(spark, d):
+    e = Q.table(spark, d, "events").filter("user_id % 10 <> 7").groupBy(F.col("user_id").alias("session_id")).agg((F.floor(F.max("value") * 2) / 10).alias("score"), F.count("*").alias("windows_analyzed"), (F.count("*") / 25).alias("audio_seconds"))
+    out = R.approvals(Q.requests(spark, d), e, dims.profiles(spark))
+    return out.select("request_id", "decision", F.array_join("required_verification", ",").alias("verification"))
+
+
+CALLS = "calls AS (SELECT conv_id, sum(n_chars) AS n_samples FROM (SELECT conv_id, length(text) * 97 AS n_chars FROM conversations) GROUP BY conv_id)"
+
+
+def _calls(spark, d) -> DataFrame:
+    return Q.table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text") * 97).alias("n_samples"))
+
+
+@query(f"""WITH {CALLS}, k AS (SELECT *, CASE WHEN n_samples >= 16000 THEN (n_samples - 16000) // 8000 + 1 ELSE 0 END AS n FROM calls), x AS (SELECT *, unnest(generate_series(0, CAST(n AS BIGINT))) AS i FROM k)
+  SELECT conv_id, CAST(i AS BIGINT) AS window_index, i * 8000 / 16000 AS start_s, CASE WHEN i = n THEN CAST(n_samples AS BIGINT) ELSE i * 8000 + 16000 END / 16000 AS end_s, i = n AS is_tail FROM x WHERE i < n OR n_samples - n * 8000 >= 6400""")
+def window_spans(spark, d):
+    return W.window_spans(_calls(spark, d)).select("conv_id", F.col("window_index").cast("long").alias("window_index"), "start_s", "end_s", "is_tail")
+
+
+@query(f"""WITH {Q.WINDOWS}, g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY ts, event_id) > 86400000000 THEN 1 ELSE 0 END AS new FROM w), s AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS part FROM g)
+  SELECT session_id, CAST(part AS BIGINT) AS part, count(*) AS n, max(window_index) AS last_window FROM s GROUP BY ALL""")
+def idle_sessions(spark, d):
+    return W.idle_split(Q.windows(spark, d), "session_id", "ts", "event_id", 86400).groupBy("session_id", "part").agg(F.count("*").alias("n"), F.max("window_index").alias("last_window"))
+
+
+FLAGGED = f"{Q.WINDOWS}, fl AS (SELECT session_id, window_index, value >= 40 AS speech FROM w)"
+
+
+def _flagged(spark, d) -> DataFrame:
+    return Q.windows(spark, d).select("session_id", "window_index", (F.col("value") >= 40).alias("speech"))
+
+
+@query(f"""WITH {FLAGGED}, g AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY window_index) - row_number() OVER (PARTITION BY session_id, speech ORDER BY window_index) AS run FROM fl)
+  SELECT session_id, speech, min(window_index) AS first, max(window_index) AS last, count(*) AS n FROM g GROUP BY session_id, speech, run""")
+def speech_runs(spark, d):
+    return W.runs(_flagged(spark, d), ["session_id"], "window_index", "speech")
+
+
+@query(f"""WITH {FLAGGED}, g AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY window_index) - row_number() OVER (PARTITION BY session_id, speech ORDER BY window_index) AS run FROM fl)
+  SELECT session_id, min(window_index) * 160 / 16000 AS start_s, (max(window_index) * 160 + 320) / 16000 AS end_s, count(*) AS n FROM g WHERE speech GROUP BY session_id, run""")
+def speech_segments(spark, d):
+    return W.speech_segments(_flagged(spark, d), ["session_id"], "window_index", "speech", 320, 160)
+
+
+@query(f"""WITH {FLAGGED}, g AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY window_index) - row_number() OVER (PARTITION BY session_id, speech ORDER BY window_index) AS run, min(window_index) FILTER (speech) OVER (PARTITION BY session_id) AS a, max(window_index) FILTER (speech) OVER (PARTITION BY session_id) AS b FROM fl),
+  h AS (SELECT *, count(*) OVER (PARTITION BY session_id, speech, run) AS n FROM g), i AS (SELECT session_id, window_index, speech OR coalesce(window_index > a AND window_index < b AND n < 3, false) AS filled FROM h),
+  k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY window_index) - row_number() OVER (PARTITION BY session_id, filled ORDER BY window_index) AS run FROM i)
+  SELECT session_id, window_index, filled AND count(*) OVER (PARTITION BY session_id, filled, run) >= 4 AS smooth FROM k""")
+def mask_smooth(spark, d):
+    return W.smooth_mask(_flagged(spark, d), ["session_id"], "window_index", "speech", 4, 3).select("session_id", "window_index", "smooth")
+
+
+@query(f"""WITH {Q.WINDOWS}, x AS (SELECT *, first(value) OVER o AS a, last(value) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS b, lead(value) OVER o AS n1, lead(value, 2) OVER o AS n2, lag(value) OVER o AS p1, lag(value, 2) OVER o AS p2 FROM w WINDOW o AS (PARTITION BY session_id ORDER BY window_index))
+  SELECT session_id, window_index, round((coalesce(n1, b) - coalesce(p1, a) + 2 * (coalesce(n2, b) - coalesce(p2, a))) / 10, 6) AS delta FROM x""")
+def delta_features(spark, d):
+    return W.deltas(Q.windows(spark, d), ["session_id"], "window_index", "value").select("session_id", "window_index", r6(F.col("delta"), "delta"))
+
+
+@query(f"WITH {Q.WINDOWS} SELECT session_id, window_index, round(sum(value) OVER (PARTITION BY session_id ORDER BY window_index ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS smooth FROM w")
+def moving_average(spark, d):
+    return W.moving_average(Q.windows(spark, d), ["session_id"], "window_index", "value", 5).select("session_id", "window_index", r6(F.col("smooth"), "smooth"))
+
+
+@query(f"""WITH {Q.WINDOWS}, x AS (SELECT *, abs(value - lag(value) OVER o) AS step, CASE WHEN lag(value) OVER o IS NOT NULL AND lead(value) OVER o IS NOT NULL THEN abs(value - (lag(value) OVER o + value + lead(value) OVER o) / 3) END AS off FROM w WINDOW o AS (PARTITION BY session_id ORDER BY window_index))
+  SELECT session_id, round(avg(step) / avg(value), 6) AS local, round(avg(off) / avg(value), 6) AS residual FROM x GROUP BY session_id""")
+def perturbation(spark, d):
+    return W.perturbation(Q.windows(spark, d), ["session_id"], "window_index", "value").select("session_id", r6(F.col("local"), "local"), r6(F.col("residual"), "residual"))
+
+
+@query(f"""WITH {Q.WINDOWS}, c AS (SELECT *, value - avg(value) OVER (PARTITION BY session_id) AS c FROM w), x AS (SELECT *, abs(value - lag(value) OVER o) AS d1, abs(value - 2 * lag(value) OVER o + lag(value, 2) OVER o) AS d2, c * lag(c) OVER o AS p FROM c WINDOW o AS (PARTITION BY session_id ORDER BY window_index))
+  SELECT session_id, round(avg(d1), 6) AS first_diff, round(avg(d2), 6) AS second_diff, round(sum(p) / sum(c * c), 6) AS lag1_autocorr FROM x GROUP BY session_id""")
+def envelope_smoothness(spark, d):
+    out = W.envelope_smoothness(Q.windows(spark, d), ["session_id"], "window_index", "value")
+    return out.select("session_id", *[r6(F.col(c), c) for c in ("first_diff", "second_diff", "lag1_autocorr")])
+
+
+@query(f"""WITH {Q.VECTORS} SELECT vec_id, round(sqrt(list_sum(list_transform(vector, lambda x: x * x)) / len(vector) + 1e-12), 6) AS rms, round(list_max(list_transform(vector, lambda x: abs(x))), 6) AS peak,
+    round(list_sum(list_transform(list_zip(vector[1:len(vector) - 1], vector[2:]), lambda p: CASE WHEN sign(p[1]) * sign(p[2]) < 0 THEN 1.0 ELSE 0.0 END)) / (len(vector) - 1), 6) AS zcr, round(greatest(-120, 20 * log10(sqrt(list_sum(list_transform(vector, lambda x: x * x)) / len(vector) + 1e-12))), 6) AS level_db FROM e""")
+def frame_stats(spark, d):
+    v = F.col("vector")
+    return Q.vectors(spark, d).select("vec_id", r6(X.rms(v), "rms"), r6(F.array_max(F.transform(v, F.abs)), "peak"), r6(X.zero_crossing_rate(v), "zcr"), r6(X.decibel(X.rms(v)), "level_db"))
+
+
+@query(f"""WITH {Q.VECTORS}, x AS (SELECT identity, unnest(vector) AS v FROM e) SELECT identity, round(avg(CASE WHEN abs(v) > 0.985 THEN 1.0 ELSE 0.0 END), 6) AS clipping_ratio, round(abs(avg(v)), 6) AS dc_offset, round(max(abs(v)) / sqrt(avg(v * v)), 6) AS crest_factor,
+    round(count(DISTINCT round(v * 32768)) / (max(round(v * 32768)) - min(round(v * 32768)) + 1), 6) AS code_use FROM x GROUP BY identity""")
+def signal_hygiene(spark, d):
+    rows = Q.vectors(spark, d).select("identity", F.explode("vector").alias("v"))
+    return W.signal_hygiene(rows, ["identity"], "v").select("identity", *[r6(F.col(c), c) for c in ("clipping_ratio", "dc_offset", "crest_factor", "code_use")])
+
+
+@query(f"WITH {Q.WINDOWS} SELECT session_id, round(median(-value), 6) AS silence_median_db, round(stddev_pop(-value), 6) AS silence_std_db, round(max(-value) - min(-value), 6) AS silence_range_db, round(avg(CASE WHEN -value < -85 THEN 1.0 ELSE 0.0 END), 6) AS clean_fraction FROM w WHERE value < 120 GROUP BY session_id")
+def silence_features(spark, d):
+    rows = Q.windows(spark, d).filter("value < 120").withColumn("db", -F.col("value"))
+    return W.silence_features(rows, ["session_id"], "db").select("session_id", *[r6(F.col(c), c) for c in ("silence_median_db", "silence_std_db", "silence_range_db", "clean_fraction")])
+
+
+EDGES = (0, 300, 1000, 2000, 4000, 6000, 8000)
+
+
+@query(f"""WITH {Q.VECTORS}, t AS (SELECT vec_id, unnest(vector) AS x, generate_subscripts(vector, 1) - 1 AS t FROM e), b AS (SELECT unnest(generate_series(0, 32)) AS bin), s AS (SELECT vec_id, bin, sum(x * cos(bin * t * 2 * pi() / 64)) AS re, sum(x * sin(bin * t * 2 * pi() / 64)) AS im FROM t CROSS JOIN b GROUP BY ALL),
+  p AS (SELECT vec_id, bin * 250 AS hz, re * re + im * im AS p FROM s) SELECT vec_id, """ + ", ".join(f"round(sum(CASE WHEN hz >= {a} AND hz < {b} THEN p ELSE 0 END) / sum(p), 6) AS band_{a}_{b}" for a, b in zip(EDGES[:-1], EDGES[1:], strict=True)) + " FROM p GROUP BY vec_id")
+def dft_band_energy(spark, d):
+    out = W.band_energy(Q.vectors(spark, d), ["vec_id"], "vector", 64, 16000, EDGES)
+    return out.select("vec_id", *[r6(F.col(c), c) for c in out.columns if c != "vec_id"])
+
+
+@query(f"WITH {Q.VECTORS}, {Q.CENTROIDS} SELECT identity, samples, generate_subscripts(centroid, 1) - 1 AS position, round(unnest(centroid), 6) AS value FROM c")
+def enrol_centroid(spark, d):
+    return V.centroids(Q.vectors(spark, d)).select("identity", "samples", F.posexplode("centroid").alias("position", "value")).select("identity", "samples", F.col("position").cast("long").alias("position"), r6(F.col("value"), "value"))
+
+
+SPREADS = f"{Q.VECTORS}, {Q.CENTROIDS}, sp AS (SELECT c.identity, any_value(centroid) AS centroid, any_value(samples) AS samples, avg(1 - list_cosine_similarity(vector, centroid)) AS spread FROM e JOIN c USING (identity) GROUP BY c.identity)"
+
+
+@query(f"WITH {SPREADS} SELECT identity, samples, round(spread, 6) AS spread FROM sp")
+def enrol_spread(spark, d):
+    v = Q.vectors(spark, d)
+    return V.spreads(v, V.centroids(v)).select("identity", "samples", r6(F.col("spread"), "spread"))
+
+
+@query(f"WITH {SPREADS}, x AS (SELECT vec_id, vector, (identity + vec_id % 3) AS claimed FROM e) SELECT vec_id, round(1 - list_cosine_similarity(vector, centroid), 6) AS distance, round((1 - list_cosine_similarity(vector, centroid)) / greatest(spread, 8e-4), 6) AS z FROM x LEFT JOIN sp ON sp.identity = claimed")
+def enrol_compare(spark, d):
+    v = Q.vectors(spark, d)
+    claims = v.withColumn("identity", F.col("identity") + (F.col("vec_id") % 3).cast("int"))
+    return V.compare(claims, V.spreads(v, V.centroids(v))).select("vec_id", r6(F.col("distance"), "distance"), r6(F.col("z"), "z"))
+
+
+@query(f"""WITH {Q.VECTORS}, n AS (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY vec_id) AS i FROM e)
+  SELECT a.vec_id, round(max(1 - list_cosine_similarity(a.vector, b.vector)), 6) AS drift, count(b.vec_id) AS seen FROM n a LEFT JOIN n b ON b.identity = a.identity AND b.i BETWEEN a.i - 12 AND a.i - 1 GROUP BY a.vec_id""")
+def drift_last_twelve(spark, d):
+    return V.drift(Q.vectors(spark, d), "identity", "vec_id").select("vec_id", r6(F.col("drift"), "drift"), F.col("seen").cast("long").alias("seen"))
+
+
+@query(f"WITH {Q.MARKS}, r AS (SELECT *, rank() OVER (PARTITION BY language ORDER BY score) + (count(*) OVER (PARTITION BY language, score) - 1) / 2 AS k FROM m), g AS (SELECT language, sum(y) AS p, count(*) - sum(y) AS n, sum(k) FILTER (y = 1) AS u FROM r GROUP BY language) SELECT language, round(CASE WHEN p > 0 AND n > 0 THEN (u - p * (p + 1) / 2) / p / n ELSE 0.5 END, 6) AS auc FROM g")
+def auc_by_group(spark, d):
+    return M.auc(Q.marks(spark, d), ["language"]).select("language", r6(F.col("auc"), "auc"))
+
+
+ROC = f"{Q.MARKS}, c AS (SELECT score, sum(y) AS p, count(*) - sum(y) AS n FROM m GROUP BY score), ro AS (SELECT score AS threshold, sum(n) OVER (ORDER BY score DESC) / (SELECT sum(n) FROM c) AS fpr, sum(p) OVER (ORDER BY score DESC) / (SELECT sum(p) FROM c) AS tpr FROM c UNION ALL SELECT NULL, 0, 0)"
+
+
+@query(f"WITH {ROC} SELECT round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM ro")
+def roc_points(spark, d):
+    return M.roc(Q.marks(spark, d)).select(*[r6(F.col(c), c) for c in ("threshold", "fpr", "tpr")])
+
+
+@query(f"""WITH {ROC}, s AS (SELECT *, fpr - 1 + tpr AS d, coalesce(threshold, 'inf'::DOUBLE) AS t FROM ro), o AS (SELECT *, lead(d) OVER w AS nd, lead(fpr) OVER w AS nf, lead(t) OVER w AS nt FROM s WINDOW w AS (ORDER BY t DESC)), x AS (SELECT * FROM o WHERE d < 0 AND nd >= 0)
+  SELECT round(fpr + (-d / (nd - d)) * (nf - fpr), 6) AS eer, round(CASE WHEN isinf(t) THEN nt ELSE t + (-d / (nd - d)) * (nt - t) END, 6) AS eer_threshold FROM x""")
+def equal_error_rate(spark, d):
+    return M.eer(M.roc(Q.marks(spark, d))).select(r6(F.col("eer"), "eer"), r6(F.col("eer_threshold"), "eer_threshold"))
+
+
+@query(f"""WITH {Q.MARKS}, c AS (SELECT language, count(*) FILTER (score >= 0.5 AND y = 1) AS tp, count(*) FILTER (score < 0.5 AND y = 0) AS tn, count(*) FILTER (score >= 0.5 AND y = 0) AS fp, count(*) FILTER (score < 0.5 AND y = 1) AS fn FROM m GROUP BY language), p AS (SELECT *, tp / greatest(tp + fp, 1) AS pr, tp / greatest(tp + fn, 1) AS re FROM c)
+  SELECT language, tp, tn, fp, fn, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(pr, 6) AS precision, round(re, 6) AS recall, round(2 * pr * re / greatest(pr + re, 1e-9), 6) AS f1 FROM p""")
+def confusion(spark, d):
+    out = M.confusion(Q.marks(spark, d), ["language"])
+    return out.withColumns({c: F.round(c, 6) for c in ("accuracy", "precision", "recall", "f1")})
+
+
+@query(f"WITH {Q.MARKS} SELECT t::DOUBLE AS threshold, round(count(*) FILTER (score >= t AND y = 0) / greatest(count(*) FILTER (y = 0), 1), 6) AS fpr, round(count(*) FILTER (score >= t AND y = 1) / greatest(count(*) FILTER (y = 1), 1), 6) AS tpr FROM m, (VALUES (0.35), (0.5), (0.6), (0.8)) v(t) GROUP BY t")
+def threshold_rates(spark, d):
+    return M.threshold_rates(Q.marks(spark, d)).select("threshold", r6(F.col("fpr"), "fpr"), r6(F.col("tpr"), "tpr"))
+
+
+@query(f"WITH {Q.MARKS} SELECT CASE WHEN y = 0 THEN 'bonafide' ELSE method END AS method, count(*) AS n, round(avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS flag_rate, round(avg(score), 6) AS mean_score FROM m GROUP BY 1")
+def method_breakdown(spark, d):
+    return M.method_breakdown(Q.marks(spark, d)).select("method", "n", r6(F.col("flag_rate"), "flag_rate"), r6(F.col("mean_score"), "mean_score"))
+
+
+@query(f"WITH {Q.WINDOWS} SELECT session_id, round(quantile_cont(score, 0.75), 6) AS score FROM w GROUP BY session_id")
+def utterance_quantile(spark, d):
+    rows = Q.windows(spark, d).withColumn("y", F.lit(0)).withColumn("method", F.lit(""))
+    return M.utterance_scores(rows, "session_id").select("session_id", r6(F.col("score"), "score"))
+
+
+LEAK = "x AS (SELECT l_quantity, l_extendedprice, l_discount, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS y, CASE WHEN l_linestatus = 'O' THEN 40 ELSE 0 END + l_quantity AS planted, 7.0::DOUBLE AS flat FROM lineitem)"
+
+
+@query(f"""WITH {LEAK}, u AS (SELECT y, 'l_quantity' AS feature, l_quantity::DOUBLE AS v FROM x UNION ALL SELECT y, 'l_extendedprice', l_extendedprice FROM x UNION ALL SELECT y, 'l_discount', l_discount FROM x UNION ALL SELECT y, 'planted', planted::DOUBLE FROM x UNION ALL SELECT y, 'flat', flat FROM x),
+  r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2 AS k FROM u), g AS (SELECT feature, sum(y)::DOUBLE AS p, (count(*) - sum(y))::DOUBLE AS n, sum(k) FILTER (y = 1) AS s, stddev_pop(v) AS sd, avg(v) FILTER (y = 0) AS a, avg(v) FILTER (y = 1) AS b FROM r GROUP BY feature),
+  q AS (SELECT *, (s - p * (p + 1) / 2) / p / n AS auc FROM g WHERE sd >= 1e-12) SELECT feature, round(greatest(auc, 1 - auc), 6) AS auc, CASE WHEN auc > 0.5 THEN 'higher_in_spoof' ELSE 'higher_in_genuine' END AS direction, round(a, 4) AS genuine_mean, round(b, 4) AS spoof_mean FROM q WHERE greatest(auc, 1 - auc) >= 0.9""")
+def leakage_flags(spark, d):
+    y = F.when(F.col("l_linestatus") == "O", 1).otherwise(0)
+    rows = Q.table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", y.alias("y"), (y * 40 + F.col("l_quantity")).alias("planted"), F.lit(7.0).alias("flat"))
+    out = M.leakage(rows, ["l_quantity", "l_extendedprice", "l_discount", "planted", "flat"])
+    return out.select("feature", r6(F.col("auc"), "auc"), "direction", F.round("genuine_mean", 4).alias("genuine_mean"), F.round("spoof_mean", 4).alias("spoof_mean"))
+
+
+@query(f"""WITH {Q.EVIDENCE}, {Q.rules_sql()}, y AS (SELECT feature, value, CASE WHEN window_id % 3 = 0 THEN 1 ELSE 0 END AS y FROM feat WHERE value IS NOT NULL), q AS (SELECT feature, quantile_cont(value, [0.25, 0.02, 0.75, 0.98]) AS q, count(*) AS samples FROM y WHERE y = 0 GROUP BY feature),
+  k AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS k FROM y), a AS (SELECT feature, (sum(k) FILTER (y = 1) - sum(y)::DOUBLE * (sum(y) + 1) / 2) / sum(y)::DOUBLE / (count(*) - sum(y)) AS auc FROM k GROUP BY feature),
+  j AS (SELECT r.feature, low, high, weight, samples, CASE WHEN high > low THEN q[3] ELSE q[1] END AS lo, CASE WHEN high > low THEN q[4] ELSE q[2] END AS hi, CASE WHEN high > low THEN auc ELSE 1 - auc END AS o FROM rules r LEFT JOIN q USING (feature) LEFT JOIN a USING (feature))
+  SELECT feature, CASE WHEN samples IS NULL OR samples < 40 THEN 'kept defaults (too few samples)' WHEN abs(hi - lo) < 1e-9 THEN 'kept defaults (no spread in genuine speech)' WHEN o < 0.55 THEN 'pruned' ELSE 'refitted' END AS action,
+    round(CASE WHEN samples IS NULL OR samples < 40 OR abs(hi - lo) < 1e-9 THEN low ELSE lo END, 6) AS fitted_low, round(CASE WHEN samples IS NULL OR samples < 40 OR abs(hi - lo) < 1e-9 THEN high ELSE hi END, 6) AS fitted_high,
+    round(CASE WHEN samples IS NULL OR samples < 40 OR abs(hi - lo) < 1e-9 THEN weight WHEN o < 0.55 THEN 0 ELSE weight * least(greatest(0.6 + 1.6 * (o - 0.5), 0.6), 1.6) END, 6) AS fitted_weight, coalesce(samples, 0) AS samples FROM j""")
+def rule_anchors(spark, d):
+    values = Q.features(spark, d).select("window_id", F.explode("features").alias("feature", "value")).withColumn("y", F.when(F.col("window_id") % 3 == 0, 1).otherwise(0))
+    out = M.fitted_rules(values, dims.rules(spark))
+    return out.withColumns({c: F.round(c, 6) for c in ("fitted_low", "fitted_high", "fitted_weight")})
+
+
+@query("WITH s AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS i, count(*) OVER () AS n FROM lineitem) SELECT round(median(v), 6) AS p50, round(max(v) FILTER (i = CAST(floor(n * 0.95::DOUBLE) AS BIGINT)), 6) AS p95, round(max(v) FILTER (i = CAST(floor(n * 0.99::DOUBLE) AS BIGINT)), 6) AS p99, round(avg(v), 4) AS mean, max(v) AS max FROM s")
+def latency_percentiles(spark, d):
+    out = M.latency_percentiles(Q.table(spark, d, "lineitem"), "l_extendedprice")
+    return out.select(r6(F.col("p50"), "p50"), r6(F.col("p95"), "p95"), r6(F.col("p99"), "p99"), F.round("mean", 4).alias("mean"), "max")
+
+
+@query()
+def platt_calibration(spark, d):
+    rows = Q.marks(spark, d).filter("quality is not null").withColumn("y", 1 - F.col("quality"))
+    a, b = M.platt(rows)
+    return rows.select("doc_id", r6(M.calibrated(F.col("score"), a, b), "calibrated"))
+
+
+TRANSCRIPT = "replace(replace(text, ' the ', ' urgent '), ' of ', ' share the code ')"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, lower({TRANSCRIPT}) AS t FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(t, '\\burgent(?:ly)?\\b') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(t, '\\bshare (?:the )?code\\b') THEN 1 ELSE 0 END AS hits FROM t""")
+def urgency_hits(spark, d):
+    return Q.table(spark, d, "conversations").select("conv_id", "turn", F.size(T.urgency_hits(F.expr(TRANSCRIPT))).alias("hits"))
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\b\d[\d\s-]{3,}\b', '[number]', 'g'), '\b[\w.+-]+@[\w-]+\.[\w.]+\b', '[email]', 'g')) AS redacted FROM documents WHERE NOT regexp_matches(text, '[^\x01-\x7F]')""")
+def redact_text(spark, d):
+    rows = Q.table(spark, d, "documents").filter(~F.col("text").rlike(r"[^\x01-\x7F]"))
+    return rows.select("doc_id", F.md5(T.redact(F.col("text"), unicode=False)).alias("redacted"))
+
+
+@query("SELECT c_custkey, 'h:' || substr(sha256('pepper:' || c_name), 1, 16) AS hashed, CASE WHEN length(regexp_replace(c_name, '[^0-9]', '', 'g')) < 4 THEN '***' ELSE repeat('*', length(regexp_replace(c_name, '[^0-9]', '', 'g')) - 4) || right(regexp_replace(c_name, '[^0-9]', '', 'g'), 4) END AS masked FROM customer")
+def hash_and_mask(spark, d):
+    return Q.table(spark, d, "customer").select("c_custkey", T.hash_identifier(F.col("c_name"), "pepper").alias("hashed"), T.mask_number(F.col("c_name")).alias("masked"))
+
+
+@query("SELECT c_custkey, 'h:' || substr(sha256('pepper:' || c_name), 1, 16) AS customer_id, c_mktsegment AS segment FROM customer")
+def anonymized_context(spark, d):
+    m = T.anonymize_map(F.create_map(F.lit("customer_id"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment")), "pepper")
+    return Q.table(spark, d, "customer").select("c_custkey", m["customer_id"].alias("customer_id"), m["segment"].alias("segment"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS again FROM events")
+def json_round_trip(spark, d):
+    v = T.loads(F.col("props"), "struct<k:int>")
+    return Q.table(spark, d, "events").select("event_id", v["k"].alias("k"), T.dumps(v).alias("again"))
+
+
+def _stored(spark, d) -> DataFrame:
+    e = Q.table(spark, d, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return e.select("event_id", F.col("user_id").alias("session_id"), at.alias("created_at"), F.when(F.col("event_type") != "view", F.col("props")).alias("features"), F.when(F.col("user_id") % 3 == 0, at).alias("closed_at"), "value")
+
+
+NOW, TTL, RAW_TTL = 1706659200.0, 864000.0, 21600.0
+STORED = "st AS (SELECT event_id, user_id AS session_id, epoch_us(ts) / 1e6 AS created_at, CASE WHEN event_type <> 'view' THEN props END AS features, CASE WHEN user_id % 3 = 0 THEN epoch_us(ts) / 1e6 END AS closed_at, value FROM events)"
+
+
+@query(f"WITH {STORED} SELECT event_id, CASE WHEN created_at >= {NOW - min(TTL, max(4 * RAW_TTL, 3600))} THEN features END AS features FROM st WHERE created_at >= {NOW - TTL}")
+def retention_sweep(spark, d):
+    s = _stored(spark, d)
+    return P.swept(s, s, s, NOW, TTL, RAW_TTL)[0].select("event_id", "features")
+
+
+@query(f"WITH {STORED} SELECT count(*) FILTER (created_at < {NOW - TTL}) AS assessments, count(*) FILTER (features IS NOT NULL AND created_at >= {NOW - TTL} AND created_at < {NOW - min(TTL, max(4 * RAW_TTL, 3600))}) AS feature_blobs FROM st")
+def retention_counts(spark, d):
+    return P.sweep_counts(_stored(spark, d), NOW, TTL, RAW_TTL)
+
+
+@query(f"WITH {STORED} SELECT event_id FROM st WHERE created_at >= {NOW - TTL} OR closed_at IS NULL")
+def open_sessions_stay(spark, d):
+    s = _stored(spark, d)
+    return P.swept(s, s, s, NOW, TTL, RAW_TTL)[2].select("event_id")
+
+
+@query("SELECT 'assessments' AS \"table\", count(*) AS rows FROM events WHERE user_id IN (SELECT user_id FROM events WHERE value > 300) UNION ALL SELECT 'alerts', count(*) FROM events WHERE value > 60 AND user_id IN (SELECT user_id FROM events WHERE value > 300)")
+def erasure_counts(spark, d):
+    s = _stored(spark, d)
+    return P.erasure_counts({"assessments": s, "alerts": s.filter("value > 60")}, s.filter("value > 300").select("session_id").distinct(), "session_id")
+
+
+@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 300)")
+def purged_sessions(spark, d):
+    s = _stored(spark, d)
+    return P.purged(s, s.filter("value > 300").select("session_id").distinct(), "session_id").select("event_id")
+
+
+@query("SELECT lang, source, count(*) AS n, count(DISTINCT n_chars) AS lengths, grouping(lang) AS no_lang, grouping(source) AS no_source FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
+def corpus_summary(spark, d):
+    from ..sources.corpus import summary
+
+    return summary(Q.table(spark, d, "documents"), "lang", "source", "n_chars")
+
+
+@query()
+def speaker_split(spark, d):
+    rows = Q.table(spark, d, "documents").select("doc_id", F.col("source").alias("speaker"))
+    return M.split_by_speaker(rows).groupBy("speaker", "is_test").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {Q.MARKS} SELECT 'train' AS side, method, y, count(*) AS n FROM m WHERE method <> 'src1' GROUP BY ALL UNION ALL SELECT 'test', method, y, count(*) FROM m WHERE method = 'src1' OR y = 0 GROUP BY ALL")
+def holdout_split(spark, d):
+    train, test = M.holdout_method(Q.marks(spark, d), "src1")
+    count = lambda df, side: df.groupBy("method", "y").agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "method", "y", "n")
+    return count(train, "train").unionByName(count(test, "test"))
+
+
+@query("SELECT event_id, user_id, value FROM events ORDER BY ts DESC, event_id LIMIT 50")
+def recent_events(spark, d):
+    return R.recent(Q.table(spark, d, "events"), "ts", 50, "event_id").select("event_id", "user_id", "value")
+
+
+LATEST = "la AS (SELECT user_id AS session_id, max(ts) AS last_activity, max_by(value, ts) AS score FROM events GROUP BY user_id)"
+
+
+@query(f"WITH {LATEST} SELECT session_id, score FROM la ORDER BY CASE WHEN session_id % 3 <> 0 THEN 0 ELSE 1 END, last_activity DESC, session_id LIMIT 120")
+def live_then_closed(spark, d):
+    e = Q.table(spark, d, "events").withColumnRenamed("user_id", "session_id").withColumnRenamed("ts", "last_activity")
+    rows = R.latest(e.select("session_id", "last_activity", F.col("value").alias("score")), "session_id", "last_activity")
+    return R.live_then_closed(rows.filter("session_id % 3 <> 0"), rows.filter("session_id % 3 = 0"), "last_activity", 120, "session_id").select("session_id", "score")
+
+
+@query("WITH li AS (SELECT user_id AS session_id, max(value) AS score FROM events WHERE event_type = 'error' GROUP BY user_id), st AS (SELECT c_custkey AS session_id, c_acctbal AS score FROM customer) SELECT coalesce(li.session_id, st.session_id) AS session_id, coalesce(li.score, st.score) AS score FROM li FULL JOIN st ON li.session_id = st.session_id")
+def live_or_stored(spark, d):
+    live = Q.table(spark, d, "events").filter("event_type = 'error'").groupBy(F.col("user_id").alias("session_id")).agg(F.max("value").alias("score"))
+    stored = Q.table(spark, d, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_acctbal").alias("score"))
+    return R.live_or_stored(live, stored, "session_id")
+
+
+@query("SELECT 'events' AS \"table\", count(*) AS rows FROM events UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'customer', count(*) FROM customer")
+def table_counts(spark, d):
+    from ..sources.tables import counts
+
+    return counts({n: Q.table(spark, d, n) for n in ("events", "orders", "customer")})
+
+
+@query("SELECT c_custkey, 2595 * log10(1 + c_acctbal / 700) AS mel FROM customer WHERE c_acctbal >= 0".replace("2595 * log10(1 + c_acctbal / 700) AS mel", "round(2595 * log10(1 + c_acctbal / 700), 6) AS mel, round(c_acctbal, 4) AS hz"))
+def mel_scale(spark, d):
+    mel = X.hz_to_mel(F.col("c_acctbal"))
+    return Q.table(spark, d, "customer").filter("c_acctbal >= 0").select("c_custkey", r6(mel, "mel"), F.round(X.mel_to_hz(mel), 4).alias("hz"))
+
+
+@query(f"""WITH {Q.WINDOWS}, {Q.LAYERS}, x AS (SELECT f.session_id, f.window_index, f.confidence, w.k, w.event_type FROM fused f JOIN w ON w.session_id = f.session_id AND w.window_index = f.window_index)
+  SELECT session_id, window_index, CASE WHEN (window_index + 2) / 2 < 3 THEN 1 ELSE 0 END + CASE WHEN k / 100 < 0.35 THEN 1 ELSE 0 END + CASE WHEN event_type NOT IN ('click', 'signup') THEN 1 ELSE 0 END + CASE WHEN confidence < 0.5 THEN 1 ELSE 0 END + 1 AS caveats FROM x""")
+def caveat_counts(spark, d):
+    c = S.caveats((F.col("window_index") + 2) / 2, F.col("k") / 100, F.col("fusion.excluded"), F.col("fusion.confidence"), F.lit(True), F.lit(0.0))
+    return _fused(spark, d).select("session_id", "window_index", F.size(c).alias("caveats"))
+
+
+@query(f"WITH {RULE_ROWS}, b AS (SELECT window_id, max_by(feature, contribution) AS f, count(*) FILTER (contribution > 0.01) AS n FROM ev WHERE layer = 'acoustic' GROUP BY window_id) SELECT window_id, CAST(least(n, 4) AS INTEGER) AS shown FROM b")
+def explained_windows(spark, d):
+    ev = S.rule_evidence(Q.features(spark, d), dims.rules(spark), ["window_id"]).filter("layer = 'acoustic'")
+    rows = ev.groupBy("window_id").agg(F.collect_list(F.struct(F.col("feature").alias("code"), "label", "contribution")).alias("factors"))
+    return rows.select("window_id", F.size(S.explanation_factors(F.col("factors"))).alias("shown"))
