@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, as_bytes
 
-ENVELOPE_BYTES = 8 << 20
+ENVELOPE_BYTES = 16 << 20
 WINDOW, CUT_MASK, SHORTEST, LONGEST = 16, 127, 256, 8192
 BASE = 0x9E3779B97F4A7C15 | 1
 PIECE = 1 << 20
@@ -147,53 +147,66 @@ def codec(path: str | None = None, pattern: str | None = None) -> Codec:
     return Codec(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
 
 
-def _pack(keys: list[bytes], payloads: list[bytes], level: int) -> bytes:
+def _pack(payloads: list[bytes], level: int) -> bytes:
     import zstandard
 
     lengths = np.fromiter(map(len, payloads), "<u4", len(payloads))
-    return zstandard.ZstdCompressor(level=level).compress(b"".join([np.uint32(len(keys)).tobytes(), *keys, lengths.tobytes(), *payloads]))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join([np.uint32(len(payloads)).tobytes(), lengths.tobytes(), *payloads]))
 
 
-def _unpack(blob: bytes) -> Iterator[tuple[bytes, bytes]]:
+def _unpack(blob: bytes) -> Iterator[bytes]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, "<u4", 1)[0])
-    at = 4 + n * (DIGEST + 4)
-    for k, size in enumerate(np.frombuffer(raw, "<u4", n, 4 + n * DIGEST).tolist()):
-        yield raw[4 + k * DIGEST:4 + (k + 1) * DIGEST], raw[at:at + size]
+    at = 4 + 4 * n
+    for size in np.frombuffer(raw, "<u4", n, 4).tolist():
+        yield raw[at:at + size]
         at += size
 
 
-MAIL = "to long, envelope long, kind int, blob binary"
-CHUNKS, DOCS, IDS = 0, 1, 2
+#: ``shard`` tells which shard's chunks, or their ids in the same order, a blob holds; DOCS: the documents.
+MAIL = "to long, envelope long, shard int, blob binary"
+DOCS = -1
+
+
+def _mail(rows: list[tuple]) -> pa.RecordBatch:
+    schema = arrow_schema(MAIL)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(4)], schema=schema)
 
 
 def _send(shards: int):
-    """Documents to envelopes: distinct chunks by shard, and the list of each document's chunks."""
+    """Documents to envelopes: distinct chunks by shard, and each document's list of chunks,
+    numbered through the envelope shard by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            chunks: dict[bytes, bytes] = {}
-            rows, name = [], own[0][2]
-            for doc_id, text, _ in own:
-                start, keys = 0, []
+            place: dict[bytes, tuple[int, int]] = {}
+            parts: dict[int, list[bytes]] = {}
+            lists, name = [], own[0][2]
+            for _, text, _ in own:
+                start, refs = 0, []
                 for end in cut_places(text):
                     part = text[start:end]
-                    key = hashlib.blake2b(part, digest_size=DIGEST).digest()
-                    chunks[key] = part
-                    keys.append(key)
+                    at = place.get(part)
+                    if at is None:
+                        shard = int.from_bytes(_digest(part)[:8], "little") % shards
+                        mine = parts.setdefault(shard, [])
+                        at = place[part] = (shard, len(mine))
+                        mine.append(part)
+                    refs.append(at)
                     start = end
-                rows.append((doc_id, b"".join(keys)))
-            mail = [(name % shards, name, DOCS, pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "keys": [r[1] for r in rows]}))]
-            by_shard: dict[int, list[bytes]] = {}
-            for key in chunks:
-                by_shard.setdefault(int.from_bytes(key[:8], "little") % shards, []).append(key)
-            mail += [(s, name, CHUNKS, _pack(keys, [chunks[k] for k in keys], 6)) for s, keys in by_shard.items()]
-            return _mail([(a, b, c, _table_out(d) if c == DOCS else d) for a, b, c, d in mail])
+                lists.append(refs)
+            first, n = {}, 0
+            for shard in sorted(parts):
+                first[shard], n = n, n + len(parts[shard])
+            flat = [np.fromiter((first[s] + j for s, j in refs), "<u4", len(refs)).tobytes() for refs in lists]
+            ids = [b"" if r[0] is None else int(r[0]).to_bytes(8, "little", signed=True) for r in own]
+            mail = [(name % shards, name, DOCS, _pack(ids + flat, 3))]
+            return _mail(mail + [(s, name, s, _pack(x, 6)) for s, x in parts.items()])
 
         for b in batches:
             for row in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
@@ -208,16 +221,8 @@ def _send(shards: int):
     return run
 
 
-def _mail(rows: list[tuple]) -> pa.RecordBatch:
-    schema = arrow_schema(MAIL)
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(4)], schema=schema)
-
-
-def _table_out(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
+def _digest(part: bytes) -> bytes:
+    return hashlib.blake2b(part, digest_size=DIGEST).digest()
 
 
 def _encode(path: str | None, pattern: str | None):
@@ -227,15 +232,17 @@ def _encode(path: str | None, pattern: str | None):
         c = codec(path, pattern)
         known: dict[bytes, bytes] = {}
         for b in batches:
-            for _, envelope, kind, blob in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if kind == CHUNKS:
-                    keys = []
-                    for key, text in _unpack(blob):
-                        keys.append(key)
-                        if key not in known:
-                            known[key] = c.encode(text).tobytes()
-                    blob, kind = _pack(keys, [known[k] for k in keys], 9), IDS
-                yield _mail([(envelope, envelope, kind, blob)])
+            for _, envelope, shard, blob in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if shard != DOCS:
+                    answers = []
+                    for text in _unpack(blob):
+                        key = _digest(text)
+                        ids = known.get(key)
+                        if ids is None:
+                            ids = known[key] = c.encode(text).tobytes()
+                        answers.append(ids)
+                    blob = _pack(answers, 9)
+                yield _mail([(envelope, envelope, shard, blob)])
 
     return run
 
@@ -249,17 +256,18 @@ def _finish(path: str | None, pattern: str | None, digests: bool):
     schema = arrow_schema(REPORT if digests else IDS_OUT)
 
     def documents(rows: list[tuple[int, bytes]], c: Codec) -> Iterator[tuple]:
-        known, docs = {}, []
-        for kind, blob in rows:
-            if kind == IDS:
-                known.update(_unpack(blob))
+        known, docs = [], []
+        for shard, blob in sorted(rows, key=lambda r: r[0]):
+            if shard == DOCS:
+                docs = list(_unpack(blob))
             else:
-                docs.append(pa.ipc.open_stream(blob).read_all())
-        for table in docs:
-            for doc_id, keys in zip(table["doc_id"].to_pylist(), table["keys"].to_pylist(), strict=True):
-                ids, text = c.join([np.frombuffer(known[keys[k:k + DIGEST]], c.kind) for k in range(0, len(keys), DIGEST)])
-                wide = ids.astype("<u4").tobytes()
-                yield (doc_id, len(ids), hashlib.sha256(wide).hexdigest(), hashlib.sha256(text).hexdigest()) if digests else (doc_id, wide)
+                known += _unpack(blob)
+        n = len(docs) // 2
+        for key, refs in zip(docs[:n], docs[n:], strict=True):
+            doc_id = int.from_bytes(key, "little", signed=True) if key else None
+            ids, text = c.join([np.frombuffer(known[k], c.kind) for k in np.frombuffer(refs, "<u4").tolist()])
+            wide = ids.astype("<u4").tobytes()
+            yield (doc_id, len(ids), hashlib.sha256(wide).hexdigest(), hashlib.sha256(text).hexdigest()) if digests else (doc_id, wide)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
@@ -272,12 +280,12 @@ def _finish(path: str | None, pattern: str | None, digests: bool):
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for b in batches:
-            for envelope, kind, blob in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for envelope, shard, blob in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 if now is not None and envelope != now:
                     yield from out()
                     held = []
                 now = envelope
-                held.append((kind, blob))
+                held.append((shard, blob))
         yield from out()
 
     return run
