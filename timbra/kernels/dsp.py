@@ -1,0 +1,336 @@
+"""Signal features of many windows at once.
+
+Arrays are (windows, samples) or (windows, frames, bins): one FFT call, one filterbank
+product and one set of reductions serve a whole Arrow batch. Windows of one call must have
+one length, so callers group by length. Everything is a feature named as in the rule tables.
+"""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+import numpy as np
+
+RATE, FFT, HOP, MELS = 16000, 512, 160, 40
+TINY = 1e-12
+BANDS = ((0, 300), (300, 1000), (1000, 2000), (2000, 4000), (4000, 6000), (6000, 8000))
+
+
+def framed(x: np.ndarray, size: int, hop: int) -> np.ndarray:
+    """(windows, frames, size); short windows are filled with zeros."""
+    if x.shape[1] < size:
+        x = np.pad(x, ((0, 0), (0, size - x.shape[1])))
+    return np.lib.stride_tricks.sliding_window_view(x, size, axis=1)[:, ::hop]
+
+
+def spectra(x: np.ndarray, size: int = FFT, hop: int = HOP) -> np.ndarray:
+    return np.fft.rfft(framed(x, size, hop) * np.hanning(size), axis=2)
+
+
+def hz(bins: int, rate: int = RATE) -> np.ndarray:
+    return np.linspace(0.0, rate / 2, bins)
+
+
+@lru_cache(maxsize=8)
+def filterbank(mels: int = MELS, size: int = FFT, rate: int = RATE, low: float = 20.0) -> np.ndarray:
+    """(bins, mels) triangles of equal area between points that are even on the mel scale."""
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    p = 700 * (10 ** (np.linspace(mel(low), mel(rate / 2), mels + 2) / 2595) - 1)
+    f = hz(size // 2 + 1, rate)[:, None]
+    rise, fall = (f - p[:-2]) / (p[1:-1] - p[:-2]), (p[2:] - f) / (p[2:] - p[1:-1])
+    return np.clip(np.minimum(rise, fall), 0, None) * 2 / (p[2:] - p[:-2])
+
+
+@lru_cache(maxsize=4)
+def cosines(n: int, keep: int) -> np.ndarray:
+    """Orthonormal DCT-II as a matrix (n, keep)."""
+    k = np.arange(keep)
+    m = np.cos(np.pi * (np.arange(n)[:, None] + 0.5) * k / n) * np.sqrt(2 / n)
+    m[:, 0] /= np.sqrt(2)
+    return m
+
+
+def cepstra(power: np.ndarray, keep: int = 20) -> np.ndarray:
+    return np.log(power @ filterbank() + 1e-8) @ cosines(MELS, keep)
+
+
+def both(name: str, v: np.ndarray) -> dict[str, np.ndarray]:
+    return {f"{name}_mean": v.mean(1), f"{name}_std": v.std(1)}
+
+
+def spectral(spec: np.ndarray) -> dict[str, np.ndarray]:
+    """Shape, bands and cepstral statistics."""
+    mag = np.maximum(np.abs(spec), TINY)
+    power, f = mag ** 2, hz(mag.shape[2])
+    total = power.sum(2, keepdims=True) + TINY
+    share = power / total
+    centre = share @ f
+    up = np.cumsum(share, axis=2)
+    lf = np.log(f + 1) - np.log(f + 1).mean()
+    unit = mag / np.linalg.norm(mag, axis=2, keepdims=True)
+    step = np.linalg.norm(np.diff(unit, axis=1), axis=2)
+    frames = {
+        "spec_centroid": centre, "spec_spread": np.sqrt(np.maximum(share @ f ** 2 - centre ** 2, 0)),
+        "spec_rolloff85": f[(up >= 0.85).argmax(2)], "spec_rolloff95": f[(up >= 0.95).argmax(2)],
+        "spec_flatness": np.exp(np.log(power).mean(2)) / (power.mean(2) + TINY), "spec_entropy": -(share * np.log(share + TINY)).sum(2) / np.log(len(f)),
+        "spec_slope": np.log(power) @ lf / (lf ** 2).sum(), "spec_flux": np.pad(step, ((0, 0), (1, 0))), "spec_crest": mag.max(2) / (mag.mean(2) + TINY),
+    }
+    out = {k: s for name, v in frames.items() for k, s in both(name, v).items()}
+    whole = power.sum((1, 2)) + TINY
+    out |= {f"band_{a}_{b}": power[:, :, (f >= a) & (f < b)].sum((1, 2)) / whole for a, b in BANDS}
+    c = cepstra(np.abs(spec) ** 2)
+    out |= {k: s for i in range(13) for k, s in both(f"mfcc{i}", c[:, :, i]).items()}
+    p = np.pad(c, ((0, 0), (2, 2), (0, 0)), mode="edge")
+    d = (p[:, 3:-1] - p[:, 1:-3] + 2 * (p[:, 4:] - p[:, :-4])) / 10
+    return out | {"mfcc_delta_energy": np.abs(d).mean((1, 2)), "mfcc_delta_std": d.std((1, 2))}
+
+
+def entropy(values: np.ndarray, bins: int, low: float, high: float) -> np.ndarray:
+    """Normalised entropy of each row's histogram."""
+    k = np.floor((values - low) / (high - low) * bins).astype(int)
+    k = np.where(values == high, bins - 1, k)
+    inside = (k >= 0) & (k < bins)
+    rows = np.broadcast_to(np.arange(len(values))[:, None], k.shape)
+    h = np.bincount((rows * bins + np.clip(k, 0, bins - 1))[inside], minlength=len(values) * bins).reshape(-1, bins).astype(float)
+    h /= h.sum(1, keepdims=True) + TINY
+    return -(h * np.log(h + TINY)).sum(1) / np.log(bins)
+
+
+def phase(spec: np.ndarray, hop: int = HOP, size: int = FFT) -> dict[str, np.ndarray]:
+    names = ("phase_group_delay_std", "phase_advance_dev", "phase_advance_entropy", "phase_coherence")
+    if spec.shape[1] < 3:
+        return {n: np.zeros(len(spec)) for n in names}
+    w = np.abs(spec) / (np.abs(spec).sum(2, keepdims=True) + TINY)
+    angle = np.unwrap(np.angle(spec), axis=2)
+    delay, dw = -np.diff(angle, axis=2), w[:, :, 1:] / (w[:, :, 1:].sum(2, keepdims=True) + TINY)
+    spread = np.sqrt((dw * (delay - (dw * delay).sum(2, keepdims=True)) ** 2).sum(2)).mean(1)
+    turn = np.exp(1j * (np.diff(angle, axis=1) - 2 * np.pi * hop / size * np.arange(spec.shape[2])))
+    off, aw = np.angle(turn), w[:, 1:]
+    rows = (spread, (aw * np.abs(off)).sum((1, 2)) / (aw.sum((1, 2)) + TINY), entropy(off.reshape(len(off), -1), 24, -np.pi, np.pi), np.abs(np.exp(1j * off).mean((1, 2))))
+    return dict(zip(names, rows, strict=True))
+
+
+def envelope(power: np.ndarray, rate: float = RATE / HOP) -> dict[str, np.ndarray]:
+    """Rhythm of the loudness envelope: modulation spectrum, roughness, frame likeness."""
+    names = ("mod_peak_hz", "mod_depth", "mod_syllabic_ratio", "mod_high_ratio", "mod_flatness", "env_roughness", "env_second_diff", "env_lag1_autocorr", "mel_frame_corr")
+    mel = power @ filterbank()
+    w, n = mel.shape[:2]
+    out = {k: np.zeros(w) for k in names}
+    if n < 6:
+        return out
+    e = np.log(mel.sum(2) + 1e-8)
+    e -= e.mean(1, keepdims=True)
+    scale = e.std(1) + TINY
+    unit = mel / (np.linalg.norm(mel, axis=2, keepdims=True) + TINY)
+    out |= {"env_roughness": np.abs(np.diff(e)).mean(1) / scale, "env_second_diff": np.abs(np.diff(e, 2)).mean(1) / scale, "env_lag1_autocorr": (e[:, 1:] * e[:, :-1]).sum(1) / ((e * e).sum(1) + TINY), "mel_frame_corr": (unit[:, 1:] * unit[:, :-1]).sum(2).mean(1)}
+    if n < 8:
+        return out
+    size = 1 << int(np.ceil(np.log2(n)))
+    p, f = np.abs(np.fft.rfft(e * np.hanning(n), size, axis=1)) ** 2, np.fft.rfftfreq(size, 1 / rate)
+    total, inner = p.sum(1) + TINY, p[:, 1:] + TINY
+    return out | {"mod_peak_hz": f[1:][inner.argmax(1)], "mod_depth": e.std(1), "mod_syllabic_ratio": p[:, (f >= 2) & (f <= 16)].sum(1) / total, "mod_high_ratio": p[:, f > 16].sum(1) / total, "mod_flatness": np.exp(np.log(inner).mean(1)) / inner.mean(1)}
+
+
+def centred_mean(v: np.ndarray, width: int) -> np.ndarray:
+    """Moving mean of each row; outside counts as zero."""
+    half = width // 2
+    c = np.cumsum(np.pad(v, ((0, 0), (half + 1, width - 1 - half))), axis=1)
+    return (c[:, width:] - c[:, :-width]) / width
+
+
+def long_term(power: np.ndarray) -> dict[str, np.ndarray]:
+    """Band limits and ripple of the long-term average spectrum."""
+    mean = power.mean(1)
+    db, f = 10 * np.log10(mean + 1e-16), hz(mean.shape[1])
+    smooth, bin_hz = centred_mean(db, 5), f[1]
+    high = smooth[:, f >= 2500]
+    span = max(2, int(500 / bin_hz))
+    fall = high[:, :-span] - high[:, span:]
+    at = fall.argmax(1)
+    steep = np.take_along_axis(fall, at[:, None], 1)[:, 0] / (span * bin_hz / 1000)
+    tails = np.cumsum(high[:, ::-1], axis=1)[:, ::-1] / np.arange(high.shape[1], 0, -1)
+    depth = smooth.max(1) - np.take_along_axis(tails, at[:, None] + span, 1)[:, 0]
+    cliff = (steep > 12) & (depth > 18)
+    lin = 10 ** (db / 10)
+    top = lin[:, f >= 6000] + TINY
+    fx = f[f > 100] / 1000
+    fx = fx - fx.mean()
+    flat = db - centred_mean(db, 15)
+    flat -= flat.mean(1, keepdims=True)
+    n = flat.shape[1]
+    spec = np.abs(np.fft.rfft(flat, 2 * n, axis=1)) ** 2
+    acf = np.fft.irfft(spec, axis=1)[:, : n // 3] / ((flat ** 2).sum(1, keepdims=True) + TINY)
+    lag = acf[:, 3:].argmax(1) + 3
+    return {
+        "hf_cliff_hz": np.where(cliff, f[f >= 2500][at + span // 2], 0), "hf_cliff_depth_db": np.where(cliff, depth, 0), "hf_energy_ratio": lin[:, f >= 6000].sum(1) / (lin[:, (f >= 300) & (f <= 3400)].sum(1) + TINY),
+        "hf_shelf_flatness": np.exp(np.log(top).mean(1)) / (top.mean(1) + TINY), "ltas_tilt_db_per_khz": smooth[:, f > 100] @ fx / (fx ** 2).sum(),
+        "comb_strength": np.maximum(0, np.take_along_axis(acf, lag[:, None], 1)[:, 0]), "comb_spacing_hz": lag * bin_hz, "ltas_ripple_db": flat.std(1),
+    }
+
+
+def predictor(frames: np.ndarray, order: int = 16) -> np.ndarray:
+    """Linear prediction of many frames by one Levinson recursion: (frames, order)."""
+    n = frames.shape[1]
+    spec = np.abs(np.fft.rfft(frames, 2 * n, axis=1)) ** 2
+    r = np.fft.irfft(spec, axis=1)[:, : order + 1]
+    r[:, 0] *= 1 + 1e-6
+    a, err = np.zeros((len(frames), order)), np.maximum(r[:, 0], TINY)
+    for i in range(order):
+        k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(1)) / err
+        a[:, :i], a[:, i] = a[:, :i] - k[:, None] * a[:, :i][:, ::-1], k
+        err = np.maximum(err * (1 - k * k), TINY)
+    return a
+
+
+def residual(x: np.ndarray, rate: int = RATE, order: int = 16, most: int = 24) -> dict[str, np.ndarray]:
+    """Medians of the prediction residual's moments over frames of 32 ms, about ``most`` of them."""
+    names, size = ("residual_kurtosis", "residual_skew_abs", "residual_peakiness", "residual_autocorr"), int(0.032 * rate)
+    if x.shape[1] < 2 * size:
+        return {n: np.zeros(len(x)) for n in names}
+    f = framed(x, size, size)
+    f = f[:, :: max(1, f.shape[1] // most)] * np.hanning(size)
+    w, m = f.shape[:2]
+    flat = f.reshape(w * m, size)
+    a = predictor(flat, order)
+    past = np.lib.stride_tricks.sliding_window_view(np.pad(flat, ((0, 0), (order, 0))), order, axis=1)[:, :size, ::-1]
+    e = flat - np.einsum("fto,fo->ft", past, a)
+    sd = e.std(1)
+    ok = (np.sqrt((flat ** 2).mean(1)) >= 1e-5) & (sd > TINY)
+    z = e / np.maximum(sd, TINY)[:, None]
+    rows = ((z ** 4).mean(1), np.abs((z ** 3).mean(1)), np.abs(z).max(1), (e[:, 1:] * e[:, :-1]).sum(1) / ((e * e).sum(1) + TINY))
+    with np.errstate(all="ignore"):
+        import warnings
+
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            return {n: np.nan_to_num(np.nanmedian(np.where(ok, v, np.nan).reshape(w, m), axis=1)) for n, v in zip(names, rows, strict=True)}
+
+
+def hygiene(x: np.ndarray) -> dict[str, np.ndarray]:
+    peak, code = np.abs(x).max(1), np.sort(np.round(x * 32768), axis=1)
+    return {"clipping_ratio": (np.abs(x) > 0.985).mean(1), "dc_offset": np.abs(x.mean(1)), "quantization_levels": (1 + (np.diff(code) > 0).sum(1)) / np.maximum(code[:, -1] - code[:, 0], 1), "crest_factor": peak / (np.sqrt((x ** 2).mean(1) + TINY) + TINY), "silence_exact_zero_ratio": (x == 0).mean(1), "silence_near_zero_ratio": (np.abs(x) < 1e-5).mean(1)}
+
+
+def bridged(mask: np.ndarray, min_speech: int, min_pause: int) -> np.ndarray:
+    """Fill inner gaps under ``min_pause``, then drop runs under ``min_speech``, row by row at once."""
+    def run_length(m: np.ndarray) -> np.ndarray:
+        new = np.ones_like(m)
+        new[:, 1:] = m[:, 1:] != m[:, :-1]
+        run = np.cumsum(new.ravel()) - 1
+        return np.bincount(run)[run].reshape(m.shape)
+
+    inner = np.logical_or.accumulate(mask, axis=1) & np.logical_or.accumulate(mask[:, ::-1], axis=1)[:, ::-1]
+    mask = mask | (~mask & inner & (run_length(mask) < min_pause))
+    return mask & (run_length(mask) >= min_speech)
+
+
+def speech(x: np.ndarray, rate: int = RATE) -> tuple[np.ndarray, np.ndarray]:
+    """(mask, level in dB) of 20 ms frames every 10 ms: louder than the floor and not like noise;
+    without contrast an absolute level decides."""
+    size = max(64, int(rate * 0.02))
+    raw = framed(x, size, size // 2)
+    f = raw * np.hanning(size)
+    db = 20 * np.log10(np.sqrt((f ** 2).mean(2) + TINY))
+    p = (np.abs(np.fft.rfft(f, axis=2)) + TINY) ** 2
+    tonal = np.exp(np.log(p).mean(2)) / p.mean(2) < 0.5
+    flips = (np.diff(np.sign(raw), axis=2) != 0).mean(2) < 0.55
+    floor, top = np.percentile(db, 15, axis=1, keepdims=True), np.percentile(db, 95, axis=1, keepdims=True)
+    mask = np.where(top - floor < 6, (db > -78) & tonal, (db > floor + 9) & tonal & flips)
+    return bridged(mask, 6, 12), db
+
+
+def silence(mask: np.ndarray, db: np.ndarray) -> dict[str, np.ndarray]:
+    """Level statistics of what is not speech."""
+    import warnings
+
+    q = np.where(mask, np.nan, db)
+    n = (~mask).sum(1)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        floor = np.where(n >= 2, np.nanmedian(q, axis=1), np.percentile(db, 15, axis=1))
+        sd, reach = (np.where(n >= 2, np.nan_to_num(v), 0.0) for v in (np.nanstd(q, axis=1), np.nanmax(q, axis=1) - np.nanmin(q, axis=1)))
+        clean = np.nan_to_num(np.nanmean(np.where(mask, np.nan, db < -85), axis=1))
+    steady = np.clip((-70 - floor) / 25, 0, 1) * np.clip(1 - sd / 4, 0, 1)
+    return {"silence_floor_db_abs": floor, "silence_floor_std_db": sd, "silence_floor_range_db": reach, "silence_clean_fraction": clean, "digital_silence_score": np.maximum(clean, steady), "speech_ratio": mask.mean(1)}
+
+
+def pitch(x: np.ndarray, rate: int = RATE, low: float = 60.0, high: float = 420.0, voicing: float = 0.36) -> tuple[np.ndarray, np.ndarray]:
+    """(F0 in Hz or 0, strength) of 40 ms frames every 10 ms from normalised autocorrelation."""
+    size, hop = int(rate * 0.04), int(rate * 0.01)
+    if x.shape[1] < size:
+        return np.zeros((len(x), 0)), np.zeros((len(x), 0))
+    f = framed(x, size, hop)
+    f = (f - f.mean(2, keepdims=True)) * np.hanning(size)
+    first, last = max(2, int(rate / high)), min(size - 2, int(rate / low))
+    acf = np.fft.irfft(np.abs(np.fft.rfft(f, 1 << int(np.ceil(np.log2(2 * size))), axis=2)) ** 2, axis=2)[:, :, : last + 1]
+    energy = (f ** 2).sum(2, keepdims=True)
+    left = energy - np.concatenate([np.zeros_like(energy), np.cumsum(f ** 2, axis=2)[:, :, :last]], axis=2)
+    nacf = acf / np.sqrt(np.maximum(energy * left, TINY))
+    k = nacf[:, :, first:].argmax(2) + first
+    take = lambda i: np.take_along_axis(nacf, np.clip(i, 0, last)[:, :, None], 2)[:, :, 0]
+    a, b, c = np.where(k - 1 >= first, take(k - 1), 0), take(k), np.where(k + 1 <= last, take(k + 1), take(k))
+    bend = a - 2 * b + c
+    lag = k + np.where((np.abs(bend) > TINY) & (k < last), 0.5 * (a - c) / np.where(bend == 0, 1, bend), 0)
+    f0 = rate / np.maximum(lag, 1e-9)
+    ok = (b >= voicing) & (energy[:, :, 0] >= 1e-9) & (f0 >= low) & (f0 <= high)
+    return np.where(ok, f0, 0), np.where(ok, b, 0)
+
+
+def contour(f0: np.ndarray, mean_hz: float, std_hz: float) -> list[dict[str, float]]:
+    """F0 statistics of each window's voiced frames against a language's prior."""
+    names = ("f0_mean", "f0_std", "f0_range", "f0_cv", "f0_delta_std", "f0_micro_var", "f0_contour_entropy", "f0_z_mean", "f0_z_std")
+    rows = []
+    for track in f0:
+        v = track[track > 0]
+        if len(v) < 4:
+            values = (0.0,) * len(names)
+        else:
+            m, s = v.mean(), v.std()
+            rough = (v[2:-2] - np.convolve(v, np.full(5, 0.2), "valid")).std() / m if len(v) >= 5 else 0.0
+            values = (m, s, np.subtract(*np.percentile(v, [95, 5])), s / m, np.diff(v).std(), rough, entropy(12 * np.log2(v / m)[None], 16, -12, 12)[0], (m - mean_hz) / std_hz, (s - std_hz) / std_hz)
+        rows.append(dict(zip(names, map(float, values), strict=True)) | {"voiced_ratio": float((track > 0).mean()) if len(track) else 0.0})
+    return rows
+
+
+def harmonics(mag: np.ndarray, f0: np.ndarray) -> dict[str, np.ndarray]:
+    """How near the peaks around 12 multiples of F0 lie to them, and how even they are."""
+    mean, f = mag.mean(1), hz(mag.shape[2])
+    target = np.arange(1, 13) * f0[:, None]
+    near = np.abs(f[None, None, :] - target[:, :, None]) <= 0.35 * f0[:, None, None]
+    ok = (target < f[-1] - 2 * f[1]) & (near.sum(2) > 2) & (f0[:, None] > 0)
+    at = np.where(near, mean[:, None, :], -1).argmax(2)
+    amp = np.where(ok, np.take_along_axis(mean, at, 1), np.nan)
+    n = ok.sum(1)
+    good = n >= 3
+    amp, off = (np.where(good[:, None], v, 0.0) for v in (amp, np.where(ok, np.abs(f[at] - target), np.nan)))
+    return {"harmonic_dev_hz": np.nanmean(off, axis=1), "harmonic_amp_cv": np.nanstd(amp, axis=1) / (np.nanmean(amp, axis=1) + TINY), "harmonic_count": np.where(good, n, 0)}
+
+
+def embedding(power: np.ndarray, f0: np.ndarray) -> np.ndarray:
+    """(windows, 64) unit vectors: cepstral means and spreads, a coarse envelope, pitch."""
+    c = cepstra(power)[:, :, 1:20]
+    env = np.log(power.mean(1) @ filterbank(16) + 1e-10)
+    rows = []
+    for t in f0:
+        v = t[t > 0]
+        rows.append([np.log(max(v.mean(), 1)), v.std() / v.mean(), np.percentile(v, 90) / v.mean(), (t > 0).mean()] if len(v) else [0.0] * 4)
+    parts = [(c.mean(1), 0.45), (c.std(1), 0.25), (env - env.mean(1, keepdims=True), 0.18), (np.array(rows), 0.12)]
+    unit = [w * p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), TINY) for p, w in parts]
+    e = np.concatenate(unit, axis=1)
+    e = np.pad(e, ((0, 0), (0, 64 - e.shape[1])))
+    return e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), TINY)
+
+
+def features(x: np.ndarray, mean_hz: float = 155.0, std_hz: float = 45.0) -> tuple[list[dict[str, float]], np.ndarray]:
+    """(features, embeddings) of windows of one length; values that are not finite become 0."""
+    x = np.nan_to_num(np.asarray(x, np.float64))
+    spec = spectra(x)
+    power = np.abs(spec) ** 2
+    mask, db = speech(x)
+    f0, strength = pitch(x)
+    voiced = np.where(f0 > 0, f0, np.nan)
+    hint = np.nan_to_num([np.nanmedian(v) if np.isfinite(v).any() else 0.0 for v in voiced])
+    table = {**spectral(spec), **phase(spec), **envelope(power), **long_term(power), **residual(x), **hygiene(x), **silence(mask, db), **harmonics(np.abs(spec), hint)}
+    names, values = list(table), np.nan_to_num(np.column_stack([np.asarray(v, np.float64) for v in table.values()]))
+    rows = [dict(zip(names, map(float, r), strict=True)) | c for r, c in zip(values, contour(f0, mean_hz, std_hz), strict=True)]
+    return rows, np.nan_to_num(embedding(power, f0))

@@ -86,10 +86,10 @@ def layer_status(spark, d):
 
 
 @query(f"""WITH {Q.WINDOWS}, {Q.LAYERS}, c AS (SELECT *, row_number() OVER (PARTITION BY session_id, window_index ORDER BY confidence * (1 - score) DESC, layer) AS n FROM v WHERE confidence > 0.2 AND score < 0.35)
-  SELECT session_id, window_index, layer || '_genuine' AS code, round(confidence * (1 - score), 6) AS contribution FROM c WHERE n <= 2""")
+  SELECT session_id, window_index, layer || '_genuine' AS code, round(confidence * (1 - score), 10) AS contribution FROM c WHERE n <= 2""")
 def counter_evidence(spark, d):
     rows = Q.layered(Q.windows(spark, d)).select("session_id", "window_index", F.inline(S.counter_evidence(F.col("layers"))))
-    return rows.select("session_id", "window_index", "code", r6(F.col("contribution"), "contribution"))
+    return rows.select("session_id", "window_index", "code", F.round("contribution", 10).alias("contribution"))
 
 
 RULE_ROWS = f"""{Q.EVIDENCE}, {Q.rules_sql()}, ev AS (SELECT f.window_id, layer, f.feature, f.value, weight, {Q.RAMP.format(v='f.value', a='low', b='high')} * weight AS contribution
