@@ -79,10 +79,10 @@ def layer_contributions(spark, d):
     return _fused(spark, d).select("session_id", "window_index", F.inline("fusion.shares")).select("session_id", "window_index", "layer", r6(F.col("share"), "share"))
 
 
-@query(f"WITH {Q.WINDOWS}, {Q.LAYERS} SELECT session_id, window_index, layer, round(score, 4) AS score, CASE WHEN power > 1e-9 THEN 'voted' ELSE 'abstained' END AS status FROM v WHERE layer IN ('speaker', 'context')")
+@query(f"WITH {Q.WINDOWS}, {Q.LAYERS}, t AS (SELECT *, sum(power) OVER (PARTITION BY session_id, window_index) AS mass FROM v) SELECT session_id, window_index, layer, round(CASE WHEN power > 1e-9 THEN power / mass ELSE 0 END, 4) AS weight_share, CASE WHEN power > 1e-9 THEN 'voted' ELSE 'abstained' END AS status FROM t WHERE layer IN ('speaker', 'context')")
 def layer_status(spark, d):
     rows = _fused(spark, d).select("session_id", "window_index", F.inline(S.layer_summary(F.col("layers"), F.col("fusion.shares"))))
-    return rows.filter(F.col("layer").isin("speaker", "context")).select("session_id", "window_index", "layer", "score", "status")
+    return rows.filter(F.col("layer").isin("speaker", "context")).select("session_id", "window_index", "layer", "weight_share", "status")
 
 
 @query(f"""WITH {Q.WINDOWS}, {Q.LAYERS}, c AS (SELECT *, row_number() OVER (PARTITION BY session_id, window_index ORDER BY confidence * (1 - score) DESC, layer) AS n FROM v WHERE confidence > 0.2 AND score < 0.35)
@@ -568,3 +568,28 @@ def explained_windows(spark, d):
     ev = S.rule_evidence(Q.features(spark, d), dims.rules(spark), ["window_id"]).filter("layer = 'acoustic'")
     rows = ev.groupBy("window_id").agg(F.collect_list(F.struct(F.col("feature").alias("code"), "label", "contribution")).alias("factors"))
     return rows.select("window_id", F.size(S.explanation_factors(F.col("factors"))).alias("shown"))
+
+
+def _signals(spark, d) -> DataFrame:
+    """Runs of 80 vectors in a row as signals of 5120 samples."""
+    e = Q.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 80).alias("window_id"), "vec_id", "embedding")
+    rows = e.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("x")))).alias("rows"))
+    return rows.select("window_id", F.flatten(F.transform("rows", lambda r: r["x"])).alias("samples"))
+
+
+@query()
+def signal_features(spark, d):
+    from ..operators.features import extract
+
+    return extract(_signals(spark, d), ["window_id"]).select("window_id", F.size("features").alias("features"), F.round(F.col("features")["spec_centroid_mean"], 3).alias("spec_centroid_mean"), F.round(F.col("features")["comb_strength"], 6).alias("comb_strength"))
+
+
+@query()
+def trained_scores(spark, d):
+    from ..ml import training as L
+
+    docs = Q.marks(spark, d).select("doc_id", F.col("quality").cast("int").alias("y"), "method", "n_chars", F.col("score").alias("fraction"), F.length("language").alias("width"))
+    rows = docs.filter("y is not null").withColumn("speaker", F.col("doc_id") % 25)
+    names = ["n_chars", "fraction", "width"]
+    model, calibration, _ = L.train(rows, names, "logistic")
+    return L.predict(model, L.aligned(rows, names)).select("doc_id", r6(M.calibrated(F.col("score"), *calibration), "score"))
