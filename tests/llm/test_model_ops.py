@@ -276,18 +276,40 @@ def test_suffix_order():
     from timbra.llm.suffix import LENGTH, least_ids, suffix_order
 
     rng = np.random.default_rng(9)
-    strings = [bytes(rng.integers(97, 99, int(n)).astype(np.uint8)) for n in rng.integers(1, 90, 40)]
-    string, length, common = suffix_order(strings)
+    strings = [bytes(rng.integers(97, 99, int(n)).astype(np.uint8)) for n in rng.integers(1, 90, 40)] + ["é漢".encode() * 14, ("b" + "é漢" * 13).encode()]
+    strings += [strings[-1] + b"x", b"y" + strings[-1]]
+    string, length, same = suffix_order(strings)
     suffixes = [strings[s][len(strings[s]) - n:] for s, n in zip(string, length, strict=True)]
     assert suffixes == sorted(suffixes) and len(suffixes) == sum(map(len, strings)) + len(strings)
-    for a, b, c in zip(suffixes[:-1], suffixes[1:], common[1:], strict=True):
-        n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        assert c == min(n, LENGTH)
+    for a, b, c in zip(suffixes[:-1], suffixes[1:], same[1:], strict=True):
+        assert c == (len(a) >= LENGTH and a[:LENGTH] == b[:LENGTH])
+    assert same.any()
     strings = [b"x" * 7 + b"q" * 60, b"q" * 55, b"z" * 50]
     got = least_ids(strings, np.array([5, 2, 9]))
     assert got[0].tolist() == [5] * 7 + [2] * 11 and got[1].tolist() == [2] * 6 and got[2].tolist() == [9]
 
 
+def test_match_of_segments():
+    """What the shortcuts and the construction find is what a table of strings finds."""
+    from timbra.llm.suffix import LENGTH, NO_ID, match
+
+    rng = np.random.default_rng(10)
+    whole = "".join(rng.choice(list("abcd"), 400))
+    segs = list(dict.fromkeys(whole[a:a + n].encode() for a, n in zip(rng.integers(0, 100, 60).tolist(), rng.integers(50, 81, 60).tolist(), strict=True)))
+    segs += ["".join(rng.choice(list("abcd"), 60)).encode() for _ in range(20)]
+    keys = rng.permutation(len(segs)).astype(np.int64)
+    low, high, by_start, least = match(segs, keys)
+    first = {}
+    for s, k in zip(segs, keys.tolist(), strict=True):
+        for p in range(len(s) - LENGTH + 1):
+            first[s[p:p + LENGTH]] = min(first.get(s[p:p + LENGTH], NO_ID), k)
+    for i, (s, k) in enumerate(zip(segs, keys.tolist(), strict=True)):
+        for p in range(len(s) - LENGTH + 1):
+            inside = low[i] <= p <= high[i]
+            got = (by_start[i][p - low[i]] if i in by_start else least[i]) if inside else NO_ID
+            assert min(got, k) == first[s[p:p + LENGTH]]
+
+
 def test_crowd_splits(monkeypatch):
     """A crowded anchor's strings travel one by one and mark the same bytes."""
     import pyarrow as pa
@@ -303,7 +325,7 @@ def test_crowd_splits(monkeypatch):
         texts = list(suffix._send_texts(iter(batches)))
         found = list(suffix._find_candidates(iter(list(suffix._send_anchors(1)(iter(batches))))))
         mail = pa.Table.from_batches([*texts, *found]).sort_by("batch").to_batches()
-        cut = pa.Table.from_batches(list(suffix._cut_segments(iter(mail)))).sort_by([("to", "ascending"), ("seg", "ascending"), ("id", "ascending")])
+        cut = pa.Table.from_batches(list(suffix._cut_segments(1)(iter(mail))))
         marks = pa.Table.from_batches(list(suffix._match(iter(cut.to_batches())))).sort_by("batch")
         return sorted(map(tuple, (r.values() for b in suffix._finish(iter(marks.to_batches())) for r in b.to_pylist())))
 
