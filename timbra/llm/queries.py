@@ -21,6 +21,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identified
+
+    return identified(spark.read.parquet(f"{sf_dir}/pages.parquet"), documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_report
 
@@ -63,7 +69,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op4_brown_lm, op5_bpe, op6_mix_sources, op7_line_dedup, op8_top_k, op9_simhash, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_quality_rules, op4_brown_lm, op5_bpe, op6_mix_sources, op7_line_dedup, op8_top_k, op9_simhash, op10_suffix_dedup)}
 SQL: dict[str, str] = {
     "op8_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
