@@ -213,6 +213,17 @@ def test_speech_mask():
     assert len(edges) == 4
 
 
+def test_rhythm():
+    from timbra.kernels import dsp
+
+    mask = np.array([[c == "#" for c in "##......####......#."], [False] * 20])
+    db = np.where(mask, np.arange(20) * 1.0, -60.0)
+    got = dsp.rhythm(mask, db, hop=0.01)
+    assert got["pause_count"].tolist() == [2, 1] and got["pause_mean"] == pytest.approx([0.06, 0.2]) and got["pause_std"] == pytest.approx([0, 0])
+    assert got["speech_run_mean"] == pytest.approx([0.07 / 3, 0]) and got["speech_run_std"][0] == pytest.approx(np.std([0.02, 0.04, 0.01]))
+    assert got["energy_range_db"] == pytest.approx([18, 0]) and got["pause_ratio"] == pytest.approx([13 / 20, 1])
+
+
 def test_audio_bytes(spark):
     from timbra.sources import audio as A
 

@@ -254,6 +254,34 @@ def silence(mask: np.ndarray, db: np.ndarray) -> dict[str, np.ndarray]:
     return {"silence_floor_db_abs": floor, "silence_floor_std_db": sd, "silence_floor_range_db": reach, "silence_clean_fraction": clean, "digital_silence_score": np.maximum(clean, steady), "speech_ratio": mask.mean(1)}
 
 
+def lengths(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, length) of every run of true flags."""
+    edge = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, start = np.nonzero(edge == 1)
+    return row, np.nonzero(edge == -1)[1] - start
+
+
+def rhythm(mask: np.ndarray, db: np.ndarray, hop: float = 0.01, shortest: float = 0.05) -> dict[str, np.ndarray]:
+    """Pauses longer than ``shortest``, runs of speech, and the spread of its level."""
+    w = len(mask)
+
+    def moments(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.bincount(row, minlength=w).astype(float)
+        mean = np.bincount(row, value, w) / np.maximum(n, 1)
+        return n, mean, np.sqrt(np.bincount(row, (value - mean[row]) ** 2, w) / np.maximum(n, 1))
+
+    row, n = lengths(~mask)
+    long = n * hop > shortest
+    count, pause_mean, pause_std = moments(row[long], n[long] * hop)
+    row, n = lengths(mask)
+    _, run_mean, run_std = moments(row, n * hop)
+    level = np.where(mask.any(1, keepdims=True), np.where(mask, db, np.nan), db)  # all frames where nothing is speech
+    return {
+        "pause_count": count, "pause_mean": pause_mean, "pause_std": pause_std, "pause_ratio": 1 - mask.mean(1), "speech_run_mean": run_mean, "speech_run_std": run_std,
+        "energy_std_db": np.nanstd(level, axis=1), "energy_range_db": np.nanmax(level, axis=1) - np.nanmin(level, axis=1),
+    }
+
+
 def pitch(x: np.ndarray, rate: int = RATE, low: float = 60.0, high: float = 420.0, voicing: float = 0.36) -> tuple[np.ndarray, np.ndarray]:
     """(F0 in Hz or 0, strength) of 40 ms frames every 10 ms from normalised autocorrelation."""
     size, hop = int(rate * 0.04), int(rate * 0.01)
@@ -330,7 +358,7 @@ def features(x: np.ndarray, mean_hz: float = 155.0, std_hz: float = 45.0) -> tup
     f0, strength = pitch(x)
     voiced = np.where(f0 > 0, f0, np.nan)
     hint = np.nan_to_num([np.nanmedian(v) if np.isfinite(v).any() else 0.0 for v in voiced])
-    table = {**spectral(spec), **phase(spec), **envelope(power), **long_term(power), **residual(x), **hygiene(x), **silence(mask, db), **harmonics(np.abs(spec), hint)}
+    table = {**spectral(spec), **phase(spec), **envelope(power), **long_term(power), **residual(x), **hygiene(x), **silence(mask, db), **rhythm(mask, db), **harmonics(np.abs(spec), hint)}
     names, values = list(table), np.nan_to_num(np.column_stack([np.asarray(v, np.float64) for v in table.values()]))
     rows = [dict(zip(names, map(float, r), strict=True)) | c for r, c in zip(values, contour(f0, mean_hz, std_hz), strict=True)]
     return rows, np.nan_to_num(embedding(power, f0))
