@@ -149,6 +149,19 @@ def test_enrolment(spark):
     assert V.forget(v, 0).count() == 1
 
 
+def test_redaction_covers_every_document(spark, tmp_path):
+    import hashlib
+    import re
+
+    from timbra.plans.catalog import QUERIES
+
+    texts = [None, "", "plain 12345 a.b@c.org", "Rufen Sie 0170 1234567 an, schön: jürgen.müller@straße.de", "écrivez à élodie@exemple.fr, é12345 reste", "señal ١٢٣٤٥ y año 2024", "漢字123456 漢字 123456", "12\u00a034 56ß"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    brute = lambda t: re.sub(r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", "[email]", re.sub(r"\b\d[\d\s-]{3,}\b", "[number]", t or ""))
+    got = {r.doc_id: r.redacted for r in QUERIES["redact_all_text"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(brute(t).encode()).hexdigest() for i, t in enumerate(texts)}
+
+
 def test_text(spark):
     say = lambda t: one(spark, F.size(T.urgency_hits(F.lit(t))))
     assert say("Please share the code, it is URGENT") == 2 and say("hello") == 0 and one(spark, F.size(T.urgency_hits(F.lit(None).cast("string")))) == 0
