@@ -117,6 +117,17 @@ def test_approvals(spark):
     assert {(r.session_id, r.amount): r.decision for r in got.collect()} == dict(zip(asks, ["block", "allow", "step_up", "step_up", "step_up", "block", "not_found"], strict=True))
 
 
+def test_approval_gate_knows_every_session(spark, sf):
+    from timbra.plans import proxies
+    from timbra.plans.catalog import QUERIES
+
+    stored = {r.user_id for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().collect()}
+    asked = {r.request_id: r.session_id for r in proxies.requests(spark, sf).select("request_id", "session_id").collect()}
+    got = {r.request_id: r.decision for r in QUERIES["approval_gate_all"](spark, sf).collect()}
+    assert got.keys() == asked.keys() and any(s % 10 == 7 for s in stored)
+    assert {k for k, d in got.items() if d == "not_found"} == {k for k, s in asked.items() if s not in stored} != set()
+
+
 def test_metrics_against_numpy(spark):
     rng = np.random.default_rng(3)
     y, s = rng.integers(0, 2, 300), rng.integers(0, 40, 300) / 40

@@ -224,6 +224,14 @@ def approval_gate(spark, d):
     return out.select("request_id", "decision", F.array_join("required_verification", ",").alias("verification"))
 
 
+@query(SQL["approval_gate"].replace(" WHERE user_id % 10 <> 7", ""))
+def approval_gate_all(spark, d):
+    """The gate over every session of events; requests for sessions that are not there are not found."""
+    e = Q.table(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg((F.floor(F.max("value") * 2) / 10).alias("score"), F.count("*").alias("windows_analyzed"), (F.count("*") / 25).alias("audio_seconds"))
+    out = R.approvals(Q.requests(spark, d), e, dims.profiles(spark))
+    return out.select("request_id", "decision", F.array_join("required_verification", ",").alias("verification"))
+
+
 CALLS = "calls AS (SELECT conv_id, sum(n_chars) AS n_samples FROM (SELECT conv_id, length(text) * 97 AS n_chars FROM conversations) GROUP BY conv_id)"
 
 
