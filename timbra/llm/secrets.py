@@ -14,7 +14,7 @@ HEX = r"[0-9a-f]{24,}"
 SHORTEST_VALUE, SHORTEST_ACCESS = 6, 20
 #: Weak candidates: names of an account, bare keys, places to use them.
 WEAK_ID = r"""(?i:\b(user(?:name)?|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,63}[0-9])(?=[A-Za-z0-9+/_-]{0,63}[A-Z])(?=[A-Za-z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"(?i:\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[A-Za-z0-9@:._/-]{4,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b)"
 #: A scope ends at a blank line.
 BREAK = r"\n[\x20\t\r]*\n"
