@@ -110,6 +110,27 @@ def test_alerts_escalate_and_cool_down(spark):
     assert [(r.window_index, r.band) for r in R.alerts(rows).orderBy("window_index").collect()] == [(2, "HIGH"), (5, "CRITICAL")]
 
 
+def test_no_call_is_gathered(spark):
+    """One long call among short ones: smoothing and alerts stream over it in linear time."""
+    from timbra.streaming.calls import step
+
+    n = 60000
+    rows = spark.range(n + 50).select(F.when(F.col("id") < n, 0).otherwise(F.col("id")).alias("session_id"), F.when(F.col("id") < n, F.col("id")).otherwise(0).alias("window_index"), (F.col("id") * 7919 % 1000 / 10).alias("score"))
+    frame = S.smoothed(rows, "session_id", "window_index", "score")
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "aggregate(" not in plan
+    value, history, want = None, [], []
+    for i in range(n):
+        value, history = step(value, history, i * 7919 % 1000 / 10)
+        want.append(value)
+    got = frame.collect()
+    assert len(got) == n + 50 and [r.smoothed for r in sorted((r for r in got if r.session_id == 0), key=lambda r: r.window_index)] == want
+    windows = frame.select("*", F.lit("HIGH").alias("band"), F.lit(False).alias("provisional"), F.timestamp_seconds("window_index").alias("ts"))
+    fired = R.alerts(windows)
+    assert "collect_list" not in fired._jdf.queryExecution().optimizedPlan().toString()
+    assert fired.count() == 51 and fired.filter("session_id = 0").first().window_index == 0
+
+
 def test_approvals(spark):
     sessions = spark.createDataFrame([(1, 85.0, 9, 9.0), (2, 10.0, 9, 9.0), (3, 10.0, 1, 0.5), (4, 65.0, 9, 9.0)], "session_id long, score double, windows_analyzed long, audio_seconds double")
     asks = [(1, 5.0), (2, 5.0), (2, 2e6), (3, 5.0), (4, 5.0), (4, 2e6), (9, 5.0)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.exprs import band_rank, verdict
+from .fold import folded
 
 
 def session_report(windows: DataFrame, session: str = "session_id", factors: DataFrame | None = None) -> DataFrame:
@@ -49,21 +50,20 @@ def dashboard_order(reports: DataFrame) -> list[Column]:
 
 def alerts(windows: DataFrame, session: str = "session_id", ts: str = "ts", order: str = "window_index", cooldown: float = dims.COOLDOWN_SECONDS) -> DataFrame:
     """The windows that alert: HIGH or above, not provisional, a higher band than any alert of
-    the call before, and ``cooldown`` seconds of event time after the last. One fold over the
-    candidates of a call; most windows never are candidates and leave before the shuffle."""
+    the call before, and ``cooldown`` seconds of event time after the last. The candidates of
+    a call stream by in order; most windows never are candidates and leave before the shuffle."""
     rank = band_rank(F.col("band"))
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    some = windows.filter(~F.col("provisional") & (rank >= 2)).select(session, F.struct(F.col(order).cast("long").alias("i"), rank.alias("rank"), micros.alias("t")).alias("w"))
-    calls = some.groupBy(session).agg(F.array_sort(F.collect_list("w")).alias("w"))
-    kind = "array<struct<i:bigint,rank:int>>"
-    start = F.struct(F.lit(-1).alias("top"), F.lit(None).cast("long").alias("last"), F.array().cast(kind).alias("out"))
+    some = windows.filter(~F.col("provisional") & (rank >= 2)).select(session, F.col(order).cast("long").alias(order), rank.cast("int").alias("rank"), micros.alias("t"))
+    wait = int(cooldown * 1e6)
 
-    def step(s: Column, x: Column) -> Column:
-        fires = (x["rank"] > s["top"]) & (s["last"].isNull() | (x["t"] - s["last"] >= int(cooldown * 1e6)))
-        return F.struct(F.when(fires, x["rank"]).otherwise(s["top"]).alias("top"), F.when(fires, x["t"]).otherwise(s["last"]).alias("last"), F.when(fires, F.concat(s["out"], F.array(F.struct(x["i"].alias("i"), x["rank"].alias("rank"))))).otherwise(s["out"]).alias("out"))
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple | None]:
+        (top, last), (at, rank, t) = state or (-1, None), row
+        fires = rank > top and (last is None or t is not None and t - last >= wait)
+        return ((rank, t), (at, rank)) if fires else ((top, last), None)
 
-    out = calls.select(session, F.explode(F.aggregate("w", start, step)["out"]).alias("x"))
-    return out.select(session, F.col("x.i").alias(order), F.element_at(F.array(*map(F.lit, dims.BANDS)), F.col("x.rank") + 1).alias("band"))
+    out = folded(some, step, {order: "bigint", "rank": "int"})
+    return out.select(session, order, F.element_at(F.array(*map(F.lit, dims.BANDS)), F.col("rank") + 1).alias("band"))
 
 
 def channels_for(profile_channels: Column, registered: list[str]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.exprs import band, logit, lookup, off_hours, ramp, sigmoid
 from ..functions.text import urgency_hits
+from .fold import folded
 
 EPS = 1e-9
 
@@ -124,33 +125,34 @@ def score_100(probability: Column) -> Column:
     return F.bround(probability * 100, 1)
 
 
-SMOOTHED = "struct<value:double,history:array<double>,out:array<struct<i:bigint,score:double,smoothed:double>>>"
+def after(a: float, b: float) -> bool:
+    """a > b in Spark's order: NaN is above all numbers."""
+    return b == b if a != a else a > b
 
 
-def smooth_step(state: Column, score: Column, alpha: float, memory: int, quantile: float) -> tuple[Column, Column]:
+def smooth_step(state: tuple | None, score: float | None, alpha: float, memory: int, quantile: float) -> tuple[float | None, list[float | None]]:
     """(value, history) after one more score: an average that fades, lifted halfway to what
-    the recent scores agree on if that is higher."""
-    history = F.concat(state["history"], F.array(score))
-    history = F.slice(history, F.greatest(F.lit(1), F.size(history) - memory + 1), F.lit(memory))
-    faded = F.coalesce(alpha * score + (1 - alpha) * state["value"], score)
-    held = F.get(F.array_sort(history), F.floor(quantile * (F.size(history) - 1)).cast("int"))
-    return F.when((F.size(history) >= 3) & (held > faded), faded + 0.5 * (held - faded)).otherwise(faded), history
+    the recent scores agree on if that is higher. A null score leaves null and starts anew."""
+    value, history = state or (None, [])
+    history = [*history, score][-memory:]
+    faded = score if value is None or score is None else alpha * score + (1 - alpha) * value
+    held = sorted(history, key=lambda x: (x is None, x != x, 0.0 if x is None or x != x else x))[int(quantile * (len(history) - 1))]
+    lifted = len(history) >= 3 and held is not None and faded is not None and after(held, faded)
+    return faded + 0.5 * (held - faded) if lifted else faded, history
 
 
 def smoothed(rows: DataFrame, session: str, order: str, score: str, alpha: float = 0.35, memory: int = 8, quantile: float = 0.8) -> DataFrame:
-    """session, order, score and ``smoothed``: the recursion runs as one fold over the
-    ordered scores of a call, all inside the JVM. A call holds a bounded number of windows
-    (an hour at most); calls are spread by the shuffle on ``session``."""
-    calls = rows.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("i"), F.col(score).cast("double").alias("s")))).alias("w"))
-    start = F.struct(F.lit(None).cast("double").alias("value"), F.array().cast("array<double>").alias("history"), F.array().cast("array<struct<i:bigint,score:double,smoothed:double>>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        value, history = smooth_step(state, x["s"], alpha, memory, quantile)
-        one = F.array(F.struct(x["i"].alias("i"), x["s"].alias("score"), value.alias("smoothed")))
-        return F.struct(value.alias("value"), history.alias("history"), F.concat(state["out"], one).alias("out"))
-
-    out = calls.select(session, F.explode(F.aggregate("w", start, step)["out"]).alias("x"))
-    return out.select(session, F.col("x.i").alias(order), F.col("x.score").alias(score), F.col("x.smoothed").alias("smoothed"))
+    """session, order, score and ``smoothed``: the recursion streams over the ordered scores of
+    a call and carries its last value and ``memory`` scores; no call is gathered. Calls are
+    spread by the shuffle on ``session``; the rows of one call are one after another."""
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        at, s = row
+        value, history = smooth_step(state, s, alpha, memory, quantile)
+        return (value, history), (at, s, value)
+
+    ordered = rows.select(session, F.col(order).cast("long").alias(order), F.col(score).cast("double").alias(score))
+    return folded(ordered, step, {order: "bigint", score: "double", "smoothed": "double"})
 
 
 def trail(rows: DataFrame, session: str, order: str) -> DataFrame:
