@@ -135,6 +135,23 @@ def test_exchange_raises_likelihood():
     assert sorted(map(sorted, found.values())) == [[0], [1], [2]]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_exchange_ends_where_no_move_gains(seed):
+    from timbra.llm.brown import exchange
+
+    def likelihood(group):
+        t = np.zeros((7, 7))
+        np.add.at(t, (group[:, None], group[None, :]), pairs)
+        x = lambda v: (v * np.log(np.maximum(v, 1))).sum()
+        return x(t) - x(t.sum(0)) - x(t.sum(1))
+
+    rng = np.random.default_rng(seed)
+    pairs = rng.poisson(rng.gamma(0.3, 2, (81, 81))).astype(float)
+    group = exchange(pairs, 80, classes=6, rounds=100)
+    best = likelihood(group)
+    assert all(likelihood(np.where(np.arange(81) == w, k, group)) <= best + 1e-6 for w in range(80) for k in range(6))
+
+
 def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer

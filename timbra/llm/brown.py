@@ -130,12 +130,14 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 def exchange(pairs: np.ndarray, n_words: int, classes: int = CLASSES, rounds: int = 8) -> np.ndarray:
     """The class of each symbol. The first ``n_words`` symbols start dealt out by rank and
     move, one after another, to the class that raises the class bigrams' likelihood most,
-    until no word moves; all other symbols are classes of their own. ``pairs`` is the
-    symbols' bigram matrix, whose size the vocabulary bounds, not the corpus."""
+    until no word moves or ``rounds`` have passed; all other symbols are classes of their own. ``pairs`` is the
+    symbols' bigram matrix, whose size the vocabulary bounds, not the corpus. A move must gain
+    more than the sums' rounding, so the likelihood rises with each."""
     size = classes + len(pairs) - n_words
     group = np.concatenate([np.arange(n_words) % classes, classes + np.arange(len(pairs) - n_words)])
     table = np.zeros((size, size))
     np.add.at(table, (group[:, None], group[None, :]), pairs)
+    least = max(1e-9, 1e-13 * float(_xlogx(pairs.sum())))
     for _ in range(rounds):
         moved = 0
         for w in range(n_words):
@@ -152,10 +154,10 @@ def exchange(pairs: np.ndarray, n_words: int, classes: int = CLASSES, rounds: in
             g = np.arange(classes)
             cell = rows[g, g]
             gain += _xlogx(cell + right[:classes] + left[:classes] + self_n) - _xlogx(cell + right[:classes]) - _xlogx(cell + left[:classes]) + _xlogx(cell)
-            out, into = rows.sum(1), columns.sum(1)
+            out, into = rows.sum(1) + left[:classes], columns.sum(1) + right[:classes]  # whole, wherever w goes
             gain -= _xlogx(out + right.sum() + self_n) - _xlogx(out) + _xlogx(into + left.sum() + self_n) - _xlogx(into)
             new = int(gain.argmax())
-            if gain[new] <= gain[own] + 1e-9:
+            if gain[new] <= gain[own] + least:
                 new = own
             moved += new != own
             group[w] = new
