@@ -196,21 +196,44 @@ def test_bpe_joins_are_repaired(rows, monkeypatch):
         assert start == len(raw) and c.join(parts)[0].tolist() == tk.encode(t, add_special_tokens=False).ids
 
 
-def test_chunks_are_shared_and_bounded():
-    from timbra.llm.bpe import LONGEST, cut_places
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшщыэюя", "漢字仮名交文章言語処理機械学習"])
+def test_chunks_are_shared_and_bounded(letters):
+    """A passage gives the same chunks wherever it stands, in any script."""
+    from timbra.llm.bpe import LONGEST, codec, cut_places
 
     rng = np.random.default_rng(3)
-    say = lambda n: " ".join("".join(chr(97 + k) for k in rng.integers(0, 26, 5)) for _ in range(n)).encode()
-    passage = say(3000)
+    say = lambda n: " ".join("".join(letters[k] for k in rng.integers(0, len(letters), 5)) for _ in range(n)).encode()
+    passage, c, tk = say(3000), codec(), tokenizer()
     chunks = []
-    for text in (say(50) + b" " + passage, say(901) + b" " + passage):
+    for text in (say(50) + b" " + passage, b"x" + say(901) + b" " + passage):
         ends = cut_places(text)
-        chunks.append({text[a:b] for a, b in zip([0, *ends], ends, strict=False)})
-        assert max(map(len, chunks[-1])) <= LONGEST
+        parts = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        chunks.append(set(parts))
+        assert max(map(len, parts)) <= LONGEST
+        assert c.join([c.encode(p) for p in parts if p.decode(errors="strict")])[0].tolist() == tk.encode(text.decode(), add_special_tokens=False).ids
     both = sum(map(len, chunks[0] & chunks[1]))
     assert both > 0.8 * len(passage)
 
 
+def test_bpe_of_very_long_runs(spark):
+    from timbra.llm.bpe import encoded
+
+    texts = [" " * 2_000_000 + "x", "a\n" + " " * 1_000_000, "\n" * 900_000 + "<|endoftext|>" + " " * 900_000 + "é", "letters" * 200_000, "漢字" * 100_000, "\u3000" * 5000 + "b" + "\xa0" * 5000]
+    tk = tokenizer()
+    got = encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), digests=True).collect()
+    assert sorted(map(tuple, got)) == [ids_row(tk, i, t) for i, t in enumerate(texts)]
+
+
+def test_bpe_forgets_chunks_but_no_ids(docs, rows, monkeypatch):
+    """The memory of encoded chunks is bounded; what it drops is encoded again."""
+    from timbra.llm import bpe
+
+    sent = list(bpe._send(1)(iter([__import__("pyarrow").RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words here " * 200, "some words here " * 150 + "end"], "__rid": ["a", "b"]})])))
+    want = [b.to_pylist() for b in bpe._encode(None, None)(iter(sent))]
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 1)
+    assert [b.to_pylist() for b in bpe._encode(None, None)(iter(sent))] == want
+
+
 def brute_top_k(rows, k=5):
     whole = [(i, [math.floor(256 * float(x)) for x in v], n) for n, (i, v) in enumerate(rows) if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []

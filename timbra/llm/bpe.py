@@ -1,9 +1,10 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 Texts are cut where a rolling hash of the last bytes says so, hence alike in every document
-that holds the same passage. Each distinct chunk of the whole corpus travels to one task,
-is encoded there once, and its ids go back to the documents that hold it; the joins are
-then re-encoded between places where both sides must agree.
+that holds the same passage, whatever its script. Each distinct chunk of the whole corpus
+travels to one task, is encoded there once, and its ids go back to the documents that hold
+it. A chunk may end inside a word, so every join is repaired: the stretch around it is
+encoded anew, and grows until token ends of both sides agree with its ends.
 
 Only two shuffles move data, as compressed envelopes of a bounded number of text bytes:
 chunks to their encoder, ids back. A chunk that a third of all documents share is sent once
@@ -14,6 +15,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,13 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_bytes
+from .common import arrow_schema, as_bytes, numbered, pack, shards_for, text_bytes, unpack
 
 ENVELOPE_BYTES = 16 << 20
-WINDOW, CUT_MASK, SHORTEST, LONGEST = 16, 127, 256, 8192
+#: Input bytes whose chunks one task encodes, and the bytes of chunks it remembers.
+SHARD_BYTES, MEMORY_BYTES = 64 << 20, 256 << 20
+WINDOW, CUT_MASK, SHORTEST, LONGEST = 16, 511, 256, 1 << 14
 BASE = 0x9E3779B97F4A7C15 | 1
 PIECE = 1 << 20
 DIGEST = 16
+#: White space beyond so many characters is taken out before the pattern sees it.
+LONG_GAP = 1 << 12
+GAP = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_GAP)
+#: Classes of characters, as the pre-tokenizer's pattern tells them apart.
+GAPS, LETTERS, NUMBERS, OTHERS, UNSURE, MARKS = range(6)
 
 
 @lru_cache(maxsize=1)
@@ -42,20 +53,58 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return run(BASE), run(pow(BASE, -1, 1 << 64))
 
 
-def safe_places(raw: np.ndarray) -> np.ndarray:
-    """Offsets of single spaces or line feeds between visible ASCII characters: the
-    pre-tokenizer always parts the text before them, whatever stands further away."""
-    if len(raw) < 3:
-        return np.zeros(0, np.int64)
-    seen = (raw > 32) & (raw < 127)
-    gap = (raw == 32) | (raw == 10)
-    return np.flatnonzero(gap[1:-1] & seen[:-2] & seen[2:]) + 1
+@lru_cache(maxsize=1)
+def _class_table() -> np.ndarray:
+    """The class of every code point; UNSURE where Unicode's versions differ. Characters of
+    the special token are MARKS: no stretch begins or ends beside them."""
+    def kind(c: str) -> int:
+        return {"Z": GAPS, "L": LETTERS, "N": NUMBERS, "C": UNSURE}.get(c[0], OTHERS)
+
+    old, new = unicodedata.ucd_3_2_0.category, unicodedata.category
+    out = np.full(0x110000, UNSURE, np.uint8)
+    for k in [*range(0xD800), *range(0xE000, 0x20000)]:
+        c = chr(k)
+        one = kind(new(c))
+        if kind(old(c)) == one:
+            out[k] = one
+    out[9:14] = GAPS
+    out[[ord(c) for c in "<|>"]] = MARKS
+    return out
+
+
+def _classes(text: bytes) -> np.ndarray:
+    """The class of the character that each byte belongs to."""
+    raw = np.frombuffer(text, np.uint8)
+    table = _class_table()
+    if not len(raw) or raw.max() < 128:
+        return table[raw]
+    out, start = np.empty(len(raw), np.uint8), 0
+    while start < len(raw):
+        end = min(start + PIECE, len(raw))
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end += 1
+        points = np.frombuffer(text[start:end].decode().encode("utf-32-le"), "<u4")
+        width = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
+        out[start:end] = np.repeat(table[points], width)
+        start = end
+    return out
+
+
+def safe_places(text: bytes) -> np.ndarray:
+    """Offsets where the pre-tokenizer parts the text whatever stands further away: before
+    white space after anything else, and where letters, numbers and other signs meet. White
+    space goes with what follows it, and an apostrophe may, so nothing is parted after them."""
+    kinds = _classes(text)
+    before, after = kinds[:-1], kinds[1:]
+    sure = (before != after) & (before != GAPS) & (before < UNSURE) & (after < UNSURE)
+    at = np.flatnonzero(sure) + 1
+    return at[np.frombuffer(text, np.uint8)[at - 1] != 39] if len(at) else at
 
 
 def cut_places(text: bytes) -> list[int]:
     """Where the chunks of ``text`` end, the end of the text last; none for an empty text.
 
-    A chunk ends at a safe place before which WINDOW bytes have a rolling (polynomial) hash
+    A chunk ends at a character before which WINDOW bytes have a rolling (polynomial) hash
     that is 0 in the CUT_MASK bits, SHORTEST bytes on at least; after LONGEST bytes without
     one it ends at any character."""
     n = len(text)
@@ -67,11 +116,10 @@ def cut_places(text: bytes) -> list[int]:
     for start in range(0, n, PIECE):
         first = max(0, start - WINDOW)
         part = raw[first:start + PIECE]
-        at = safe_places(raw[max(0, start - 1):start + PIECE + 1]) + max(0, start - 1) - first
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:len(part)])])
-        at = at[(at >= WINDOW) & (at < len(part))]
-        h = (sums[at] - sums[at - WINDOW]) * down[at - WINDOW]
-        hits.append(at[(h >> np.uint64(40)) & np.uint64(CUT_MASK) == 0] + first)
+        h = (sums[WINDOW:-1] - sums[:-1 - WINDOW]) * down[:max(len(part) - WINDOW, 0)]
+        at = np.flatnonzero((h >> np.uint64(40)) & np.uint64(CUT_MASK) == 0) + WINDOW
+        hits.append(at[part[at] & 0xC0 != 0x80] + first)
     ends, last = [], 0
     for p in [*np.unique(np.concatenate(hits)).tolist(), n]:
         if p - last < SHORTEST and p < n:
@@ -94,49 +142,67 @@ class Codec:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-        self.special = {special: len(ranks)}
-        self.bpe = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
+        self.special = special
+        self.bpe = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={special: len(ranks)})
         self.kind = np.dtype("<u2" if len(ranks) < 1 << 16 else "<u4")
         pieces = {**{v: k for k, v in ranks.items()}, len(ranks): special.encode()}
         self.pieces = [pieces[k] for k in range(len(pieces))]
         self.lengths = np.array([len(x) for x in self.pieces], np.int64)
+        self.ranks = ranks
+        self.stretch = lru_cache(maxsize=1 << 16)(self._encode)
+
+    def _encode(self, text: bytes) -> np.ndarray:
+        line = text.decode()
+        if len(line) < LONG_GAP or not GAP.search(line):
+            return np.array(self.bpe.encode(line, allowed_special="all"), self.kind)
+        # the pattern's engine has no room for very long white space
+        out: list[int] = []
+        for k, part in enumerate(line.split(self.special)):
+            out += [len(self.ranks)] * (k > 0)
+            done = 0
+            for m in GAP.finditer(part):
+                end = m.end() if m.end() == len(part) else m.end() - 1  # the last one goes with what follows
+                out += self.bpe.encode_ordinary(part[done:m.start()])
+                out += self._gap(part[m.start():end].encode())
+                done = end
+            out += self.bpe.encode_ordinary(part[done:])
+        return np.array(out, self.kind)
+
+    def _gap(self, text: bytes) -> list[int]:
+        """One piece of white space: the merges alone."""
+        return self.bpe._encode_single_piece(text)
 
     def encode(self, text: bytes) -> np.ndarray:
-        return np.array(self.bpe.encode(text.decode(), allowed_special="all"), self.kind)
+        return self._encode(text) if len(text) > 256 else self.stretch(text)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
     def join(self, parts: list[np.ndarray]) -> tuple[np.ndarray, bytes]:
-        """(ids, text) of chunks in a row. A chunk end that is no safe place is repaired: the
-        text between the safe places around it is encoded anew and must fit between token
-        ends on both sides; if it does not, the next safe places are tried."""
+        """(ids, text) of chunks in a row. Every join is repaired: the stretch from the last
+        safe place before it to the first one after it is encoded anew; if no token of the
+        chunks ends where the stretch begins and ends, it grows by a place on that side."""
         ids = np.concatenate(parts) if parts else np.zeros(0, self.kind)
         text = self.decode(ids)
         if len(parts) < 2:
             return ids, text
-        ends = np.cumsum(self.lengths[ids])
-        edges = ends[np.cumsum([len(p) for p in parts])[:-1] - 1]
-        safe = safe_places(np.frombuffer(text, np.uint8))
-        places = np.concatenate([[0], safe, [len(text)]])
-        at = np.searchsorted(places, edges)
-        wrong = edges[places[np.minimum(at, len(places) - 1)] != edges]
-        out, done, token = [], 0, 0
-        token_at = np.concatenate([[0], ends])
-        for edge in wrong.tolist():
-            if edge < done:
+        ends = np.concatenate([[0], np.cumsum(self.lengths[ids])])
+        edges = ends[np.cumsum([len(p) for p in parts])[:-1]]
+        places = np.concatenate([[0], safe_places(text), [len(text)]])
+        token = np.searchsorted(ends, places)
+        agreed = np.flatnonzero(ends[np.minimum(token, len(ends) - 1)] == places)  # places where a token ends
+        places, token = places[agreed], token[agreed]
+        low = np.searchsorted(places, edges, side="right") - 1
+        high = np.searchsorted(places, edges)
+        out, done = [], 0
+        for a, b in zip(low.tolist(), high.tolist(), strict=True):
+            if a == b or token[b] <= done:  # parted there anyway, or repaired with the join before
                 continue
-            k = int(np.searchsorted(places, edge))
-            low, high = k - 1, k
-            while token_at[np.searchsorted(token_at, places[low])] != places[low]:
-                low -= 1
-            while token_at[np.searchsorted(token_at, places[high])] != places[high]:
-                high += 1
-            a, b = max(int(places[low]), done), int(places[high])
-            first = int(np.searchsorted(token_at, a))
-            out += [ids[token:first], self.encode(text[a:b])]
-            token, done = int(np.searchsorted(token_at, b)), b
-        return np.concatenate([*out, ids[token:]]), text
+            first = max(int(token[a]), done)
+            start = int(ends[first])
+            out += [ids[done:first], self.encode(text[start:int(places[b])])]
+            done = int(token[b])
+        return np.concatenate([*out, ids[done:]]), text
 
 
 @lru_cache(maxsize=2)
@@ -147,26 +213,8 @@ def codec(path: str | None = None, pattern: str | None = None) -> Codec:
     return Codec(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
 
 
-def _pack(payloads: list[bytes], level: int) -> bytes:
-    import zstandard
-
-    lengths = np.fromiter(map(len, payloads), "<u4", len(payloads))
-    return zstandard.ZstdCompressor(level=level).compress(b"".join([np.uint32(len(payloads)).tobytes(), lengths.tobytes(), *payloads]))
-
-
-def _unpack(blob: bytes) -> Iterator[bytes]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    at = 4 + 4 * n
-    for size in np.frombuffer(raw, "<u4", n, 4).tolist():
-        yield raw[at:at + size]
-        at += size
-
-
 #: ``shard`` tells which shard's chunks, or their ids in the same order, a blob holds; DOCS: the documents.
-MAIL = "to long, envelope long, shard int, blob binary"
+MAIL = "to int, envelope string, shard int, blob binary"
 DOCS = -1
 
 
@@ -205,8 +253,8 @@ def _send(shards: int):
                 first[shard], n = n, n + len(parts[shard])
             flat = [np.fromiter((first[s] + j for s, j in refs), "<u4", len(refs)).tobytes() for refs in lists]
             ids = [b"" if r[0] is None else int(r[0]).to_bytes(8, "little", signed=True) for r in own]
-            mail = [(name % shards, name, DOCS, _pack(ids + flat, 3))]
-            return _mail(mail + [(s, name, s, _pack(x, 6)) for s, x in parts.items()])
+            mail = [(zlib.crc32(name.encode()) % shards, name, DOCS, pack(ids + flat, 3))]
+            return _mail(mail + [(s, name, s, pack(x, 6)) for s, x in parts.items()])
 
         for b in batches:
             for row in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
@@ -231,18 +279,22 @@ def _encode(path: str | None, pattern: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         known: dict[bytes, bytes] = {}
+        size = 0
         for b in batches:
             for _, envelope, shard, blob in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if shard != DOCS:
                     answers = []
-                    for text in _unpack(blob):
+                    for text in unpack(blob):
                         key = _digest(text)
                         ids = known.get(key)
                         if ids is None:
                             ids = known[key] = c.encode(text).tobytes()
+                            size += len(ids) + 200
+                            while size > MEMORY_BYTES:  # the oldest are encoded again if they return
+                                size -= len(known.pop(next(iter(known)))) + 200
                         answers.append(ids)
-                    blob = _pack(answers, 9)
-                yield _mail([(envelope, envelope, shard, blob)])
+                    blob = pack(answers, 9)
+                yield _mail([(0, envelope, shard, blob)])
 
     return run
 
@@ -259,9 +311,9 @@ def _finish(path: str | None, pattern: str | None, digests: bool):
         known, docs = [], []
         for shard, blob in sorted(rows, key=lambda r: r[0]):
             if shard == DOCS:
-                docs = list(_unpack(blob))
+                docs = list(unpack(blob))
             else:
-                known += _unpack(blob)
+                known += unpack(blob)
         n = len(docs) // 2
         for key, refs in zip(docs[:n], docs[n:], strict=True):
             doc_id = int.from_bytes(key, "little", signed=True) if key else None
@@ -299,8 +351,9 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
     included. A null text counts as empty and has no ids; repeated rows give repeated rows;
     an empty table gives none. Other columns are ignored.
     """
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("at"))
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    shards = shards_for(docs.sparkSession, text_bytes(rows), SHARD_BYTES)
+    rows = rows.select("doc_id", "text", "__rid")
     sent = rows.mapInArrow(_send(shards), MAIL).repartition(shards, "to")
     answers = sent.mapInArrow(_encode(path, pattern), MAIL).repartition(shards, "envelope").sortWithinPartitions("envelope")
     return answers.mapInArrow(_finish(path, pattern, digests), REPORT if digests else IDS_OUT)

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``used`` under names that no operator takes for its own,
+    and the function that gives them their names and order back. Names that an operator adds
+    begin with two underscores; whatever the caller's columns are called, none is overwritten."""
+    names = docs.columns
+    held = [c if c in used else f"other{i}" for i, c in enumerate(names)]
+    if "_metadata" in docs.columns:  # it would hide where rows are stored
+        docs = cut(docs.toDF(*held))
+    return docs.toDF(*held), lambda out: out.select(*held).toDF(*names)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__rid``, a name for each row, and ``__batch``, one for each run of at
     most 2**BATCH_BITS rows of a file. Both come from the row's place in its Parquet file,
@@ -76,6 +88,36 @@ def runs(batches: Iterator[pa.RecordBatch], key: str = "__batch") -> Iterator[tu
         yield now, pa.Table.from_batches(held)
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts: what the number of partitions is taken from."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def shards_for(spark: SparkSession, size: int, each: int) -> int:
+    """So many partitions that one holds about ``each`` of ``size`` bytes; never fewer than
+    ``spark.sql.shuffle.partitions``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
+def pack(payloads: list[bytes], level: int = 3) -> bytes:
+    """Byte strings as one compressed blob."""
+    import zstandard
+
+    lengths = np.fromiter(map(len, payloads), "<u4", len(payloads))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join([np.uint32(len(payloads)).tobytes(), lengths.tobytes(), *payloads]))
+
+
+def unpack(blob: bytes) -> Iterator[bytes]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    at = 4 + 4 * n
+    for size in np.frombuffer(raw, "<u4", n, 4).tolist():
+        yield raw[at:at + size]
+        at += size
+
+
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """Texts in UTF-8; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
