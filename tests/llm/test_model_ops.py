@@ -342,25 +342,62 @@ def test_suffix_order():
     assert got[0].tolist() == [5] * 7 + [2] * 11 and got[1].tolist() == [2] * 6 and got[2].tolist() == [9]
 
 
-def test_match_of_segments():
-    """What the shortcuts and the construction find is what a table of strings finds."""
+def test_match_of_segments(monkeypatch):
+    """What the construction finds is what a table of strings finds, in one collection or many."""
+    from timbra.llm import suffix
     from timbra.llm.suffix import LENGTH, NO_ID, match
 
     rng = np.random.default_rng(10)
     whole = "".join(rng.choice(list("abcd"), 400))
     segs = list(dict.fromkeys(whole[a:a + n].encode() for a, n in zip(rng.integers(0, 100, 60).tolist(), rng.integers(50, 81, 60).tolist(), strict=True)))
     segs += ["".join(rng.choice(list("abcd"), 60)).encode() for _ in range(20)]
-    keys = rng.permutation(len(segs)).astype(np.int64)
-    low, high, by_start, least = match(segs, keys)
+    keys, several = rng.permutation(len(segs)).astype(np.int64), rng.random(len(segs)) < 0.2
+    # segments as they are sent share an anchor if they share a string: one collection here
+    low, ids = match(segs[:1], keys[:1], np.array([True]))
+    assert low[0] == 0 and set(ids[0].tolist()) == {int(keys[0])}
+    monkeypatch.setattr(suffix, "COLLECTION", 1 << 30)
+    low, ids = match(segs, keys, several)
     first = {}
     for s, k in zip(segs, keys.tolist(), strict=True):
         for p in range(len(s) - LENGTH + 1):
             first[s[p:p + LENGTH]] = min(first.get(s[p:p + LENGTH], NO_ID), k)
     for i, (s, k) in enumerate(zip(segs, keys.tolist(), strict=True)):
         for p in range(len(s) - LENGTH + 1):
-            inside = low[i] <= p <= high[i]
-            got = (by_start[i][p - low[i]] if i in by_start else least[i]) if inside else NO_ID
-            assert min(got, k) == first[s[p:p + LENGTH]]
+            inside = i in ids and low[i] <= p < low[i] + len(ids[i])
+            assert min(int(ids[i][p - low[i]]) if inside else NO_ID, k) == first[s[p:p + LENGTH]]
+        assert not several[i] or len(ids[i]) == len(s) - LENGTH + 1
+
+
+def test_suffix_dedup_needs_the_construction(spark, tmp_path, monkeypatch):
+    """Without the suffix order nothing is removed but whole copies; letters may be small."""
+    from timbra.llm import suffix
+
+    rng = np.random.default_rng(11)
+    say = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    shared = say(60)
+    rows = [(k, f"{say(20)} {shared} {say(20)}", None) for k in range(12)] + [(50, shared, None), (51, shared, None)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(2).write.parquet(path)
+    docs = spark.read.parquet(path)
+    batches = docs.selectExpr("doc_id", "text", "cast(doc_id as string) __rid", "'b' __batch").toArrow().to_batches()
+    take = lambda: pa_table(suffix, batches)
+    assert sorted(map(tuple, suffix.repeat_report(docs).collect()), key=str) == brute_repeats(rows) == take()
+    monkeypatch.setattr(suffix, "LETTER_BYTES", 1000)
+    assert take() == brute_repeats(rows)
+    monkeypatch.setattr(suffix, "least_ids", lambda strings, ids: [np.full(len(x) - suffix.LENGTH + 1, suffix.NO_ID) for x in strings])
+    assert all(r[2] == 0 for r in take())
+
+
+def pa_table(suffix, batches):
+    """The steps of the suffix dedup in this process, without the grouping of whole copies."""
+    import pyarrow as pa
+
+    texts = list(suffix._send_texts(iter(batches)))
+    found = list(suffix._find_candidates(iter(list(suffix._send_anchors(1)(iter(batches))))))
+    mail = pa.Table.from_batches([*texts, *found]).sort_by([("batch", "ascending"), ("kind", "ascending")]).to_batches()
+    cut = pa.Table.from_batches(list(suffix._cut_segments(1)(iter(mail))))
+    marks = pa.Table.from_batches(list(suffix._match(iter(cut.to_batches())))).sort_by("batch")
+    return sorted((tuple(r.values()) for b in suffix._finish(iter(marks.to_batches())) for r in b.to_pylist()), key=str)
 
 
 def test_crowd_splits(monkeypatch):
@@ -375,12 +412,7 @@ def test_crowd_splits(monkeypatch):
         monkeypatch.setattr(suffix, "CROWD", crowd)
         docs = [("b0", 1, text), ("b1", 2, b"lead " + text), ("b2", 3, text[10:80] + b" tail of something else entirely, quite long")]
         batches = [pa.RecordBatch.from_pydict({"__rid": [n], "__batch": [n], "doc_id": [i], "text": [t.decode()]}) for n, i, t in docs]
-        texts = list(suffix._send_texts(iter(batches)))
-        found = list(suffix._find_candidates(iter(list(suffix._send_anchors(1)(iter(batches))))))
-        mail = pa.Table.from_batches([*texts, *found]).sort_by("batch").to_batches()
-        cut = pa.Table.from_batches(list(suffix._cut_segments(1)(iter(mail))))
-        marks = pa.Table.from_batches(list(suffix._match(iter(cut.to_batches())))).sort_by("batch")
-        return sorted(map(tuple, (r.values() for b in suffix._finish(iter(marks.to_batches())) for r in b.to_pylist())))
+        return pa_table(suffix, batches)
 
     want = brute_repeats([(1, text.decode(), None), (2, "lead " + text.decode(), None), (3, text[10:80].decode() + " tail of something else entirely, quite long", None)])
     assert run(4096) == run(1) == want
