@@ -100,56 +100,138 @@ def test_brown_counts_and_scores(docs, rows):
     assert lm_report(docs.limit(0)).count() == 0
 
 
-def test_brown_model_is_a_distribution(spark, docs):
-    """Over the vocabulary and one unseen word a class, probabilities after any word sum to one."""
+def test_brown_model_is_a_distribution(spark, docs, monkeypatch):
+    """Over the vocabulary and one unseen word a class, probabilities after any word sum to one;
+    scores are those of the classes; with a small head most words get theirs by mail."""
     from timbra.llm import brown
 
-    model, counts = brown.fit(docs)
-    table = counts.collect()
-    size = brown.CLASSES + brown.ENDINGS + 1
-    mass = np.zeros(size)
-    for r in table:
-        k = model.head.words.get(bytes(r.word), -1)
-        g = model.group[model.head.symbol[k] if k >= 0 else brown.CLUSTERED + brown.ending(bytes(r.word))]
-        mass[g] += 10 ** (math.log10(r.n + 1) + model.other_emit[g])
-    unseen = 10 ** model.other_emit
-    live = mass[:-1] > 0
-    assert np.allclose((mass + unseen)[:-1][live], 1) and np.allclose((10 ** model.move).sum(1), 1)
-
+    for head_size in (brown.HEAD, 300):
+        head, group, coded, model = brown.fit(docs) if head_size == brown.HEAD else small_head(monkeypatch, brown, docs, head_size)
+        rows = coded.collect()
+        texts = {(r.doc_id, r.n_tokens): (r, x) for r, x in ((r, x) for r in rows for x in [bytes(r.classes)])}
+        class_of, n = {}, Counter()
+        for i, t, _ in docs.select("doc_id", "text", "source").collect():
+            r, classes = texts[i, len(words(lower(t or ""))) + 1]
+            for w, c in zip(lower(t or "").encode().split(), classes, strict=True):
+                assert class_of.setdefault(w, c) == c  # one class a word, wherever it stands
+                n[w] += not r.held_out
+        assert all((c == brown.UNSEEN) == (n[w] == 0) for w, c in class_of.items())
+        assert all(group[k] == class_of[w] for w, k in head.words.items()) and len(head.words) == min(head_size, sum(v > 0 and len(w) <= brown.HEAD_BYTES for w, v in n.items()))
+        mass = np.ones(brown.CLASSES)  # the word kept for the unseen
+        for w, c in class_of.items():
+            if n[w]:
+                mass[c] += n[w] + 1
+        assert np.allclose(mass, 10 ** model.room) and np.allclose((10 ** model.move).sum(1), 1)
+        (r, classes), = [x for k, x in texts.items() if k[0] == 9009]
+        path = [brown.ENDS]
+        for c in classes:
+            path.append(int(model.unseen[path[-1]]) if c == brown.UNSEEN else c)
+        want = sum(math.log10(n[w] + 1) - model.room[c] for w, c in zip(EDGE_WORDS, path[1:], strict=True)) + sum(model.move[a, b] for a, b in zip(path, [*path[1:], brown.ENDS], strict=True))
+        got = [x.score for x in brown.scored(coded, model).collect() if x.doc_id == 9009]
+        assert got == [pytest.approx(want)]
+
+
+EDGE_WORDS = b"same line here ok same line here ok other".split()
+
+
+def small_head(monkeypatch, brown, docs, size):
+    whole = brown.head_of
+
+    def few(counts):
+        head = whole(counts)
+        return brown.Head({w: k for w, k in head.words.items() if k < size}, head.n[:size])
+
+    monkeypatch.setattr(brown, "head_of", few)
+    return brown.fit(docs)
+
+
+def bigrams(spark, brown, texts, shards=3):
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    head = brown.head_of(brown.word_counts(docs))
+    return brown.neighbours(docs, head, shards), head
+
+
+def test_brown_tables_count_all_pairs(spark, monkeypatch):
+    from timbra.llm import brown
 
-def test_exchange_raises_likelihood():
-    from timbra.llm.brown import exchange
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.5, int(rng.integers(0, 60))) % 90) for _ in range(80)]
+    monkeypatch.setattr(brown, "FLUSH", 200)
+    pairs, head = bigrams(spark, brown, texts)
+    group = np.full(brown.HEAD + 2, brown.NONE, np.uint8)
+    group[brown.END] = brown.ENDS
+    group[:len(head.words)] = rng.integers(0, brown.CLASSES, len(head.words))
+    want = np.zeros((brown.SIDE, brown.SIDE))
+    for t in texts:
+        path = [brown.ENDS, *(group[head.words[w]] for w in t.encode().split()), brown.ENDS]
+        np.add.at(want, (path[:-1], path[1:]), 1)
+    assert (brown.class_table(pairs, group) == want).all()
+    # a move alone gains what its likelihood says
+    def with_class(w, c):
+        new = group.copy()
+        new[w] = c
+        return brown.likelihood(brown.class_table(pairs, new))
+
+    for blob in [r.blob for r in pairs.collect()]:
+        ids, right, left, own_n = brown.profiles(bytes(blob), group)
+        keep = ids < len(head.words)
+        ids, right, left, own_n = ids[keep].astype(np.int64), right[keep], left[keep], own_n[keep]
+        own = group[ids].astype(np.int64)
+        to = brown.candidates(want, right, left, own_n, own)
+        gain = brown.gains(want, right, left, own_n, own, to) - brown.gains(want, right, left, own_n, own, own)
+        for k in range(0, len(ids), max(1, len(ids) // 4)):
+            assert gain[k] == pytest.approx(with_class(ids[k], to[k]) - brown.likelihood(want), abs=1e-6)
+
+
+def sequential(table_of, n_words, classes, start):
+    """Plain exchange: word after word, each to the class of the highest likelihood."""
+    group, best = start.copy(), table_of(start)
+    while True:
+        moved = False
+        for w in range(n_words):
+            for c in range(classes):
+                new = group.copy()
+                new[w] = c
+                value = table_of(new)
+                if value > best + 1e-9:
+                    group, best, moved = new, value, True
+        if not moved:
+            return best
+
+
+def test_brown_exchange_nears_the_sequential_form(spark):
+    from timbra.llm import brown
 
     rng = np.random.default_rng(0)
-    kind = np.arange(24) % 3
-    pairs = np.zeros((25, 25))
-    for a in range(24):
-        for b in range(24):
-            pairs[a, b] = rng.poisson(40 if (kind[a] + 1) % 3 == kind[b] else 1)
-    shuffled = rng.permutation(24)
-    order = np.concatenate([shuffled, [24]])
-    group = exchange(pairs[np.ix_(order, order)], 24, classes=3)
+    kinds, n = 4, 32
+    texts = []
+    for _ in range(300):
+        k, out = int(rng.integers(0, kinds)), []
+        for _ in range(20):
+            out.append(f"w{int(rng.integers(0, n // kinds)) * kinds + k:02d}")
+            k = (k + 1) % kinds if rng.random() < 0.9 else int(rng.integers(0, kinds))
+        texts.append(" ".join(out))
+    pairs, head = bigrams(spark, brown, texts)
+    group, table = brown.exchange(pairs, len(head.words), 0, kinds)
+    assert (brown.class_table(pairs, group, kinds + 2) == table).all()
+    words_of = [sorted(head.words, key=head.words.get)]
+    counts = np.zeros((n + 1, n + 1))
+    for t in texts:
+        path = [n, *(head.words[w] for w in t.encode().split()), n]
+        np.add.at(counts, (path[:-1], path[1:]), 1)
+
+    def value(g):
+        full, t = np.append(g, kinds), np.zeros((kinds + 2, kinds + 2))
+        np.add.at(t, (full[:, None], full[None, :]), counts)
+        return brown.likelihood(t)
+
+    reached = value(group[:n].astype(np.int64))
+    best = sequential(value, n, kinds, np.arange(n) % kinds)
+    assert reached == pytest.approx(brown.likelihood(table)) and reached >= best - 0.01 * abs(best)
     found = {}
-    for k, g in zip(kind[shuffled], group[:24], strict=True):
-        found.setdefault(g, set()).add(int(k))
-    assert sorted(map(sorted, found.values())) == [[0], [1], [2]]
-
-
-@pytest.mark.parametrize("seed", range(4))
-def test_exchange_ends_where_no_move_gains(seed):
-    from timbra.llm.brown import exchange
-
-    def likelihood(group):
-        t = np.zeros((7, 7))
-        np.add.at(t, (group[:, None], group[None, :]), pairs)
-        x = lambda v: (v * np.log(np.maximum(v, 1))).sum()
-        return x(t) - x(t.sum(0)) - x(t.sum(1))
-
-    rng = np.random.default_rng(seed)
-    pairs = rng.poisson(rng.gamma(0.3, 2, (81, 81))).astype(float)
-    group = exchange(pairs, 80, classes=6, rounds=100)
-    best = likelihood(group)
-    assert all(likelihood(np.where(np.arange(81) == w, k, group)) <= best + 1e-6 for w in range(80) for k in range(6))
+    for w, g in zip(words_of[0], group, strict=False):
+        found.setdefault(int(g), set()).add(int(w[1:]) % kinds)
+    assert sum(len(x) == 1 for x in found.values()) >= kinds - 1
 
 
 def tokenizer():
