@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, set_aside
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Bits of the seeded order that each refinement of a source's cut-off settles.
@@ -114,9 +114,10 @@ def mix_report(docs: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] =
 def mixed(docs: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 20) -> DataFrame:
     """The documents of the mix, all columns, each as often as it is taken. Documents
     without words stay out: they add nothing to any source."""
+    docs, given_back = set_aside(docs, "doc_id", "text", "source")
     _, p = decisions(docs, max_epochs, weights, seed)
     p = p.select(F.col("skey").alias("__skey"), F.col("whole").alias("__whole"), F.col("upto").alias("__upto"))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)), F.lit(0)).cast("long")
     n = F.when(F.col("__size") > 0, copies(F.col("__whole"), F.col("__upto"), place(seed, F.col("doc_id"), F.col("__size"), F.col("__skey")))).otherwise(0)
     rows = docs.withColumn("__size", size).withColumn("__skey", source_key(F.col("source"))).join(p, "__skey").withColumn("__n", n).filter("__n > 0")
-    return rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return given_back(rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))))

@@ -168,11 +168,12 @@ def scored(stats: DataFrame, forest: Forest) -> DataFrame:
 
 def calibrate(rows: DataFrame, labels: DataFrame, false_rate: float = 0.002) -> float:
     """The lowest score at which rejecting loses at most ``false_rate`` of the labelled good
-    rows (quality 1) that the base rules keep. Without labels nothing is rejected."""
+    rows (quality 1) that the base rules keep. Without labelled rows of both kinds nothing is
+    rejected."""
     marks = labels.select(labels["doc_id"].alias("doc_id"), labels["quality"].alias("quality")).filter("quality is not null")
     own = rows.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("doc_id", F.floor(F.col("score") * BINS).cast("int").alias("bin"))
     counts = own.join(marks, "doc_id").groupBy("bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")).toPandas()
-    if not counts["bad"].sum():
+    if not counts["bad"].sum() or not counts["good"].sum():
         return math.inf
     counts = counts.sort_values("bin", ascending=False)
     lost = counts["good"].cumsum() <= false_rate * counts["good"].sum()
@@ -192,7 +193,8 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the five counts, base_failed, kept and score for every row of ``docs``.
 
     Null or empty texts have no words and fail the base rules; repeated rows are judged
-    alike; an empty table gives none; with no usable labels only the base rules reject.
+    alike; an empty table gives none; with no labelled rows of either kind, good or bad,
+    only the base rules reject.
     """
     rows, _, threshold = fitted(docs, labels)
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_bytes, cut, numbered
+from .common import arrow_schema, as_bytes, cut, numbered, set_aside
 from .graph import components
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 3
@@ -200,7 +200,7 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of each class the one with the smallest
     doc_id, of several such rows the first by place."""
+    docs, given_back = set_aside(docs, "doc_id", "text")
     rows = cut(fingerprints(numbered(docs), "__rid"))
     best = rows.join(classes(rows), "fp").groupBy("component_id").agg(F.min_by("__rid", F.struct(F.col("doc_id").isNull(), "doc_id", "__rid")).alias("__rid"))
-    out = numbered(docs).join(best.select("__rid"), "__rid", "left_semi")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return given_back(numbered(docs).join(best.select("__rid"), "__rid", "left_semi"))
