@@ -327,9 +327,14 @@ def brute_top_k(rows, k=5):
     return sorted(out, key=str)
 
 
-def test_top_k(spark, sf):
+@pytest.mark.parametrize("sizes", [{}, {"QUERY_BLOCK": 1, "ROW_BLOCK": 7, "GROUP": 2}])
+def test_top_k(spark, sf, monkeypatch, sizes):
+    """The whole table, in one block of each kind and in many."""
+    from timbra.llm import topk
     from timbra.llm.topk import top_k
 
+    for name, size in sizes.items():
+        monkeypatch.setattr(topk, name, size)
     got = top_k(spark.read.parquet(f"{sf}/embeddings.parquet"))
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, got.collect()), key=str) == brute_top_k(rows)
@@ -347,10 +352,10 @@ def test_top_k_edges(spark):
 
 
 def test_branch_and_bound_prunes_and_keeps_ties():
-    from timbra.llm.topk import Block, columns
+    from timbra.llm.topk import Block, columns, scaled
 
     rng = np.random.default_rng(6)
-    x = [list(v) for v in np.repeat(rng.normal(size=(300, 64)) / 8, 2, axis=0)]
+    x = [scaled(v) for v in np.repeat(rng.normal(size=(300, 64)) / 8, 2, axis=0)]
     block, q = Block(columns(x, 64)), columns([x[10]], 64)[:, 0]
     at, scores = block.best(q, 5, None, 10)
     full = q @ columns(x, 64)
