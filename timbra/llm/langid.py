@@ -19,7 +19,9 @@ OVERLAP = 3.0
 #: Weight of what stands above: a declaration's and a suffix's prior, the domain over the
 #: host, all pages over the domain.
 DECLARED_PRIOR, SUFFIX_PRIOR, DOMAIN_WEIGHT, GLOBAL_WEIGHT = 1.0, 5.0, 5.0, 5.0
-MOST_LANGUAGES = 1000
+DECLARED_FLOOR = 0.1
+#: Languages whose likelihoods a task holds at once; more of them take more passes.
+LANGUAGE_BLOCK = 64
 
 DROPPED = re.compile(rb"(?is)<(script|style|nav|footer|head|noscript)\b.*?</\1\s*>|<!--.*?-->|<div class=\"ad\">.*?</div>")
 TITLE, ARTICLE, TAG, ENTITY = re.compile(rb"(?is)<title[^>]*>(.*?)</title>"), re.compile(rb"(?is)<(article|main)\b[^>]*>(.*?)</\1\s*>"), re.compile(rb"(?s)<[^>]*>"), re.compile(rb"&#?[A-Za-z0-9]{1,10};")
@@ -49,13 +51,15 @@ def triples(text: bytes) -> np.ndarray:
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
-def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log likelihoods [bucket, language]) from all whole texts with a language.
+def languages(docs: DataFrame) -> list[str]:
+    """The languages that documents are in, in order."""
+    return sorted(r[0] for r in docs.select(F.lower(F.trim("lang")).alias("lang")).filter("lang <> ''").distinct().collect())
+
+
+def text_model(docs: DataFrame, names: list[str]) -> np.ndarray:
+    """Log likelihoods [bucket, language] of ``names``, from all whole texts in one of them.
     Tasks send BUCKETS counts a language at most; so many reach the driver in all."""
-    known = docs.select(F.lower(F.trim("lang")).alias("lang"), "text").filter("lang is not null and lang <> ''")
-    names = sorted(r[0] for r in known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages are declared")
+    known = docs.select(F.lower(F.trim("lang")).alias("lang"), "text").filter(F.col("lang").isin(names))
     place = {n: k for k, n in enumerate(names)}
     schema = "language int, bucket int, n long"
 
@@ -70,30 +74,43 @@ def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     rows = known.mapInArrow(run, schema).groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((BUCKETS, len(names)), ALPHA)
     counts[rows["bucket"], rows["language"]] += rows["n"]
-    return names, np.log(counts / counts.sum(0)) if names else np.zeros((BUCKETS, 0))
+    return np.log(counts / counts.sum(0))
 
 
-READ = "page_id long, url string, declared string, grams long, likelihood array<double>"
+READ = "page_id long, url string, declared string, html string, grams long, likelihood array<double>"
 
 
-def read_pages(pages: DataFrame, table: np.ndarray) -> DataFrame:
-    """Each page's text evidence, declared language, host, domain and suffix: a written table."""
+def _heard(table: np.ndarray, last: bool):
+    """Add the likelihoods of one block of languages to each page; the last one drops the page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(READ)
         for b in batches:
             rows = [triples(main_text(x)) for x in as_bytes(b.column(3))]
-            ll = [(table[r].sum(0) / OVERLAP).tolist() for r in rows]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(r) for r in rows], pa.int64()), pa.array(ll, pa.list_(pa.float64()))], schema=arrow_schema(READ))
+            ll = [[*known, *(table[r].sum(0) / OVERLAP).tolist()] for known, r in zip(b.column(5).to_pylist(), rows, strict=True)]
+            html = pa.nulls(b.num_rows, pa.string()) if last else b.column(3)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], html, pa.array([len(r) for r in rows], pa.int64()), pa.array(ll, schema.field("likelihood").type)], schema=schema)
+
+    return run
 
+
+def read_pages(pages: DataFrame, docs: DataFrame, names: list[str]) -> DataFrame:
+    """Each page's text evidence, declared language, host, domain and suffix: a written table."""
     html = F.coalesce(pages["html"], F.lit(""))
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), F.nullif(F.lower(F.regexp_extract(html, DECLARED, 1)), F.lit("")).alias("declared"), html.alias("html")).mapInArrow(run, READ)
+    declared = F.nullif(F.lower(F.regexp_extract(html, DECLARED, 1)), F.lit(""))
+    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), declared.alias("declared"), html.alias("html"), F.lit(0).cast("long").alias("grams"), F.array().cast("array<double>").alias("likelihood"))
+    for start in range(0, len(names), LANGUAGE_BLOCK):
+        table = text_model(docs, names[start:start + LANGUAGE_BLOCK])
+        rows = rows.mapInArrow(_heard(table, start + LANGUAGE_BLOCK >= len(names)), READ)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     labels = F.split("host", r"\.")
-    return cut(rows.withColumn("host", host).withColumn("domain", F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)), ".")).withColumn("suffix", F.element_at(labels, -1)).drop("url"))
+    return cut(rows.withColumn("host", host).withColumn("domain", F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)), ".")).withColumn("suffix", F.element_at(labels, -1)).drop("url", "html"))
 
 
-def _counts(n: int) -> Column:
-    return F.array(*[F.count_if(F.col("guess") == k).cast("double") for k in range(n)])
+def _counted(sure: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name, name_n): for each key, pages by the language that their text alone says."""
+    pairs = sure.groupBy(key, "guess").agg(F.count("*").cast("double").alias("c"))
+    return cut(pairs.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("guess", "c"))).alias(name), F.sum("c").alias(f"{name}_n")))
 
 
 def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -105,43 +122,41 @@ def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
     alone says; a page's own count is left out of its host's. The host's prior is smoothed by
     its domain's and that by all pages'. Null pages, urls and texts give no evidence of their
     kind; repeated rows are pages of their own; without languages ``lang`` is null; an empty
-    table gives none.
+    table gives none; any number of languages is told apart; other columns are ignored.
     """
-    names, table = text_model(docs)
+    names = languages(docs)
     n = len(names)
-    rows = read_pages(pages, table)
+    rows = read_pages(pages, docs, names)
     none = F.lit(None).cast("string")
     if not n:
         return rows.select("page_id", "host", "suffix", "declared", none.alias("text_lang"), none.alias("lang"), F.lit(None).cast("double").alias("probability"))
-    every = F.array(*map(F.lit, names))
+    every = F.lit(names)
     best = (F.array_position("likelihood", F.array_max("likelihood")) - 1).cast("int")
-    rows = rows.withColumn("guess", F.when(F.col("grams") > 0, best)).withColumn("said", F.when(F.col("declared").isNull(), n + 1).otherwise(F.coalesce(F.nullif(F.array_position(every, F.col("declared")), F.lit(0)) - 1, F.lit(n))).cast("int"))
+    said = F.when(F.col("declared").isNull(), n + 1).otherwise(F.coalesce(F.nullif(F.array_position(every, F.col("declared")), F.lit(0)) - 1, F.lit(n))).cast("int")
+    rows = rows.withColumn("guess", F.when(F.col("grams") > 0, best)).withColumn("said", said)
     sure = rows.filter("guess is not null")
-    # small tables: languages by declarations; all pages by language
-    said = np.zeros((n, n + 2))
-    for g, s, c in sure.groupBy("guess", "said").count().collect():
-        said[g, s] = c
-    whole = said.sum(1)
-    declared = np.log((said + DECLARED_PRIOR * np.eye(n, n + 2) + 0.1) / (said + DECLARED_PRIOR * np.eye(n, n + 2) + 0.1).sum(1, keepdims=True))
-    declared[:, n + 1] = 0.0  # no declaration says nothing
+    whole = np.zeros(n)
+    for g, c in sure.groupBy("guess").count().collect():
+        whole[g] = c
     top = (whole + 1) / (whole.sum() + n)
-    suffixes = cut(sure.groupBy("suffix").agg(_counts(n).alias("s")))
-    domains = cut(sure.groupBy("domain").agg(_counts(n).alias("d")))
-    hosts = cut(sure.groupBy("host").agg(_counts(n).alias("h")))
-    rows = rows.join(suffixes, "suffix", "left").join(domains, "domain", "left").join(hosts, "host", "left")
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    own = lambda k: F.when(F.col("guess") == k, 1.0).otherwise(0.0)
+    for key, name in (("suffix", "s"), ("domain", "d"), ("host", "h"), ("said", "a")):
+        rows = rows.join(_counted(sure, key, name), key, "left")
+    each, all_pages = F.lit([float(x) for x in whole]), F.lit([float(x) for x in top])
     mine = F.when(F.col("guess").isNotNull(), 1.0).otherwise(0.0)
-    at = lambda c, k: F.coalesce(F.get(c, F.lit(k)), F.lit(0.0))
-    size = lambda c: F.coalesce(total(F.col(c)), F.lit(0.0))
-    scores = []
-    for k in range(n):
-        domain = (at("d", k) - own(k) + GLOBAL_WEIGHT * float(top[k])) / (size("d") - mine + GLOBAL_WEIGHT)
-        host = (at("h", k) - own(k) + DOMAIN_WEIGHT * domain) / (size("h") - mine + DOMAIN_WEIGHT)
+    size = lambda c: F.coalesce(f"{c}_n", F.lit(0.0))
+    at = lambda c, k: F.coalesce(F.try_element_at(F.col(c), k), F.lit(0.0))
+
+    def score(k: Column) -> Column:
+        own = F.when(F.col("guess") == k, 1.0).otherwise(0.0)
+        pages_in = F.get(each, k)
+        domain = (at("d", k) - own + GLOBAL_WEIGHT * F.get(all_pages, k)) / (size("d") - mine + GLOBAL_WEIGHT)
+        host = (at("h", k) - own + DOMAIN_WEIGHT * domain) / (size("h") - mine + DOMAIN_WEIGHT)
         share = size("s") / F.lit(float(max(whole.sum(), 1)))
-        suffix = F.when(size("s") > 0, F.ln((at("s", k) - own(k) + SUFFIX_PRIOR * share) / F.lit(float(whole[k] + SUFFIX_PRIOR)))).otherwise(0.0)
-        scores.append(F.get("likelihood", F.lit(k)) + F.element_at(F.array(*[F.lit(float(x)) for x in declared[k]]), F.col("said") + 1) + suffix + F.ln(host))
-    rows = rows.withColumn("scores", F.array(*scores))
+        suffix = F.when(size("s") > 0, F.ln((at("s", k) - own + SUFFIX_PRIOR * share) / (pages_in + SUFFIX_PRIOR))).otherwise(0.0)
+        declared = F.ln((at("a", k) + F.when(F.col("said") == k, DECLARED_PRIOR).otherwise(0.0) + DECLARED_FLOOR) / (pages_in + DECLARED_PRIOR + DECLARED_FLOOR * (n + 2)))
+        return F.get("likelihood", k) + F.when(F.col("said") == n + 1, 0.0).otherwise(declared) + suffix + F.ln(host)
+
+    rows = rows.withColumn("scores", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), score))
     most = F.array_max("scores")
     odds = F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.exp(x - most))
     lang = F.element_at(every, F.array_position("scores", most).cast("int"))
