@@ -144,7 +144,7 @@ def test_approval_gate_knows_every_session(spark, sf):
 
     stored = {r.user_id for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().collect()}
     asked = {r.request_id: r.session_id for r in proxies.requests(spark, sf).select("request_id", "session_id").collect()}
-    got = {r.request_id: r.decision for r in QUERIES["approval_gate_all"](spark, sf).collect()}
+    got = {r.request_id: r.decision for r in QUERIES["approval_gate"](spark, sf).collect()}
     assert got.keys() == asked.keys() and any(s % 10 == 7 for s in stored)
     assert {k for k, d in got.items() if d == "not_found"} == {k for k, s in asked.items() if s not in stored} != set()
 
@@ -190,7 +190,7 @@ def test_redaction_covers_every_document(spark, tmp_path):
     texts = [None, "", "plain 12345 a.b@c.org", "Rufen Sie 0170 1234567 an, schön: jürgen.müller@straße.de", "écrivez à élodie@exemple.fr, é12345 reste", "señal ١٢٣٤٥ y año 2024", "漢字123456 漢字 123456", "12\u00a034 56ß"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     brute = lambda t: re.sub(r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", "[email]", re.sub(r"\b\d[\d\s-]{3,}\b", "[number]", t or ""))
-    got = {r.doc_id: r.redacted for r in QUERIES["redact_all_text"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.redacted for r in QUERIES["redact_text"](spark, str(tmp_path)).collect()}
     assert got == {i: hashlib.md5(brute(t).encode()).hexdigest() for i, t in enumerate(texts)}
 
 

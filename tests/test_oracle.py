@@ -10,6 +10,12 @@ from timbra.plans.catalog import QUERIES, SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+@pytest.fixture(scope="module")
+def sf():
+    """The scale of the driver's comparison: sums and ties show there that smaller tables hide."""
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def con(sf):
     c = duckdb.connect()

@@ -23,8 +23,10 @@ def session_report(windows: DataFrame, session: str = "session_id", factors: Dat
 
 
 def report_factors(factors: DataFrame, session: str, limit: int = 8) -> DataFrame:
-    """top_factors of each call: by count, then mean contribution."""
-    g = factors.groupBy(session, "code").agg(F.count("*").alias("count"), F.avg("contribution").alias("mean_contribution"))
+    """top_factors of each call: by count, then mean contribution. Contributions are summed as
+    decimals, so that no order of rows changes a mean or a rank."""
+    total = F.sum(F.col("contribution").cast("decimal(20,12)"))
+    g = factors.groupBy(session, "code").agg(F.count("*").alias("count"), (total.cast("double") / F.count("*")).alias("mean_contribution"))
     w = Window.partitionBy(session).orderBy(F.col("count").desc(), F.col("mean_contribution").desc(), "code")
     top = g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
     return top.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("rank", "code", "count", "mean_contribution"))).alias("top_factors"))

@@ -200,8 +200,8 @@ def dashboard_top(spark, d):
 SIX = f"{RULE_ROWS}, six AS (SELECT window_id % 100 AS session_id, feature AS code, contribution FROM ev WHERE contribution > 0.01)"
 
 
-@query(f"""WITH {SIX}, g AS (SELECT session_id, code, count(*) AS n, avg(contribution) AS m FROM six GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, round(m, 9) DESC, code) AS rank FROM g)
-  SELECT session_id, rank, code, n AS count, round(m, 6) AS mean_contribution FROM k WHERE rank <= 8""")
+@query(f"""WITH {SIX}, g AS (SELECT session_id, code, count(*) AS n, sum(CAST(contribution AS DECIMAL(20,12))) AS m FROM six GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, m DESC, code) AS rank FROM g)
+  SELECT session_id, rank, code, n AS count, CAST(round(CAST(CAST(m AS DOUBLE) / n AS DECIMAL(20,12)), 6) AS DOUBLE) AS mean_contribution FROM k WHERE rank <= 8""")
 def report_top_factors(spark, d):
     ev = S.rule_evidence(Q.features(spark, d), dims.rules(spark), ["window_id"]).filter("contribution > 0.01").select((F.col("window_id") % 100).alias("session_id"), F.col("feature").alias("code"), "contribution")
     rows = R.report_factors(ev, "session_id").select("session_id", F.inline("top_factors"))
@@ -214,18 +214,11 @@ def factor_frequency(spark, d):
     return R.factor_frequency(ev.withColumnRenamed("feature", "code"))
 
 
-@query(f"""WITH {Q.REQUESTS}, {PROFILES_SQL}, se AS (SELECT user_id AS session_id, floor(max(value) * 2) / 10 AS score, count(*) AS windows, count(*) / 25 AS audio FROM events WHERE user_id % 10 <> 7 GROUP BY user_id),
+@query(f"""WITH {Q.REQUESTS}, {PROFILES_SQL}, se AS (SELECT user_id AS session_id, floor(max(value) * 2) / 10 AS score, count(*) AS windows, count(*) / 25 AS audio FROM events GROUP BY user_id),
   k AS (SELECT r.*, coalesce(se.score, 0) AS risk, se.session_id IS NULL AS missing, windows < 3 OR audio < 3 AS thin, elevated, high, critical, amount >= 1000000 AS big FROM r LEFT JOIN se USING (session_id) JOIN p USING (profile))
   SELECT request_id, CASE WHEN missing THEN 'not_found' WHEN risk >= critical THEN 'block' WHEN risk >= high THEN CASE WHEN big THEN 'block' ELSE 'step_up' END WHEN risk >= elevated OR thin OR big THEN 'step_up' ELSE 'allow' END AS decision,
     CASE WHEN missing THEN '' WHEN risk >= critical THEN 'supervisor_escalation,callback_on_registered_number' WHEN risk >= high THEN 'callback_on_registered_number,second_factor' WHEN risk >= elevated OR thin THEN 'knowledge_based_question,second_factor' WHEN big THEN 'second_factor' ELSE '' END AS verification FROM k""")
 def approval_gate(spark, d):
-    e = Q.table(spark, d, "events").filter("user_id % 10 <> 7").groupBy(F.col("user_id").alias("session_id")).agg((F.floor(F.max("value") * 2) / 10).alias("score"), F.count("*").alias("windows_analyzed"), (F.count("*") / 25).alias("audio_seconds"))
-    out = R.approvals(Q.requests(spark, d), e, dims.profiles(spark))
-    return out.select("request_id", "decision", F.array_join("required_verification", ",").alias("verification"))
-
-
-@query(SQL["approval_gate"].replace(" WHERE user_id % 10 <> 7", ""))
-def approval_gate_all(spark, d):
     """The gate over every session of events; requests for sessions that are not there are not found."""
     e = Q.table(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg((F.floor(F.max("value") * 2) / 10).alias("score"), F.count("*").alias("windows_analyzed"), (F.count("*") / 25).alias("audio_seconds"))
     out = R.approvals(Q.requests(spark, d), e, dims.profiles(spark))
@@ -447,16 +440,10 @@ def urgency_hits(spark, d):
     return Q.table(spark, d, "conversations").select("conv_id", "turn", F.size(T.urgency_hits(F.expr(TRANSCRIPT))).alias("hits"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\b\d[\d\s-]{3,}\b', '[number]', 'g'), '\b[\w.+-]+@[\w-]+\.[\w.]+\b', '[email]', 'g')) AS redacted FROM documents WHERE NOT regexp_matches(text, '[^\x01-\x7F]')""")
-def redact_text(spark, d):
-    rows = Q.table(spark, d, "documents").filter(~F.col("text").rlike(r"[^\x01-\x7F]"))
-    return rows.select("doc_id", F.md5(T.redact(F.col("text"), unicode=False)).alias("redacted"))
-
-
 @query()
-def redact_all_text(spark, d):
-    """Every document, null and non-ASCII text included, as production redacts it. No SQL:
-    DuckDB's \\b and \\w know ASCII only, which is why ``redact_text`` leaves documents out."""
+def redact_text(spark, d):
+    """Every document, null and non-ASCII text included. No SQL: DuckDB's \\b and \\w know
+    ASCII only; tests hold it against Python's expressions."""
     return Q.table(spark, d, "documents").select("doc_id", F.md5(T.redact(F.col("text"))).alias("redacted"))
 
 
