@@ -342,3 +342,69 @@ def test_training(spark):
     assert figures["auc"] > 0.8 and a > 0 and max(L.importances(model, ["a", "b", "missing"]).items(), key=lambda kv: kv[1])[0] == "a"
     unseen = L.unseen_methods(df, ["a", "b"])
     assert set(unseen) == {"m0", "m1", "m2"} and all(v["eer"] < 0.35 for v in unseen.values())
+
+
+def pulses(f0, jitter=0.0, shimmer=0.0, n=16000):
+    """A voice of decaying pulses whose periods and amplitudes alternate by given shares."""
+    x, at, sign = np.zeros(n), 0.0, 1
+    while at < n - 100:
+        i = np.arange(int(np.ceil(at)), min(int(at) + 400, n))
+        d = (i - at) / 16000
+        x[i] += 0.4 * (1 + sign * shimmer) * np.exp(-d * 300) * np.sin(2 * np.pi * f0 * d)
+        at, sign = at + 16000 / f0 * (1 + sign * jitter), -sign
+    return x
+
+
+def test_jitter_and_shimmer():
+    """Alternating periods p (1 +- j) differ by 2 j p each time, amplitudes alike. The low-pass
+    filter takes some of so fast an alternation away, and the next pulse hides some of a small
+    one, but the same share at every depth."""
+    from timbra.kernels import dsp
+
+    rows, _ = dsp.features(np.stack([pulses(150), pulses(150, jitter=0.01), pulses(150, jitter=0.02), pulses(150, shimmer=0.04), pulses(150, shimmer=0.08), np.zeros(16000)]))
+    even, some, twice, shimmer, deeper, none = rows
+    assert even["jitter_local"] < 0.001 and even["shimmer_local"] < 0.005 and even["cycle_count"] == pytest.approx(149, abs=3)
+    assert 0.6 * 0.02 < some["jitter_local"] < 0.021 and all(twice[k] == pytest.approx(2 * some[k], rel=0.15) for k in ("jitter_local", "jitter_ppq5", "period_cv"))
+    assert some["period_cv"] == pytest.approx(some["jitter_local"] / 2, rel=0.3)
+    assert 0.6 * 0.08 < shimmer["shimmer_local"] < 0.084 and shimmer["jitter_local"] < 0.01 and all(deeper[k] == pytest.approx(2 * shimmer[k], rel=0.2) for k in ("shimmer_local", "shimmer_apq3", "amplitude_cv"))
+    assert none["cycle_count"] == none["jitter_local"] == none["hnr_db"] == 0
+    assert even["hnr_db"] > 3
+
+
+def test_lowpass_and_peaks():
+    from timbra.kernels import dsp
+
+    t = np.arange(4000) / 16000
+    slow, fast = np.sin(2 * np.pi * 100 * t), np.sin(2 * np.pi * 2000 * t)
+    out = dsp.lowpass(slow + fast, 400)
+    assert np.abs(out - slow)[200:-200].max() < 0.01  # no delay, and the fast part is gone
+    half = dsp.lowpass(np.sin(2 * np.pi * 400 * t), 400)
+    assert np.abs(half[400:-400]).max() == pytest.approx(0.5, abs=0.01)  # half at the cut-off: the response squared
+    x = np.array([0, 3, 0, 5, 0, 4, 0, 0, 0, 2, 0.0])
+    assert dsp.peaks(x, 1).tolist() == [1, 3, 5, 9] and dsp.peaks(x, 3).tolist() == [3, 9]
+
+
+def test_beats_and_priors():
+    from timbra.kernels import dsp
+
+    db = -30 + 10 * np.sin(2 * np.pi * 5 * np.arange(200) * 0.01)[None]
+    mask = np.ones((1, 200), bool)
+    got = dsp.rhythm(mask, db, syllables=4.0, pauses=0.2)
+    assert got["syllable_rate"][0] == pytest.approx(5, abs=0.6)
+    assert got["syllable_rate_z"][0] == pytest.approx((got["syllable_rate"][0] - 4) / 4) and got["pause_ratio_z"][0] == -1
+
+
+def test_all_features_in_a_fixed_order(spark):
+    """123 names, the same for every window; a voiced window lets the prosodic layer vote."""
+    from pyspark.sql import functions as F
+
+    from timbra.operators.features import extract, feature_names, vector
+    from timbra.operators.scoring import prosodic_confidence
+
+    names = feature_names()
+    assert len(names) == len(set(names)) == 123
+    windows = spark.createDataFrame([(0, [float(v) for v in pulses(140, 0.01, 0.05)], "hi-IN"), (1, [0.0] * 16000, None), (2, [0.1] * 100, None)], "k long, samples array<double>, language string")
+    rows = extract(windows, ["k"], language="language").select("k", "features", vector(F.col("features"), names).alias("v"), prosodic_confidence(F.lit(1.0), F.coalesce(F.col("features")["cycle_count"], F.lit(0.0)), F.coalesce(F.col("features")["speech_ratio"], F.lit(0.0))).alias("c")).orderBy("k").collect()
+    assert [sorted(r.features) for r in rows] == [sorted(names), sorted(names), []]
+    assert all(len(r.v) == 123 for r in rows) and rows[0].v[names.index("cycle_count")] > 100
+    assert rows[0].c > 0.9 and rows[1].c == rows[2].c == 0

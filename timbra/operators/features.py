@@ -20,9 +20,9 @@ CHUNK = 64
 def extract(windows: DataFrame, keys: list[str], samples: str = "samples", language: str | None = None) -> DataFrame:
     """keys, ``features`` (map) and ``embedding`` of every window, no shuffle. Windows under a
     quarter of a second give an empty map and a zero vector."""
-    priors = {r[0]: r[1:3] for r in dims.LANGUAGES}
+    priors = {r[0]: r[1:5] for r in dims.LANGUAGES}
     own = windows.select(*keys, F.col(samples).cast("array<double>").alias("__x"), (F.coalesce(F.col(language), F.lit("auto")) if language else F.lit("auto")).alias("__l"))
-    schema = own.select(*keys).schema.add("features", T.MapType(T.StringType(), T.DoubleType())).add("embedding", T.ArrayType(T.DoubleType()))
+    schema = T.StructType(own.select(*keys).schema.fields).add("features", T.MapType(T.StringType(), T.DoubleType())).add("embedding", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from ..kernels import dsp
@@ -46,3 +46,10 @@ def extract(windows: DataFrame, keys: list[str], samples: str = "samples", langu
 def vector(features, names: list[str]):
     """Features in a fixed order; missing ones are 0."""
     return F.array(*[F.coalesce(features[n], F.lit(0.0)) for n in names])
+
+
+def feature_names() -> list[str]:
+    """Every feature that ``extract`` gives, in a fixed order: the order of a model's vector."""
+    from ..kernels import dsp
+
+    return list(dsp.names())
