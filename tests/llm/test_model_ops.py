@@ -426,7 +426,7 @@ def test_suffix_order():
     assert same.any()
     strings = [b"x" * 7 + b"q" * 60, b"q" * 55, b"z" * 50]
     got = least_ids(strings, np.array([5, 2, 9]))
-    assert got[0].tolist() == [5] * 7 + [2] * 11 and got[1].tolist() == [2] * 6 and got[2].tolist() == [9]
+    assert got.tolist() == [5] * 7 + [2] * 11 + [2] * 6 + [9]
 
 
 def test_match_of_segments(monkeypatch):
@@ -440,19 +440,18 @@ def test_match_of_segments(monkeypatch):
     segs += ["".join(rng.choice(list("abcd"), 60)).encode() for _ in range(20)]
     keys, several = rng.permutation(len(segs)).astype(np.int64), rng.random(len(segs)) < 0.2
     # segments as they are sent share an anchor if they share a string: one collection here
-    low, ids = match(segs[:1], keys[:1], np.array([True]))
-    assert low[0] == 0 and set(ids[0].tolist()) == {int(keys[0])}
+    assert [x.tolist() for x in match(segs[:1], keys[:1], np.array([True]))] == [[0], [0], [len(segs[0]) - LENGTH], [int(keys[0])]]
     monkeypatch.setattr(suffix, "COLLECTION", 1 << 30)
-    low, ids = match(segs, keys, several)
+    found = {}
+    for k, a, b, x in zip(*(c.tolist() for c in match(segs, keys, several)), strict=True):
+        found |= {(k, p): x for p in range(a, b + 1)}
     first = {}
     for s, k in zip(segs, keys.tolist(), strict=True):
         for p in range(len(s) - LENGTH + 1):
             first[s[p:p + LENGTH]] = min(first.get(s[p:p + LENGTH], NO_ID), k)
     for i, (s, k) in enumerate(zip(segs, keys.tolist(), strict=True)):
         for p in range(len(s) - LENGTH + 1):
-            inside = i in ids and low[i] <= p < low[i] + len(ids[i])
-            assert min(int(ids[i][p - low[i]]) if inside else NO_ID, k) == first[s[p:p + LENGTH]]
-        assert not several[i] or len(ids[i]) == len(s) - LENGTH + 1
+            assert min(found.get((i, p), NO_ID), k) == first[s[p:p + LENGTH]] and (not several[i] or (i, p) in found)
 
 
 def test_suffix_dedup_needs_the_construction(spark, tmp_path, monkeypatch):
@@ -471,7 +470,7 @@ def test_suffix_dedup_needs_the_construction(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, suffix.repeat_report(docs).collect()), key=str) == brute_repeats(rows) == take()
     monkeypatch.setattr(suffix, "LETTER_BYTES", 1000)
     assert take() == brute_repeats(rows)
-    monkeypatch.setattr(suffix, "least_ids", lambda strings, ids: [np.full(len(x) - suffix.LENGTH + 1, suffix.NO_ID) for x in strings])
+    monkeypatch.setattr(suffix, "least_ids", lambda strings, ids: np.full(sum(len(x) - suffix.LENGTH + 1 for x in strings), suffix.NO_ID))
     assert all(r[2] == 0 for r in take())
 
 
