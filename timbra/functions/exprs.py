@@ -150,3 +150,8 @@ def parabolic_peak(before: Column, at: Column, after: Column, index: Column) ->
     """Where the parabola through three neighbours peaks."""
     bend = before - 2 * at + after
     return F.when(F.abs(bend) < 1e-12, index).otherwise(index + 0.5 * (before - after) / bend)
+
+
+def let(value: Column, f) -> Column:
+    """f(value), with ``value`` worked out once for each row however often f looks at it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def running(rows: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
     """Add ``before_<v>`` and ``all_<v>``: sums of v over the rows of the group with a smaller
     ``order``, and over all of them. ``order`` is a number, unique in its group.
 
-    Rows are cut into ranges at approximate quantiles; a window runs inside each range and a
-    small one over the ranges' sums.
+    Rows are dealt by range, as many ranges as there are shuffle partitions, whatever their
+    number, and written with the number of their range, so that every later step sees the same
+    ranges; a window runs inside each range and a small one over the ranges' sums.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = sorted(set(rows.approxQuantile(order, [k / n for k in range(1, n)], 0.01))) if n > 1 else []
-    place = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(order))) if edges else F.lit(0)
-    rows = rows.withColumn("__range", place)
+    rows = cut(rows.repartitionByRange(n, *by, order).withColumn("__range", F.spark_partition_id()))
     sums = rows.groupBy(*by, "__range").agg(*[F.sum(v).alias(f"__{v}") for v in values])
     upto = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)

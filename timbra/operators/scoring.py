@@ -6,36 +6,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.exprs import band, logit, lookup, off_hours, ramp, sigmoid
+from ..functions.exprs import band, let, logit, lookup, off_hours, ramp, sigmoid
 from ..functions.text import urgency_hits
 from .fold import folded
 
 EPS = 1e-9
 
 
+def judged_rules(features: Column, rules: DataFrame) -> Column:
+    """ARRAY<STRUCT<layer, feature, label, value, weight, strength, contribution>> of the rules
+    that a window's map ``features`` lets judge. A rule is left out where its feature is
+    missing or a required one is about 0. The rules are a few dozen rows: they become part of
+    the expression, so no window is moved or copied."""
+    value = lambda name: F.try_element_at(features, F.lit(name))
+    found = []
+    for x in rules.collect():
+        v = value(x.feature)
+        here = v.isNotNull()
+        for need in x.requires or ():
+            here = here & (F.abs(F.coalesce(value(need), F.lit(0.0))) > EPS)
+        strength = ramp(v, F.lit(x.low), F.lit(x.high))
+        own = F.struct(F.lit(x.layer).alias("layer"), F.lit(x.feature).alias("feature"), F.lit(x.label).alias("label"), v.alias("value"), F.lit(x.weight).alias("weight"), strength.alias("strength"), (strength * F.lit(x.weight)).alias("contribution"))
+        found.append(F.when(here, own))
+    return F.array_compact(F.array(*found))
+
+
 def rule_evidence(features: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each window and rule that can be judged: strength and weighted contribution.
+    """A row for each window and rule that can be judged: strength and weighted contribution."""
+    return features.select(*keys, F.inline(judged_rules(F.col("features"), rules)))
 
-    ``features`` has the keys and a map ``features``. A rule is left out where its feature is
-    missing or a required one is about 0. The rules are a few dozen rows: broadcast.
-    """
-    near_zero = F.exists("requires", lambda r: F.abs(F.coalesce(F.element_at("features", r), F.lit(0.0))) <= EPS)
-    values = features.select(*keys, "features", F.explode("features").alias("feature", "value"))
-    rows = values.join(F.broadcast(rules), "feature").filter(~near_zero)
-    strength = ramp(F.col("value"), F.col("low"), F.col("high"))
-    return rows.select(*keys, "layer", "feature", "label", "value", "weight", strength.alias("strength"), (strength * F.col("weight")).alias("contribution"))
 
+def rule_layers(evidence: Column, rules: DataFrame) -> Column:
+    """ARRAY<STRUCT<layer, score, confidence, factors, features_used>> from a window's judged
+    rules, for each layer that has any. Sums of weights are freed of rounding, so that equal
+    shares stay equal in whatever order rules come."""
+    add = lambda own, c: F.aggregate(own, F.lit(0.0), lambda a, x: a + x[c])
+
+    def scored(own: Column, total: Column, layer: str, all_weight: float) -> Column:
+        bias, gain = dims.SCORERS.get(layer, (0.0, 0.0))
+        score = sigmoid(F.lit(bias) + F.lit(gain) * (2 * add(own, "contribution") / total - 0.5))
+        confidence = F.least(F.lit(1.0), 0.35 + 0.65 * total / F.lit(all_weight))
+        factors = F.transform(own, lambda x: F.struct(x["feature"].alias("code"), x["label"].alias("label"), (x["contribution"] / total).alias("contribution"), x["value"].alias("value")))
+        return F.when(F.size(own) > 0, F.struct(F.lit(layer).alias("layer"), score.alias("score"), confidence.alias("confidence"), factors.alias("factors"), F.size(own).alias("features_used")))
+
+    def of(rows: Column, layer: str, all_weight: float) -> Column:
+        return let(F.filter(rows, lambda x: x["layer"] == layer), lambda own: let(F.round(add(own, "weight"), 9), lambda total: scored(own, total, layer, all_weight)))
 
-def rule_scores(evidence: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
+    whole = sorted((r[0], float(r[1])) for r in rules.groupBy("layer").agg(F.sum("weight")).collect())
+    return let(evidence, lambda rows: F.array_compact(F.array(*[of(rows, *x) for x in whole])))
+
+
+def rule_scores(features: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     """score, confidence and factors of each window and layer."""
-    whole = rules.groupBy("layer").agg(F.sum("weight").alias("all_weight"))
-    factor = F.struct(F.col("feature").alias("code"), "label", "contribution", "value")
-    sums = evidence.groupBy(*keys, "layer").agg(F.sum("contribution").alias("strength"), F.sum("weight").alias("total"), F.collect_list(factor).alias("factors"))
-    bias, gain = (lookup(F.col("layer"), {k: v[i] for k, v in dims.SCORERS.items()}, 0.0) for i in (0, 1))
-    score = sigmoid(bias + gain * (2 * F.col("strength") / F.col("total") - 0.5))
-    confidence = F.least(F.lit(1.0), 0.35 + 0.65 * F.col("total") / F.col("all_weight"))
-    shares = F.transform(F.array_sort("factors"), lambda f: f.withField("contribution", f["contribution"] / F.col("total")))
-    return sums.join(F.broadcast(whole), "layer").select(*keys, "layer", score.alias("score"), confidence.alias("confidence"), shares.alias("factors"), F.size("factors").alias("features_used"))
+    rows = features.select(*keys, judged_rules(F.col("features"), rules).alias("__e"))
+    return rows.select(*keys, F.inline(rule_layers(F.col("__e"), rules)))
 
 
 def acoustic_confidence(confidence: Column) -> Column:
@@ -170,15 +194,21 @@ def banded(rows: DataFrame, profiles: DataFrame, score: str = "smoothed") -> Dat
     return out.withColumn("band", band(F.col(score), e, h, c)).drop("elevated", "high", "critical")
 
 
-def merged_factors(factors: DataFrame, keys: list[str], limit: int = 6) -> DataFrame:
-    """The strongest factor of each code over all layers, the ``limit`` best, shares that sum
-    to one. ``factors``: keys, code, label, contribution, confidence, share."""
-    scaled = factors.filter("confidence > 0").withColumn("scaled", F.col("contribution") * F.col("confidence") * F.col("share"))
-    best = scaled.groupBy(*keys, "code").agg(F.max("scaled").alias("scaled"), F.max_by("label", "scaled").alias("label"))
-    w = Window.partitionBy(*keys).orderBy(F.col("scaled").desc(), "code")
-    top = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-    whole = F.sum("scaled").over(Window.partitionBy(*keys))
-    return top.select(*keys, "code", "label", "rank", F.when(whole > EPS, F.col("scaled") / whole).otherwise(F.col("scaled")).alias("contribution"))
+def merged_factors(factors: Column, limit: int = 6) -> Column:
+    """ARRAY<STRUCT<code, label, rank, contribution>>: the strongest factor of each code over all
+    layers, the ``limit`` best, shares that sum to one. ``factors``: an array of structs with
+    code, label, contribution, confidence, share."""
+    weight = lambda x: x["contribution"] * x["confidence"] * x["share"]
+    live = F.transform(F.filter(factors, lambda x: x["confidence"] > 0), lambda x: F.struct((-weight(x)).alias("k"), x["code"].alias("code"), x["label"].alias("label")))
+    kind = "array<struct<k:double,code:string,label:string>>"
+    add = lambda seen, x: F.when(F.exists(seen, lambda y: y["code"] == x["code"]), seen).otherwise(F.concat(seen, F.array(x)))
+    first = F.aggregate(F.array_sort(live), F.array().cast(kind), add)  # of each code
+    share = lambda x, whole: F.when(whole > EPS, -x["k"] / whole).otherwise(-x["k"])
+
+    def ranked(top: Column, whole: Column) -> Column:
+        return F.transform(top, lambda x, i: F.struct(x["code"].alias("code"), x["label"].alias("label"), (i + 1).alias("rank"), share(x, whole).alias("contribution")))
+
+    return let(F.slice(first, 1, limit), lambda top: let(F.aggregate(top, F.lit(0.0), lambda a, x: a - x["k"]), lambda whole: ranked(top, whole)))
 
 
 def top_factors(factors: Column, n: int = 3) -> Column:

@@ -100,17 +100,18 @@ RULE_ROWS = f"""{Q.EVIDENCE}, {Q.rules_sql()}, ev AS (SELECT f.window_id, layer,
   SELECT window_id, layer, round(1 / (1 + exp(-(CASE layer WHEN 'acoustic' THEN -1.05 + 3.4 * (2 * e - 0.5) ELSE -1.2 + 3.0 * (2 * e - 0.5) END))), 6) AS score, round(least(1.0, 0.35 + 0.65 * total / all_weight), 6) AS confidence, n AS features_used FROM g JOIN whole USING (layer)""")
 def rule_scores(spark, d):
     rules = dims.rules(spark)
-    out = S.rule_scores(S.rule_evidence(Q.features(spark, d), rules, ["window_id"]), rules, ["window_id"])
+    out = S.rule_scores(Q.features(spark, d), rules, ["window_id"])
     return out.select("window_id", "layer", r6(F.col("score"), "score"), r6(F.col("confidence"), "confidence"), F.col("features_used").cast("long").alias("features_used"))
 
 
-@query(f"""WITH {RULE_ROWS}, t AS (SELECT *, sum(weight) OVER (PARTITION BY window_id, layer) AS total FROM ev), k AS (SELECT window_id, feature AS code, max(contribution / total * CASE layer WHEN 'acoustic' THEN 0.45 ELSE 0.28 END) AS scaled FROM t GROUP BY ALL),
+@query(f"""WITH {RULE_ROWS}, t AS (SELECT *, CAST(sum(CAST(weight AS DECIMAL(18,9))) OVER (PARTITION BY window_id, layer) AS DOUBLE) AS total FROM ev), k AS (SELECT window_id, feature AS code, max(contribution / total * CASE layer WHEN 'acoustic' THEN 0.45 ELSE 0.28 END) AS scaled FROM t GROUP BY ALL),
   n AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY scaled DESC, code) AS rank FROM k) SELECT window_id, code, rank, round(CASE WHEN s > 1e-9 THEN scaled / s ELSE scaled END, 6) AS contribution FROM (SELECT *, sum(scaled) OVER (PARTITION BY window_id) AS s FROM n WHERE rank <= 6)""")
 def rule_factors_topk(spark, d):
     rules = dims.rules(spark)
-    scored = S.rule_scores(S.rule_evidence(Q.features(spark, d), rules, ["window_id"]), rules, ["window_id"])
-    rows = scored.select("window_id", "layer", F.inline("factors")).withColumn("confidence", F.lit(1.0)).withColumn("share", X.lookup(F.col("layer"), dims.FUSION_WEIGHTS, 0.0))
-    return S.merged_factors(rows, ["window_id"]).select("window_id", "code", F.col("rank").cast("long").alias("rank"), r6(F.col("contribution"), "contribution"))
+    rows = Q.features(spark, d).select("window_id", S.rule_layers(S.judged_rules(F.col("features"), rules), rules).alias("layers"))
+    of = lambda x: F.transform(x["factors"], lambda f: f.withField("confidence", F.lit(1.0)).withField("share", X.lookup(x["layer"], dims.FUSION_WEIGHTS, 0.0)))
+    top = S.merged_factors(F.flatten(F.transform("layers", of)))
+    return rows.select("window_id", F.inline(top)).select("window_id", "code", F.col("rank").cast("long").alias("rank"), r6(F.col("contribution"), "contribution"))
 
 
 @query(f"""WITH {Q.REQUESTS}, g AS (SELECT request_id, [
