@@ -304,10 +304,19 @@ def test_corpora(spark, tmp_path):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_bytes(b"x")
     rows = {r.path.rsplit("/", 1)[-1]: (r.label, r.speaker_id, r.method) for r in C.load(spark, str(tmp_path / "f")).collect()}
-    assert rows == {"u1.wav": ("bonafide", "spk1", None), "u2.wav": ("spoof", None, "voc")}
+    assert rows == {"u1.wav": ("bonafide", "spk1", "human"), "u2.wav": ("spoof", "voc", "voc")}
+    for k, name in enumerate([*C.GENUINE_FOLDERS, *C.SPOOF_FOLDERS]):
+        (tmp_path / "g" / name).mkdir(parents=True)
+        (tmp_path / "g" / name / f"v{k}.flac").write_bytes(b"x")
+    rows = {r.path.rsplit("/", 2)[-2]: (r.label, r.speaker_id, r.method) for r in C.load(spark, str(tmp_path / "g")).collect()}
+    assert len(rows) == 11 and all(rows[n] == ("bonafide", "unknown", "human") for n in C.GENUINE_FOLDERS) and all(rows[n] == ("spoof", "unknown", "unknown") for n in C.SPOOF_FOLDERS)
     (tmp_path / "p.txt").write_text("LA1 u1 - - bonafide\nLA2 u2 - A07 spoof\nLA3 gone - A08 spoof\n")
     rows = {r.utterance: (r.label, r.method) for r in C.load(spark, str(tmp_path / "f"), protocol=str(tmp_path / "p.txt")).collect()}
-    assert rows == {"u1": ("bonafide", None), "u2": ("spoof", "A07")}
+    assert rows == {"u1": ("bonafide", "human"), "u2": ("spoof", "A07")}
+    assert [r.utterance for r in C.missing(spark, str(tmp_path / "f"), str(tmp_path / "p.txt")).collect()] == ["gone"]
+    (tmp_path / "f" / "x").mkdir()
+    (tmp_path / "f" / "x" / "LA.cm_protocol.train.txt").write_text("LA1 u1 - - bonafide\nLA2 u2 - A07 spoof\n")
+    assert {r.utterance for r in C.load(spark, str(tmp_path / "f")).collect()} == {"u1", "u2"}  # found by itself
     (tmp_path / "e").mkdir()
     with pytest.raises(ValueError, match="no labelled"):
         C.load(spark, str(tmp_path / "e"))
@@ -408,3 +417,149 @@ def test_all_features_in_a_fixed_order(spark):
     assert [sorted(r.features) for r in rows] == [sorted(names), sorted(names), []]
     assert all(len(r.v) == 123 for r in rows) and rows[0].v[names.index("cycle_count")] > 100
     assert rows[0].c > 0.9 and rows[1].c == rows[2].c == 0
+
+
+def test_corpus_features(spark, tmp_path):
+    """First eight windows of recordings of a second or more, silent windows left out."""
+    from timbra.operators.features import feature_names
+    from timbra.sources import corpus as C
+
+    def wav(x):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(2), w.setframerate(16000)
+            w.writeframes((np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
+        return out.getvalue()
+
+    t = np.arange(16000 * 6) / 16000
+    voice = np.sin(2 * np.pi * 180 * t) * (1 + 0.5 * np.sin(2 * np.pi * 4 * t)) * 0.3 * (t % 0.8 < 0.5)
+    for name, x in {"real/s1/long.wav": voice, "real/s1/short.wav": voice[:15000], "fake/m1/silent.wav": np.zeros(32000), "fake/m1/one.wav": voice[:16000]}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(wav(x))
+    (tmp_path / "fake" / "m1" / "broken.wav").write_bytes(b"RIFFxxxx")
+    rows = C.corpus_features(C.load(spark, str(tmp_path))).select("path", "label", "window_index", "vector").collect()
+    seen = sorted((r.path.rsplit("/", 1)[-1], r.label, r.window_index) for r in rows)
+    assert seen == [("long.wav", "bonafide", k) for k in range(8)] + [("one.wav", "spoof", 0), ("one.wav", "spoof", 1)]  # its tail is long enough
+    assert all(len(r.vector) == len(feature_names()) for r in rows)
+
+
+def test_assessment(spark):
+    """One row through fusion, policy, factors, caveats, JSON and text."""
+    import json
+
+    from timbra.operators import assess as A
+
+    factor = lambda code, share, value: (code, code.replace("_", " ").title(), share, value)
+    layers = [("acoustic", 0.9, 0.8, [factor("hf_cliff_depth_db", 0.7, 61.2), factor("silence_exact_zero_ratio", 0.3, 0.125)]), ("prosodic", 0.2, 0.5, [factor("jitter_ppq5", 0.001, 0.0)]), ("speaker", 0.5, 0.0, []), ("context", 0.5, 0.5, [factor("own_code", 1.0, 3.0)])]
+    kind = "array<struct<layer:string,score:double,confidence:double,factors:array<struct<code:string,label:string,contribution:double,value:double>>>>"
+    rows = spark.createDataFrame([(1, layers, "wire_transfer", 4_200_000.0, 10.0, 50.0), (2, layers, "no such", None, 1.0, None), (3, [], None, None, 9.0, None)], f"id int, layers {kind}, profile string, transaction_amount double, elapsed_seconds double, shown double")
+    out = A.assessed(rows, dims.profiles(spark), "shown").withColumns({"j": A.assessment_json(), "v": A.assessment_json(True), "t": A.explanation_text(), "a": A.alert_json(F.col("id"), F.lit(1.5))})
+    one, two, none = out.orderBy("id").collect()
+    shift = 10 * (4.2e6 - 1e5) / 4.9e6
+    assert one.threshold_shift == pytest.approx(shift) and one.policy == "wire_transfer" and one.score == 50.0 and one.band == "HIGH"  # 45 - 8.4 <= 50 < 65 - 8.4
+    power = {"acoustic": 0.45 * 0.8, "prosodic": 0.28 * 0.5, "context": 0.08 * 0.5}
+    z = sum(p * math.log(s / (1 - s)) for p, s in zip(power.values(), (0.9, 0.2, 0.5), strict=True)) / sum(power.values())
+    assert one.probability == pytest.approx(1 / (1 + math.exp(-z))) and two.score == pytest.approx(round(100 / (1 + math.exp(-z)), 1))
+    assert [f.code for f in one.factors] == ["hf_cliff_depth_db", "silence_exact_zero_ratio", "own_code"] and one.factors[0].detail == "spectrum collapses by 61 dB above the cut-off" and one.factors[1].detail == "12.5% of samples are numerically zero" and one.factors[2].detail == "own_code = 3.000"
+    assert one.headline.startswith("Risk 50/100 — this voice shows several") and "hf cliff depth db" in one.headline
+    assert [c.code for c in one.counter_factors] == ["prosodic_genuine"] and any("lowered by 8 points" in c for c in one.caveats) and any("enrolled" in c for c in one.caveats)
+    j, v, alert = json.loads(one.j), json.loads(one.v), json.loads(one.a)
+    assert j["band"] == "HIGH" and j["threshold_shift"] == round(shift, 2) and [x["status"] for x in j["layers"]] == ["voted", "voted", "abstained", "voted"] and "explanation" not in j
+    assert v["explanation"]["headline"] == one.headline and "layers" not in v and alert["session_id"] == 1 and alert["created_at"] == 1.5
+    assert one.t.splitlines()[0] == one.headline and "Why:" in one.t and one.t.endswith(dims.ACTIONS["HIGH"])
+    assert two.policy == "default" and two.threshold_shift == 0 and any(c.startswith("Only 1.0 s") for c in two.caveats)
+    assert none.probability == 0.5 and none.confidence == 0 and none.factors == [] and none.band == "ELEVATED"
+
+
+def test_details_match_their_rules():
+    assert {r[0] for r in [*dims.ACOUSTIC_RULES, *dims.PROSODIC_RULES]} == set(dims.DETAILS)
+
+
+def test_chunker():
+    from timbra.streaming.live import Chunker
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.1, 16000 * 3 + 9000).astype(np.float32)
+    want = [(k, k * 8000) for k in range(6)]
+    for _ in range(5):
+        c, got, at = Chunker(), [], 0
+        while at < len(x):
+            n = int(rng.integers(1, 20000))
+            got += list(c.push(x[at:at + n]))
+            at += n
+        assert [g[:2] for g in got] == want and all((x[s:s + 16000] == w).all() for _, s, w in got)
+        last, = c.flush()
+        assert last[0] == 6 and last[1] == 48000 and (last[2] == x[48000:]).all() and not list(c.flush()) and c.total == len(x)
+    c = Chunker(cap=20000)
+    got = list(c.push(x[:30000]))  # the oldest beyond the cap are lost
+    assert [g[:2] for g in got] == [(0, 10000)] and not list(Chunker().flush())
+
+
+def test_live_windows_equal_batch(spark, tmp_path):
+    """Chunks of any size, out of order within a batch, over several batches; calls that stop and
+    one that is erased."""
+    from timbra.operators.windows import windowed
+    from timbra.streaming import live as L
+
+    rng = np.random.default_rng(4)
+    calls = {f"c{k}": (rng.normal(0, 0.1, n) * 32767).clip(-32768, 32767).astype("<i2") for k, n in enumerate((50000, 16000, 9000, 3000, 40000))}
+    recordings = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in calls.items()], "id string, content binary")
+    chunks = L.chunked(recordings, "id", "content", 6002)
+    assert chunks.count() == sum(max(1, -(-2 * len(v) // 6002)) for v in calls.values())
+    rows = [r.asDict() for r in chunks.collect()]
+    rows = [r | {"control": "delete"} if r["session_id"] == "c4" and r["control"] == "stop" else r for r in rows]
+    for part in range(3):
+        own = [r for r in rows if r["seq"] * 3 // (1 + max(x["seq"] for x in rows if x["session_id"] == r["session_id"])) == part]
+        if own:
+            spark.createDataFrame(sorted(own, key=lambda r: -r["seq"]), chunks.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    from timbra.streaming.calls import write_once
+
+    q = write_once(L.windows_of(stream), str(tmp_path / "out"), str(tmp_path / "state"))
+    q.awaitTermination(180)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    want = {(r.id, r.window_index): r.samples for r in windowed(recordings.filter("id <> 'c4'").select("id", F.lit(0).alias("z")).join(spark.createDataFrame([(k, (v / np.float32(32768)).tolist()) for k, v in calls.items()], "id string, samples array<float>"), "id")).collect()}
+    mine = {(r.session_id, r.window_index): r.samples for r in got if r.kind == "window" and r.session_id != "c4"}
+    assert mine == want
+    closed = {r.session_id: r for r in got if r.kind == "closed"}
+    assert set(closed) == {"c0", "c1", "c2", "c3"} and closed["c0"].audio_seconds == 50000 / 16000 and len(closed["c0"].chunk_hashes) == -(-100000 // 6002)
+    assert closed["c3"].windows == 0 and L.late_rows([{"stateOperators": [{"numRowsDroppedByWatermark": 2}]}, {}]) == 2
+
+
+def test_idle_call_closes_with_its_figures():
+    import pandas as pd
+
+    from timbra.streaming.calls import judge
+
+    class State:
+        hasTimedOut, exists, get = False, False, None
+
+        def update(self, x):
+            self.get, self.exists = x, True
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutDuration(self, ms):
+            self.ms = ms
+
+    state, f = State(), judge({"default": (35, 60, 80), "strict": (5, 10, 20)})
+    windows = pd.DataFrame({"window_index": [1, 0], "score": [30.0, 10.0], "ts": [pd.Timestamp("2026-01-01")] * 2, "profile": [None, "strict"]})
+    a, = f((7,), iter([windows]), state)
+    assert a["band"].tolist() == ["HIGH", "HIGH"] and a["window_index"].tolist() == [0, 1] and not a["closed"].any()
+    state.hasTimedOut = True
+    last, = f((7,), iter([]), state)
+    assert last["closed"].tolist() == [True] and last["peak"][0] == a["peak"].max() and last["band"][0] == "HIGH" and not state.exists
+
+
+def test_upserts(spark, tmp_path):
+    from timbra.streaming import live as L
+
+    schema = "id string, t int, opened int, closed int, verdict string"
+    (tmp_path / "in").mkdir()
+    for k, rows in enumerate(([("a", 1, 10, None, None), ("b", 1, 11, None, None)], [("a", 2, None, 20, "suspicious"), ("c", 2, 12, None, None), ("c", 3, 13, None, None)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        L.write_latest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"), ["id"], "t").awaitTermination(120)
+        got = sorted((tuple(r) for r in L.version(spark, str(tmp_path / "out")).select("id", "opened", "closed", "verdict").collect()), key=str)
+        assert got == ([("a", 10, None, None), ("b", 11, None, None)], [("a", 10, 20, "suspicious"), ("b", 11, None, None), ("c", 13, None, None)])[k]
+    assert L.version(spark, str(tmp_path / "none")) is None

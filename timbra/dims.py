@@ -60,6 +60,33 @@ PROSODIC_RULES = [
     ("env_lag1_autocorr", "Over-smooth loudness envelope", 0.55, 0.92, 0.8, []),
     ("period_cv", "Near-perfect pitch periodicity", 0.030, 0.004, 1.0, ["cycle_count"]),
 ]
+# fixed values: what each rule says of its value, as printf patterns
+DETAILS = {
+    "hf_cliff_depth_db": "spectrum collapses by %.0f dB above the cut-off",
+    "hf_energy_ratio": "only %.3f of speech-band energy survives above 6 kHz",
+    "spec_rolloff95_mean": "95 %% of energy below %.0f Hz",
+    "mel_frame_corr": "inter-frame spectral correlation %.3f",
+    "env_second_diff": "envelope second difference %.3f",
+    "digital_silence_score": "non-speech segments have no room tone (score %.2f)",
+    "silence_exact_zero_ratio": "%.1f%% of samples are numerically zero",
+    "comb_strength": "regularly-spaced spectral ripple, autocorrelation %.2f",
+    "phase_coherence": "inter-frame phase coherence %.3f",
+    "residual_kurtosis": "LPC residual kurtosis %.2f (natural glottal pulses are spikier)",
+    "spec_flatness_mean": "mean spectral flatness %.3f",
+    "mod_syllabic_ratio": "only %.2f of envelope energy in the 2–16 Hz syllabic band",
+    "f0_micro_var": "pitch residual variation %.4f (human speech: 0.02–0.06)",
+    "jitter_ppq5": "5-point period perturbation %.5f (human: 0.003–0.015)",
+    "shimmer_apq3": "3-point amplitude perturbation %.4f (human: 0.03–0.08)",
+    "f0_contour_entropy": "pitch contour entropy %.3f",
+    "pause_std": "pause-duration spread %.3f s (human pauses vary widely)",
+    "silence_floor_std_db": "background level varies by only %.2f dB",
+    "energy_range_db": "speech level spans only %.1f dB",
+    "speech_run_std": "phrase-length spread %.3f s",
+    "env_lag1_autocorr": "envelope autocorrelation %.3f",
+    "period_cv": "period coefficient of variation %.4f",
+}
+#: Features whose pattern wants per cent.
+PER_CENT = ("silence_exact_zero_ratio",)
 # fixed values: prior log-odds and gain of each rule scorer
 SCORERS = {"acoustic": (-1.05, 3.4), "prosodic": (-1.2, 3.0)}
 MIN_CYCLES, MIN_SPEECH_RATIO = 25.0, 0.25
@@ -80,6 +107,7 @@ URGENCY = [
     r"\botp\b", r"\bone[- ]time password\b", r"\bshare (?:the )?code\b", r"\bturant\b", r"\bjaldi\b", r"\babhi ke abhi\b", r"\bkisi ko mat bata\b",
     r"\bpolice\b.*\bcase\b", r"\barrest\b", r"\bdigital arrest\b", r"\bcustoms\b.*\bparcel\b", r"\bblock(?:ed)? (?:your )?account\b",
 ]
+# fixed values: keys of a call's metadata that name a person
 PII_KEYS = ["caller_number", "claimed_identity", "callee_number", "customer_id", "account_number", "email"]
 
 BANDS = ("LOW", "ELEVATED", "HIGH", "CRITICAL")
@@ -96,6 +124,7 @@ PHRASES = {
     "HIGH": "shows several strong indicators of synthetic or cloned speech",
     "CRITICAL": "is very likely a synthetic or cloned voice",
 }
+# fixed values: what the layers are called
 LAYER_LABELS = {"acoustic": "Acoustic / spectral analysis", "prosodic": "Prosody & micro-variation", "speaker": "Cross-session speaker check", "context": "Call context"}
 
 

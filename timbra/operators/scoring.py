@@ -195,22 +195,29 @@ def banded(rows: DataFrame, profiles: DataFrame, score: str = "smoothed") -> Dat
 
 
 def merged_factors(factors: Column, limit: int = 6) -> Column:
-    """ARRAY<STRUCT<code, label, rank, contribution>>: the strongest factor of each code over all
-    layers, the ``limit`` best, shares that sum to one. ``factors``: an array of structs with
-    code, label, contribution, confidence, share."""
+    """ARRAY<STRUCT<code, label, rank, contribution, value>>: the strongest factor of each code
+    over all layers, the ``limit`` best, shares that sum to one. ``factors``: an array of
+    structs with code, label, contribution, value, confidence, share."""
     weight = lambda x: x["contribution"] * x["confidence"] * x["share"]
-    live = F.transform(F.filter(factors, lambda x: x["confidence"] > 0), lambda x: F.struct((-weight(x)).alias("k"), x["code"].alias("code"), x["label"].alias("label")))
-    kind = "array<struct<k:double,code:string,label:string>>"
+    live = F.transform(F.filter(factors, lambda x: x["confidence"] > 0), lambda x: F.struct((-weight(x)).alias("k"), x["code"].alias("code"), x["label"].alias("label"), x["value"].alias("value")))
+    kind = "array<struct<k:double,code:string,label:string,value:double>>"
     add = lambda seen, x: F.when(F.exists(seen, lambda y: y["code"] == x["code"]), seen).otherwise(F.concat(seen, F.array(x)))
     first = F.aggregate(F.array_sort(live), F.array().cast(kind), add)  # of each code
     share = lambda x, whole: F.when(whole > EPS, -x["k"] / whole).otherwise(-x["k"])
 
     def ranked(top: Column, whole: Column) -> Column:
-        return F.transform(top, lambda x, i: F.struct(x["code"].alias("code"), x["label"].alias("label"), (i + 1).alias("rank"), share(x, whole).alias("contribution")))
+        return F.transform(top, lambda x, i: F.struct(x["code"].alias("code"), x["label"].alias("label"), (i + 1).alias("rank"), share(x, whole).alias("contribution"), x["value"].alias("value")))
 
     return let(F.slice(first, 1, limit), lambda top: let(F.aggregate(top, F.lit(0.0), lambda a, x: a - x["k"]), lambda whole: ranked(top, whole)))
 
 
+def detail(code: Column, value: Column) -> Column:
+    """What a rule says of its value; other codes give the code and the value."""
+    value = value.cast("double")
+    known = [F.when(code == k, F.format_string(t, value * 100 if k in dims.PER_CENT else value)) for k, t in dims.DETAILS.items()]
+    return F.coalesce(*known, F.concat(code, F.lit(" = "), F.format_string("%.4g", value)))
+
+
 def top_factors(factors: Column, n: int = 3) -> Column:
     """The n factors that weigh most either way."""
     order = lambda a, b: F.signum(F.abs(b["contribution"]) - F.abs(a["contribution"])).cast("int")

@@ -226,6 +226,35 @@ def approval_gate(spark, d):
     return out.select("request_id", "decision", F.array_join("required_verification", ",").alias("verification"))
 
 
+CONTEXT_ROWS = SQL["context_layer"].split("\n  SELECT request_id, n AS signals")[0]
+
+
+@query(f"""WITH {RULE_ROWS}, whole AS (SELECT layer, sum(weight) AS all_weight FROM rules GROUP BY layer), g AS (SELECT window_id, layer, sum(contribution) / sum(weight) AS e, sum(weight) AS total FROM ev GROUP BY ALL),
+  cl AS ({CONTEXT_ROWS} SELECT request_id AS window_id, 1 / (1 + exp(1.4 - 3.2 * e)) AS score, 0.3 + 0.5 * least(1.0, total / 5) AS confidence FROM t),
+  l AS (SELECT window_id, layer, 1 / (1 + exp(-(CASE layer WHEN 'acoustic' THEN -1.05 + 3.4 * (2 * e - 0.5) ELSE -1.2 + 3.0 * (2 * e - 0.5) END))) AS score, least(1.0, 0.35 + 0.65 * total / all_weight) * CASE layer WHEN 'acoustic' THEN 0.8 ELSE 1.0 END AS confidence, CAST(CASE layer WHEN 'acoustic' THEN 0.45 ELSE 0.28 END AS DOUBLE) AS weight FROM g JOIN whole USING (layer)
+    UNION ALL SELECT window_id, 'context', score, confidence, CAST(0.08 AS DOUBLE) FROM cl),
+  v AS (SELECT *, weight * CAST(confidence AS DOUBLE) AS power, ln(least(greatest(score, 1e-4), 1 - 1e-4) / (1 - least(greatest(score, 1e-4), 1 - 1e-4))) AS z FROM l),
+  f AS (SELECT window_id, 1 / (1 + exp(-sum(power * z) / sum(power))) AS probability, greatest(0.05, least(1.0, sum(power) / sum(weight) * (1 - 0.35 * (max(score) - min(score))))) AS confidence FROM v GROUP BY window_id),
+  {Q.REQUESTS}, {Q.SHIFT}, {PROFILES_SQL}, a AS (SELECT f.*, profile AS policy, shift, round_even(probability * 100, 1) AS score, greatest(0.0, elevated - shift) AS elevated, greatest(0.0, high - shift) AS high, greatest(0.0, critical - shift) AS critical FROM f JOIN sh ON request_id = window_id JOIN p USING (profile)),
+  b AS (SELECT *, {BAND.format(s='score')} AS band FROM a)
+  SELECT window_id, policy, round(score, 1) AS score, band, round(probability, 6) AS probability, round(confidence, 6) AS confidence, round(shift, 6) AS threshold_shift, CASE band {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dims.ACTIONS.items())} END AS action,
+    CAST(2 + CASE WHEN confidence < 0.5 THEN 1 ELSE 0 END + CASE WHEN shift > 1 THEN 1 ELSE 0 END AS BIGINT) AS caveats FROM b""")
+def assessed_windows(spark, d):
+    """Rules and context of each window fused, judged by the call's profile and facts, explained."""
+    from ..operators import assess as A
+
+    rules = dims.rules(spark)
+    r = Q.requests(spark, d).withColumn("transaction_amount", F.col("amount")).withColumn("claimed_identity", F.lit(""))
+    facts = r.select(F.col("request_id").alias("window_id"), "profile", *A.CONTEXT, S.context_signals(F.col).alias("signals"))
+    rows = Q.features(spark, d).join(facts, "window_id").withColumn("own", S.rule_layers(S.judged_rules(F.col("features"), rules), rules)).withColumn("c", S.context_score(F.col("signals")))
+    kind = "array<struct<code:string,label:string,contribution:double,value:double>>"
+    one = lambda name, score, confidence, factors: F.struct(name.alias("layer"), score.alias("score"), confidence.alias("confidence"), factors.alias("factors"))
+    rule = F.transform("own", lambda x: one(x["layer"], x["score"], F.when(x["layer"] == "acoustic", S.acoustic_confidence(x["confidence"])).otherwise(x["confidence"]), x["factors"]))
+    layers = F.concat(rule, F.array(one(F.lit("context"), F.col("c.score"), F.col("c.confidence"), F.array().cast(kind))))
+    out = A.assessed(rows.withColumn("layers", layers).withColumn("heuristic", F.lit(True)).select("window_id", "profile", *A.CONTEXT, "layers", "heuristic"), dims.profiles(spark))
+    return out.select("window_id", "policy", F.round("score", 1).alias("score"), "band", r6(F.col("probability"), "probability"), r6(F.col("confidence"), "confidence"), r6(F.col("threshold_shift"), "threshold_shift"), "action", F.size("caveats").cast("long").alias("caveats"))
+
+
 CALLS = "calls AS (SELECT conv_id, sum(n_chars) AS n_samples FROM (SELECT conv_id, length(text) * 97 AS n_chars FROM conversations) GROUP BY conv_id)"
 
 
