@@ -8,8 +8,6 @@ files (``numbered``), which no retry changes.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -19,33 +17,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
+from ..storage import cut as written
+
 #: Rows of a scan that form one batch: the unit that messages go to and come from.
 BATCH_BITS = 9
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a new
-    temporary one only where none is set and all of Spark runs on this machine."""
-    here = spark.conf.get("spark.checkpoint.dir", None)
-    if here:
-        return here
-    there = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if there.isDefined():
-        return there.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    here = tempfile.mkdtemp(prefix="timbra-")
-    spark.sparkContext.setCheckpointDir(here)
-    return here
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at files that
-    outlive any executor. The files stay until the folder is cleared."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/timbra-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def cut(df: DataFrame, *instead_of: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends at files that outlive any
+    executor. Tables that ``cut`` made and ``df`` takes the place of are deleted then; the
+    others stay until the folder is cleared."""
+    out = written(df)
+    for old in instead_of:
+        for path in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+            if path.rsplit("/", 1)[1].startswith("timbra-"):
+                place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+    return out
 
 
 def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:

@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every label to the smallest label beside it, follows the hooks twice and
     contracts the edges, whose distinct rows shrink at least by half; each round ends in
-    written tables. Joins read written tables on both sides, so Spark can broadcast small
+    written tables that take the place of the last round's. Joins read written tables on both sides, so Spark can broadcast small
     ones by their size and split skewed keys of large ones.
     """
     e = cut(edges.select("a", "b").filter("a <> b").distinct())
@@ -23,9 +23,9 @@ def components(edges: DataFrame) -> DataFrame:
         hook = cut(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
         for _ in range(2):
             up = hook.select(F.col("x").alias("m"), F.col("m").alias("mm"))
-            hook = cut(hook.join(up, "m", "left").select("x", F.coalesce("mm", "m").alias("m")))
-        label = cut(label.join(hook.select(F.col("x").alias("root"), "m"), "root", "left").select("node", F.coalesce("m", "root").alias("root")))
+            hook = cut(hook.join(up, "m", "left").select("x", F.coalesce("mm", "m").alias("m")), hook)
+        label = cut(label.join(hook.select(F.col("x").alias("root"), "m"), "root", "left").select("node", F.coalesce("m", "root").alias("root")), label)
         for end in ("a", "b"):
-            e = e.join(hook.select(F.col("x").alias(end), "m"), end, "left").withColumn(end, F.coalesce("m", end)).drop("m")
-            e = cut(e.filter("a <> b").distinct() if end == "b" else e)
+            new = e.join(hook.select(F.col("x").alias(end), "m"), end, "left").withColumn(end, F.coalesce("m", end)).drop("m")
+            e = cut(new.filter("a <> b").distinct() if end == "b" else new, e)
     return label
