@@ -124,6 +124,15 @@ PHRASES = {
     "HIGH": "shows several strong indicators of synthetic or cloned speech",
     "CRITICAL": "is very likely a synthetic or cloned voice",
 }
+# fixed values: what a reader should know, as printf patterns
+CAVEATS = {
+    "short": "Only %.1f s of audio analysed so far — the score is still settling.",
+    "silent": "Most of this audio is silence or background; the acoustic evidence is thin.",
+    "no_speaker": "No enrolled voice sample for the claimed identity, so the identity itself could not be verified — only whether the audio looks synthetic.",
+    "unsure": "Detection layers disagree or few could run; treat this score as provisional.",
+    "heuristic": "Running on the built-in heuristic detector (no trained model artifact loaded); accuracy is lower than the reported benchmark.",
+    "lowered": "Alerting thresholds lowered by %.0f points for this call's context (value, hour, caller reputation).",
+}
 # fixed values: what the layers are called
 LAYER_LABELS = {"acoustic": "Acoustic / spectral analysis", "prosodic": "Prosody & micro-variation", "speaker": "Cross-session speaker check", "context": "Call context"}
 

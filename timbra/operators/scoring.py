@@ -246,11 +246,8 @@ def layer_summary(layers: Column, shares: Column) -> Column:
 
 def caveats(elapsed: Column, speech_ratio: Column, excluded: Column, confidence: Column, heuristic: Column, shift: Column) -> Column:
     """What a reader should know before acting on the score."""
+    c = dims.CAVEATS
     return F.array_compact(F.array(
-        F.when(elapsed < 3, F.concat(F.lit("Only "), F.format_string("%.1f", elapsed), F.lit(" s of audio analysed so far — the score is still settling."))),
-        F.when(speech_ratio < 0.35, "Most of this audio is silence or background; the acoustic evidence is thin."),
-        F.when(F.array_contains(excluded, "speaker"), "No enrolled voice sample for the claimed identity, so the identity itself could not be verified — only whether the audio looks synthetic."),
-        F.when(confidence < 0.5, "Detection layers disagree or few could run; treat this score as provisional."),
-        F.when(heuristic, "Running on the built-in heuristic detector (no trained model artifact loaded); accuracy is lower than the reported benchmark."),
-        F.when(shift > 1, F.concat(F.lit("Alerting thresholds lowered by "), F.format_string("%.0f", shift), F.lit(" points for this call's context (value, hour, caller reputation)."))),
+        F.when(elapsed < 3, F.format_string(c["short"], elapsed.cast("double"))), F.when(speech_ratio < 0.35, c["silent"]), F.when(F.array_contains(excluded, "speaker"), c["no_speaker"]),
+        F.when(confidence < 0.5, c["unsure"]), F.when(heuristic, c["heuristic"]), F.when(shift > 1, F.format_string(c["lowered"], shift.cast("double"))),
     ))

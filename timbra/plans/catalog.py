@@ -465,7 +465,7 @@ def platt_calibration(spark, d):
 TRANSCRIPT = "replace(replace(text, ' the ', ' urgent '), ' of ', ' share the code ')"
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, lower({TRANSCRIPT}) AS t FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(t, '\\burgent(?:ly)?\\b') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(t, '\\bshare (?:the )?code\\b') THEN 1 ELSE 0 END AS hits FROM t""")
+@query(f"""WITH t AS (SELECT conv_id, turn, lower({TRANSCRIPT}) AS t FROM conversations) SELECT conv_id, turn, """ + " + ".join("CASE WHEN regexp_matches(t, '{}') THEN 1 ELSE 0 END".format(x.replace("'", "''")) for x in dims.URGENCY) + " AS hits FROM t")
 def urgency_hits(spark, d):
     return Q.table(spark, d, "conversations").select("conv_id", "turn", F.size(T.urgency_hits(F.expr(TRANSCRIPT))).alias("hits"))
 
@@ -589,10 +589,11 @@ def mel_scale(spark, d):
 
 
 @query(f"""WITH {Q.WINDOWS}, {Q.LAYERS}, x AS (SELECT f.session_id, f.window_index, f.confidence, w.k, w.event_type FROM fused f JOIN w ON w.session_id = f.session_id AND w.window_index = f.window_index)
-  SELECT session_id, window_index, CASE WHEN (window_index + 2) / 2 < 3 THEN 1 ELSE 0 END + CASE WHEN k / 100 < 0.35 THEN 1 ELSE 0 END + CASE WHEN event_type NOT IN ('click', 'signup') THEN 1 ELSE 0 END + CASE WHEN confidence < 0.5 THEN 1 ELSE 0 END + 1 AS caveats FROM x""")
+  SELECT session_id, window_index, CASE WHEN (window_index + 2) / 2 < 3 THEN 1 ELSE 0 END + CASE WHEN k / 100 < 0.35 THEN 1 ELSE 0 END + CASE WHEN event_type NOT IN ('click', 'signup') THEN 1 ELSE 0 END + CASE WHEN confidence < 0.5 THEN 1 ELSE 0 END + 1 AS caveats,
+    concat_ws(' | ', """ + ", ".join(f"CASE WHEN {when} THEN {text} END" for when, text in (("(window_index + 2) / 2 < 3", f"printf('{dims.CAVEATS['short']}', (window_index + 2) / 2)"), *((w, f"'{dims.CAVEATS[k]}'") for w, k in (("k / 100 < 0.35", "silent"), ("event_type NOT IN ('click', 'signup')", "no_speaker"), ("confidence < 0.5", "unsure"), ("true", "heuristic"))))) + ") AS texts FROM x")
 def caveat_counts(spark, d):
     c = S.caveats((F.col("window_index") + 2) / 2, F.col("k") / 100, F.col("fusion.excluded"), F.col("fusion.confidence"), F.lit(True), F.lit(0.0))
-    return _fused(spark, d).select("session_id", "window_index", F.size(c).alias("caveats"))
+    return _fused(spark, d).select("session_id", "window_index", F.size(c).alias("caveats"), F.array_join(c, " | ").alias("texts"))
 
 
 @query(f"WITH {RULE_ROWS}, b AS (SELECT window_id, max_by(feature, contribution) AS f, count(*) FILTER (contribution > 0.01) AS n FROM ev WHERE layer = 'acoustic' GROUP BY window_id) SELECT window_id, CAST(least(n, 4) AS INTEGER) AS shown FROM b")
