@@ -603,9 +603,9 @@ def explained_windows(spark, d):
     return rows.select("window_id", F.size(S.explanation_factors(F.col("factors"))).alias("shown"))
 
 
-def _signals(spark, d) -> DataFrame:
-    """Runs of 80 vectors in a row as signals of 5120 samples."""
-    e = Q.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 80).alias("window_id"), "vec_id", "embedding")
+def _signals(spark, d, run: int = 80) -> DataFrame:
+    """Runs of so many vectors in a row as signals of 64 samples each."""
+    e = Q.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / run).alias("window_id"), "vec_id", "embedding")
     rows = e.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("x")))).alias("rows"))
     return rows.select("window_id", F.flatten(F.transform("rows", lambda r: r["x"])).alias("samples"))
 
@@ -617,6 +617,15 @@ def signal_features(spark, d):
     return extract(_signals(spark, d), ["window_id"]).select("window_id", F.size("features").alias("features"), F.round(F.col("features")["spec_centroid_mean"], 3).alias("spec_centroid_mean"), F.round(F.col("features")["comb_strength"], 6).alias("comb_strength"))
 
 
+@query()
+def second_windows(spark, d):
+    """All features of one-second windows, in their fixed order."""
+    from ..operators.features import extract, feature_names, vector
+
+    rows = extract(_signals(spark, d, 250), ["window_id"])
+    return rows.select("window_id", F.size("features").alias("features"), F.transform(vector(F.col("features"), feature_names()), lambda v: F.round(v, 6)).alias("vector"))
+
+
 @query()
 def trained_scores(spark, d):
     from ..ml import training as L
