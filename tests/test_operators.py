@@ -563,3 +563,61 @@ def test_upserts(spark, tmp_path):
         got = sorted((tuple(r) for r in L.version(spark, str(tmp_path / "out")).select("id", "opened", "closed", "verdict").collect()), key=str)
         assert got == ([("a", 10, None, None), ("b", 11, None, None)], [("a", 10, 20, "suspicious"), ("b", 11, None, None), ("c", 13, None, None)])[k]
     assert L.version(spark, str(tmp_path / "none")) is None
+
+
+def test_model_bundles(spark, tmp_path):
+    """A stored model judges as the fitted one; anything unreadable leaves the rules to judge."""
+    from timbra.ml import registry as G
+    from timbra.ml import training as L
+
+    rng = np.random.default_rng(9)
+    rows = [(int(k % 12), k % 2, {"a": float(rng.normal(k % 2 * 3)), "b": float(rng.normal())}, (0.6, 0.7, [("a", "A", 0.4, 1.0), ("b", "B", 0.6, 1.0)])) for k in range(240)]
+    df = spark.createDataFrame(rows, "speaker long, y int, features map<string,double>, own struct<score:double,confidence:double,factors:array<struct<code:string,label:string,contribution:double,value:double>>>")
+    flat = df.select("speaker", "y", *[F.col("features")[n].alias(n) for n in "ab"])
+    model, calibration, figures = L.train(flat, ["a", "b"], "random_forest", size=10)
+    bundle = G.Bundle(model, ["a", "b"], "m1", calibration, L.importances(model, ["a", "b"]), metrics={"auc": figures["auc"]})
+    path = str(tmp_path / "bundle")
+    G.save(bundle, path, spark)
+    again, amiss = G.load(spark, path)
+    assert not amiss and (again.model_id, again.feature_names, again.calibration, again.importances) == ("m1", ["a", "b"], bundle.calibration, bundle.importances)
+    one, two = (G.acoustic_layer(df, b).select("y", "heuristic", "own.*").collect() for b in (bundle, again))
+    assert one == two and not one[0].heuristic and one[0].confidence == 0.95
+    assert np.mean([r.score for r in one if r.y]) > np.mean([r.score for r in one if not r.y]) + 0.2
+    f = {x.code: x.contribution for x in one[0].factors}
+    lift = {n: w * (1 + bundle.importances[n]) for n, w in (("a", 0.4), ("b", 0.6))}
+    assert f == {n: pytest.approx(v / sum(lift.values())) for n, v in lift.items()} and [x.contribution for x in one[0].factors] == sorted(f.values(), reverse=True)
+    none, amiss = G.load(spark, str(tmp_path / "nowhere"))
+    assert none is None and "rules" in amiss[0]
+    rules = G.acoustic_layer(df, None).select("heuristic", "own.*").first()
+    assert rules.heuristic and rules.score == 0.6 and rules.confidence == pytest.approx(0.56)
+    (tmp_path / "bundle" / "facts" / "part-x.txt").write_text("{")
+    G.save(G.Bundle(model, ["a", "b"], format=0), path, spark)
+    assert "train again" in G.load(spark, path)[1][0]
+
+
+def test_full_stack_and_summary(spark):
+    from timbra.ml import registry as G
+
+    rng = np.random.default_rng(10)
+    rows = [(c, w, c % 2, [("acoustic", float(np.clip(0.25 + 0.5 * (c % 2) + rng.normal(0, 0.05), 0.01, 0.99)), 0.9), ("context", 0.5, 0.3)]) for c in range(20) for w in range(6)]
+    windows = spark.createDataFrame(rows, "session_id long, window_index long, y int, layers array<struct<layer:string,score:double,confidence:double>>")
+    got = G.full_stack(windows)
+    assert got["auc"] == 1.0 and got["accuracy"] == 1.0 and got["tp"] == 10 and got["eer"] == 0
+    fitted = spark.createDataFrame([("a", "refitted"), ("c", "pruned"), ("b", "pruned"), ("d", "kept defaults (too few samples)")], "feature string, action string")
+    assert G.fit_summary(fitted) == "refitted: 1   pruned: 2   defaults kept: 1\npruned rules: b, c"
+
+
+def test_enrolments_speech_and_context(spark):
+    import json
+
+    from timbra.operators import speaker as V
+    from timbra.operators.features import speech_only
+
+    v = spark.createDataFrame([("a", [0.5, 0.25]), ("b", [0.0, 0.0])], "identity string, vector array<double>")
+    kept = V.stored(v).unionByName(spark.createDataFrame([("c", "nonsense"), ("d", None)], "identity string, vector string"))
+    assert [tuple(r) for r in V.loaded(kept).collect()] == [("a", [0.5, 0.25])]
+    x = tone(180) * (np.arange(16000) < 9000)
+    rows = spark.createDataFrame([(1, x.tolist()), (2, [0.0] * 16000), (3, None)], "k int, samples array<double>").select("k", F.size(speech_only(F.col("samples"))).alias("n")).orderBy("k").collect()
+    assert 0.9 * 18000 < rows[0].n < 1.15 * 18000 and rows[1].n == rows[2].n == 0  # frames overlap by half
+    c = spark.range(1).withColumns({n: F.lit(None).cast("string") for n in T.CONTEXT_FIELDS} | {"origin": F.lit("voip")})
+    assert json.loads(one(spark, T.context_json(lambda n: F.lit("voip") if n == "origin" else F.lit(None).cast("string")))) == {"origin": "voip"} and c.count() == 1

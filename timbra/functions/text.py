@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .. import dims
 
 
+#: What a call's metadata may tell.
+CONTEXT_FIELDS = ("caller_number", "claimed_identity", "claimed_role", "known_contact", "caller_id_verified", "origin", "transaction_amount", "local_hour", "prior_fraud_reports", "account_age_days", "first_contact", "transcript")
+
+
 def urgency_hits(transcript: Column) -> Column:
     """The distinct patterns that the lower-cased transcript holds; none for null."""
     low = F.lower(F.coalesce(transcript, F.lit("")))
@@ -62,6 +66,12 @@ def alert_text(band: Column, session: Column, score: Column, labels: Column, act
     return F.concat(F.lit("["), band, F.lit("] Call "), session, F.lit(": risk "), F.format_string("%.0f", score), F.lit("/100. "), why, F.lit(". "), action)
 
 
+def context_json(c) -> Column:
+    """A call's metadata as JSON, facts that are not known left out. ``c`` maps a field's name to
+    its column."""
+    return F.to_json(F.struct(*[c(n).alias(n) for n in CONTEXT_FIELDS]))
+
+
 def sms(text: Column) -> Column:
     return F.substring(text, 1, 160)
 

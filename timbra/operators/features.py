@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,25 @@ def extract(windows: DataFrame, keys: list[str], samples: str = "samples", langu
     return own.mapInPandas(run, schema)
 
 
+def speech_only(samples: Column) -> Column:
+    """The speech frames of a window, one after another as they overlap; none where there is no
+    speech."""
+    @F.pandas_udf("array<float>")
+    def run(xs: pd.Series) -> pd.Series:
+        from ..kernels import dsp
+
+        size = max(64, dsp.RATE // 50)
+
+        def one(x) -> np.ndarray:
+            x = np.asarray(x if x is not None else [], np.float64)
+            at = np.flatnonzero(dsp.speech(x[None])[0][0]) if len(x) else []
+            return np.concatenate([x[i * (size // 2):i * (size // 2) + size] for i in at]).astype(np.float32) if len(at) else np.zeros(0, np.float32)
+
+        return xs.map(one)
+
+    return run(samples)
+
+
 def vector(features, names: list[str]):
     """Features in a fixed order; missing ones are 0."""
     return F.array(*[F.coalesce(features[n], F.lit(0.0)) for n in names])

@@ -14,6 +14,18 @@ def enrol(vectors: DataFrame, new: DataFrame) -> DataFrame:
     return vectors.unionByName(new.filter(F.exists("vector", lambda v: v != 0)))
 
 
+def stored(vectors: DataFrame) -> DataFrame:
+    """Enrolments as they are kept: the vector as JSON."""
+    return vectors.withColumn("vector", F.to_json("vector"))
+
+
+def loaded(rows: DataFrame) -> DataFrame:
+    """Kept enrolments (identity, vector as JSON) as vectors; rows that cannot be read, or are
+    empty or all zero, are left out."""
+    out = rows.withColumn("vector", F.from_json("vector", "array<double>"))
+    return out.filter(F.col("vector").isNotNull() & F.exists("vector", lambda v: v != 0))
+
+
 def forget(vectors: DataFrame, identity: str) -> DataFrame:
     return vectors.filter(F.col("identity") != identity)
 
