@@ -284,7 +284,8 @@ class LineIndex:
         rows = (keys.unionByName(stored) if fits else keys).repartition("shard").sortWithinPartitions("shard", "kind")
         out = cut(rows.mapInArrow(stream(buckets), STREAM))
         told = out.filter(F.col("kind") == KEY).select("key")
-        counted = self._counted(posted.join(told, "key", "left_semi"))
+        # written before it is counted, so that Spark can split a line of all documents in the join
+        counted = self._counted(cut(posted.join(told, "key", "left_semi").select("key", "doc_id")))
         refs = cut(self.refs.join(told, "key", "left_anti").unionByName(counted) if self.size else counted)
         return LineIndex(posted, refs, out.filter(F.col("kind") == FILTER).select("shard", F.col("key").alias("blob")), shards, buckets, size, room)
 
