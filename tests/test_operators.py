@@ -330,7 +330,7 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     w.repartition(3, "session_id").sortWithinPartitions("window_index").write.parquet(str(tmp_path / "in"))
     live = spark.readStream.schema(w.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = calls.write_once(calls.judged(live), str(tmp_path / "out"), str(tmp_path / "state"))
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     got = {(r.session_id, r.window_index): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = S.trail(S.smoothed(w, "session_id", "window_index", "score"), "session_id", "window_index")
     banded = S.banded(batch.withColumn("profile", F.lit("default")), dims.profiles(spark))
@@ -516,7 +516,7 @@ def test_live_windows_equal_batch(spark, tmp_path):
     from timbra.streaming.calls import write_once
 
     q = write_once(L.windows_of(stream), str(tmp_path / "out"), str(tmp_path / "state"))
-    q.awaitTermination(180)
+    assert q.awaitTermination(180)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     want = {(r.id, r.window_index): r.samples for r in windowed(recordings.filter("id <> 'c4'").select("id", F.lit(0).alias("z")).join(spark.createDataFrame([(k, (v / np.float32(32768)).tolist()) for k, v in calls.items()], "id string, samples array<float>"), "id")).collect()}
     mine = {(r.session_id, r.window_index): r.samples for r in got if r.kind == "window" and r.session_id != "c4"}

@@ -68,12 +68,24 @@ def late_dropped(windows: DataFrame, delay: str = "10 seconds") -> DataFrame:
     return windows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session_id", "window_index"])
 
 
+def started(spark, writer):
+    """Start a query over what is there now. Without batches of no data, which idle timeouts
+    would otherwise ask for without end, it stops when all is read."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_once(rows: DataFrame, path: str, checkpoint: str):
     """Each micro-batch to a folder of its own number, so a retry replaces it."""
     def put(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return started(rows.sparkSession, rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint))
 
 
 def deliveries(alerts: DataFrame, channels: str = "alert_channels") -> DataFrame:

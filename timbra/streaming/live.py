@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import dims
+from .calls import started
 
 WINDOWS = "session_id string, kind string, window_index long, start_s double, end_s double, samples array<float>, audio_seconds double, windows long, chunk_hashes array<string>"
 STATE = "held binary, consumed long, index long, total long, hashes array<string>"
@@ -130,7 +131,7 @@ def write_latest(rows: DataFrame, path: str, checkpoint: str, keys: list[str], o
         before = version(df.sparkSession, path, number)
         upserted(before, df, keys, order).write.mode("overwrite").parquet(f"{path}/version={number}")
 
-    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return started(rows.sparkSession, rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint))
 
 
 def version(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
