@@ -93,7 +93,10 @@ SHIFT = f"""sh AS (SELECT *, greatest(least(CASE WHEN amount > 0 THEN 10 * {ramp
 
 def features(spark: SparkSession, d: str) -> DataFrame:
     """orders as windows with a map of feature values; some features are missing or zero."""
-    o = table(spark, d, "orders")
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    cores = spark.sparkContext.defaultParallelism
+    if o.rdd.getNumPartitions() < cores:  # one small file would keep one core busy
+        o = o.repartition(cores, "o_orderkey")
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
     values = {name: f(k, p) for name, f in FEATURES.items()}
     whole = F.create_map(*[x for name, v in values.items() for x in (F.lit(name), v.cast("double"))])
