@@ -91,7 +91,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors.select("vec_id", "embedding", label.alias("label")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_quality_rules, op4_brown_lm, op5_bpe, op6_mix_sources, op7_line_dedup, op8_top_k, op9_simhash, op10_suffix_dedup, op12_vector_codes, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_quality_rules, op4_brown_lm, op5_bpe, op6_mix_sources, op7_line_dedup, op8_top_k, op9_simhash, op10_suffix_dedup, op11_minhash, op12_vector_codes, op13_hard_negatives)}
 #: Vectors as DuckDB lists of integers.
 WHOLE = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
