@@ -15,11 +15,11 @@ SHORTEST_VALUE, SHORTEST_ACCESS = 6, 20
 #: Weak candidates: names of an account, bare keys, places to use them.
 WEAK_ID = r"""(?i:\b(user(?:name)?|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
 WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"(?i:\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[A-Za-z0-9@:._/-]{4,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b)"
+#: A host starts where no host character or word goes on before it and is taken whole, so no
+#: text is walked twice and nothing nests, however many dots and hyphens it has.
+ENDPOINT = r"(?i:\b(?:https?|jdbc:[a-z]++|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[A-Za-z0-9@:._/-]{4,}+|(?<![a-z0-9_-])(?<![a-z0-9_-]\.)[a-z0-9-]++(?:\.[a-z0-9-]++)++:[0-9]{2,5}\b|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b)"
 #: A scope ends at a blank line.
 BREAK = r"\n[\x20\t\r]*\n"
-#: Parts link if their starts are at most this many code points apart in one scope.
-REACH = 256
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 #: The role of each kind; a hex run or a value is a secret, an access key an identifier.
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "endpoint": "place"}
@@ -68,22 +68,19 @@ def parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def linked(spans: DataFrame) -> DataFrame:
     """(rid, kind, s, e) of the weak candidates to report.
 
-    An interval join inside scopes: each weak part meets the parts of the other roles whose
-    starts are at most REACH away. The other side is summed up by scope, role and stretch of
-    REACH code points (first and last start), so a part meets nine rows at most, whatever
-    the number of parts. A weak identifier needs a secret, a weak secret an identifier, an
-    endpoint both.
+    An interval join of parts with scopes, the stretches between a text's breaks: both are
+    walked in order of position, and a part is in the scope after the last break before it.
+    Which roles a scope holds is summed up by scope, so no part meets another, and parts link
+    at any distance. A weak identifier needs a secret in its scope, a weak secret an identifier,
+    an endpoint both.
     """
+    weak = F.col("kind").isin(*KINDS[3:])
     scope = F.count_if(F.col("kind") == "break").over(Window.partitionBy("rid").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0))
-    rows = spans.join(spans.filter(F.col("kind").isin(*KINDS[3:])).select("rid").distinct(), "rid", "left_semi").withColumn("scope", scope)
+    rows = spans.join(spans.filter(weak).select("rid").distinct(), "rid", "left_semi").withColumn("scope", scope)
     role = F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv])[F.col("kind")]
     rows = rows.filter(F.col("kind") != "break").withColumn("role", role)
-    bins = rows.groupBy("rid", "scope", "role", F.floor(F.col("s") / REACH).alias("bin")).agg(F.min("s").alias("first"), F.max("s").alias("last"))
-    weak = rows.filter(F.col("kind").isin(*KINDS[3:]))
-    probe = weak.withColumn("bin", F.explode(F.array(*[F.floor(F.col("s") / REACH) + d for d in (-1, 0, 1)])))
-    other = bins.withColumnRenamed("role", "has")
-    near = probe.join(other, ["rid", "scope", "bin"]).filter((F.col("has") != F.col("role")) & (F.col("last") >= F.col("s") - REACH) & (F.col("first") <= F.col("s") + REACH))
-    seen = near.groupBy("rid", "kind", "s", "e", "role").agg(F.bool_or(F.col("has") == "id").alias("id"), F.bool_or(F.col("has") == "secret").alias("secret"))
+    roles = rows.groupBy("rid", "scope").agg(F.bool_or(F.col("role") == "id").alias("id"), F.bool_or(F.col("role") == "secret").alias("secret"))
+    seen = rows.filter(weak).join(roles, ["rid", "scope"])
     return seen.filter(F.when(F.col("role") == "place", F.col("id") & F.col("secret")).when(F.col("role") == "id", F.col("secret")).otherwise(F.col("id"))).select("rid", "kind", "s", "e")
 
 
