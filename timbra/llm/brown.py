@@ -105,7 +105,7 @@ PAIRS = "shard int, blob binary"
 
 def _planes(x: np.ndarray) -> bytes:
     """Numbers by byte position: the high ones are mostly equal and pack well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def _from_planes(raw: bytes, kind: str) -> np.ndarray:
