@@ -391,7 +391,7 @@ def brute_top_k(rows, k=5):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"QUERY_BLOCK": 1, "ROW_BLOCK": 7, "GROUP": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"QUERY_BLOCK": 1, "ROWS": (7, 7)}])
 def test_top_k(spark, sf, monkeypatch, sizes):
     """The whole table, in one block of each kind and in many."""
     from timbra.llm import topk
@@ -413,16 +413,38 @@ def test_top_k_edges(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, top_k(frame).collect()), key=str) == brute_top_k(rows)
     assert top_k(frame.limit(0)).count() == 0 and top_k(frame.filter("vec_id = 50")).count() == 0
+    odd = frame
+    for c in ("_metadata", "__rid", "__batch", "number", "blob", "group", "query", "score", "rank"):
+        odd = odd.withColumn(c, F.lit(1))
+    assert sorted(map(tuple, top_k(odd).collect()), key=str) == brute_top_k(rows)
+
+
+def test_top_k_sends_rows_once_a_query_block(spark, monkeypatch):
+    """The mail holds each row block once for each query block, each query block once a group."""
+    from timbra.llm import topk, vectors
+
+    frame = spark.range(4000).selectExpr("id AS vec_id", "transform(sequence(1, 16), x -> sin(id * x)) AS embedding")
+    seen = {}
+    whole = vectors.met
+
+    def counted(queries, rows, *args):
+        seen.update(queries=queries.count(), rows=rows.count())
+        return whole(queries, rows, *args)
+
+    monkeypatch.setattr(topk, "met", counted)
+    monkeypatch.setattr(topk, "ROWS", (256, 256))
+    assert topk.top_k(frame, every=4).count() == 5000
+    assert seen["queries"] == 1 and 16 <= seen["rows"] <= 24  # 1,000 queries are one block: no row is sent twice
 
 
 def test_branch_and_bound_prunes_and_keeps_ties():
-    from timbra.llm.topk import Block, columns, scaled
+    from timbra.llm.topk import Block
 
     rng = np.random.default_rng(6)
-    x = [scaled(v) for v in np.repeat(rng.normal(size=(300, 64)) / 8, 2, axis=0)]
-    block, q = Block(columns(x, 64)), columns([x[10]], 64)[:, 0]
+    x = np.floor(256 * np.repeat(rng.normal(size=(300, 64)) / 8, 2, axis=0))
+    block, q = Block(np.ascontiguousarray(x.T)), x[10]
     at, scores = block.best(q, 5, None, 10)
-    full = q @ columns(x, 64)
+    full = x @ q
     full[10] = -math.inf
     least = np.sort(full)[-5]
     assert set(np.flatnonzero(full >= least)) <= set(at.tolist()) and len(at) < 200

@@ -21,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, cut
-from .vectors import alike, blocks, matrix, table, valid
+from .common import cut
+from .vectors import Best, alike, blocks, id_of, matrix, met, rows_a_block, valid
 
 #: One-bit codes a vector, bits of an anchor's component, seed of the rotations.
 CODES, PLANES, SEED = 4, 4, 7
-#: Anchors in a block; rows in a block at least and at most; row blocks in a group.
-ANCHORS, ROWS, GROUP = 1 << 13, (1 << 11, 1 << 16), 16
-ANCHOR_MAIL, ROW_MAIL = 0, 1
+#: Anchors in a block; rows in a block at least and at most.
+ANCHORS, ROWS = 1 << 13, (1 << 11, 1 << 16)
 POSITIVES = "anchor string, anchor_id long, positive string, positive_id long, score long"
 NEGATIVES = "anchor string, anchor_id long, positive string, positive_id long, positive_score long, negative string, negative_id long, negative_score long"
 
@@ -125,25 +124,6 @@ class Block:
         return [int(v) for v in (a @ b[0]).tolist()] if len(rows) else []
 
 
-class Best:
-    """The ``k`` highest scores so far, ties to the smaller id, then place."""
-
-    def __init__(self, k: int):
-        self.k, self.rows = k, []
-
-    def least(self) -> float:
-        """What a further row must reach."""
-        return -self.rows[-1][0] if len(self.rows) == self.k else float("-inf")
-
-    def add(self, scores: list[int], ids, places) -> None:
-        found = [(-s, i is None, i or 0, p) for s, i, p in zip(scores, ids, places, strict=True)]
-        self.rows = sorted(self.rows + found)[:self.k]
-
-
-def _id(row: tuple):
-    return None if row[1] else row[2]
-
-
 class _Anchors:
     """A block of anchors with what was found for each."""
 
@@ -160,7 +140,8 @@ class Positives(_Anchors):
         super().__init__(t)
         self.best = [Best(k) for _ in self.ids]
 
-    def look(self, b: Block) -> None:
+    def look(self, t: pa.Table) -> None:
+        b = Block(t)
         for i, best in enumerate(self.best):
             own = b.of(self.labels[i])
             rows = np.arange(own.start, own.stop)
@@ -180,7 +161,7 @@ class Positives(_Anchors):
     def rows(self) -> Iterator[tuple]:
         for i, place, best in zip(self.ids, self.places, self.best, strict=True):
             for r in best.rows:
-                yield place, i, r[3], _id(r), -r[0]
+                yield place, i, r[3], id_of(r), -r[0]
 
 
 class Negatives(_Anchors):
@@ -192,7 +173,8 @@ class Negatives(_Anchors):
         self.positives = t.column("positives").to_pylist()
         self.best = [[Best(k) for _ in own] for own in self.positives]
 
-    def look(self, b: Block) -> None:
+    def look(self, t: pa.Table) -> None:
+        b = Block(t)
         low, high = self.share
         for i, (positives, bests) in enumerate(zip(self.positives, self.best, strict=True)):
             own = b.of(self.labels[i])
@@ -214,47 +196,7 @@ class Negatives(_Anchors):
         for i, place, positives, bests in zip(self.ids, self.places, self.positives, self.best, strict=True):
             for p, best in zip(positives, bests, strict=True):
                 for r in best.rows:
-                    yield place, i, p["place"], p["id"], p["score"], r[3], _id(r), -r[0]
-
-
-def _walk(kind, *args):
-    """Sorted mail of keys (anchor block, group): the anchors, then the group's rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(kind.schema)
-
-        def full(found) -> Iterator[pa.RecordBatch]:
-            rows = list(found.rows())
-            for k in range(0, len(rows), 1 << 16):
-                some = rows[k:k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], f.type) for i, f in enumerate(schema)], schema=schema)
-
-        now, found = None, None
-        for b in batches:
-            for block, group, mail, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (block, group) != now:
-                    if found is not None:
-                        yield from full(found)
-                    now, found = (block, group), None
-                if mail == ANCHOR_MAIL:
-                    found = kind(table(blob), *args)
-                elif found is not None:
-                    found.look(Block(table(blob)))
-        if found is not None:
-            yield from full(found)
-
-    return run
-
-
-def _met(anchors: DataFrame, rows: DataFrame, kind, *args) -> DataFrame:
-    """Every block of ``anchors`` against every block of ``rows``: what ``kind`` finds, for each
-    group of row blocks."""
-    numbers, n = [r[0] for r in anchors.select("number").collect()], max(1, rows.count())  # one number a block
-    groups = min(n, max(-(-n // GROUP), -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, len(numbers)))))
-    left = anchors.select("number", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(ANCHOR_MAIL).alias("mail"), "blob")
-    right = rows.select(F.explode(F.lit(numbers).cast("array<long>")).alias("number"), F.pmod("number", F.lit(groups)).cast("int").alias("group"), F.lit(ROW_MAIL).alias("mail"), "blob")
-    mail = left.unionByName(right).repartition("number", "group").sortWithinPartitions("number", "group", "mail")
-    return mail.mapInArrow(_walk(kind, *args), kind.schema)
+                    yield place, i, p["place"], p["id"], p["score"], r[3], id_of(r), -r[0]
 
 
 def hard_negatives(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: int = 10, share: tuple[int, int] = (30, 90)) -> DataFrame:
@@ -271,15 +213,13 @@ def hard_negatives(vectors: DataFrame, every: int = 100, positives: int = 5, neg
     anchor without positives, or without negatives in range, and an empty table give no rows.
     """
     rows = cut(valid(vectors, label=F.col("label").cast("long")).filter("label is not null"))
-    least, most = ROWS
-    per = min(most, max(least, rows.count() // int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    held = cut(blocks(rows, per))
+    held = cut(blocks(rows, rows_a_block(rows, *ROWS)))
     asked = cut(rows.filter(F.col("vec_id") % every == 0))
     packed = lambda a: cut(blocks(a.repartition(max(1, -(-asked.count() // ANCHORS))), ANCHORS))
-    found = _met(packed(asked), held, Positives, positives)
+    found = met(packed(asked), held, Positives, positives)
     order = lambda *by: Window.partitionBy(*by[0]).orderBy(*by[1])
     best = found.withColumn("rank", F.row_number().over(order(["anchor"], [F.col("score").desc(), F.col("positive_id").asc_nulls_last(), "positive"]))).filter(F.col("rank") <= positives)
     listed = cut(best.groupBy("anchor").agg(F.collect_list(F.struct(F.col("positive").alias("place"), F.col("positive_id").alias("id"), "score")).alias("positives")))
-    out = _met(packed(asked.join(listed.withColumnRenamed("anchor", "__rid"), "__rid")), held, Negatives, negatives, share)
+    out = met(packed(asked.join(listed.withColumnRenamed("anchor", "__rid"), "__rid")), held, Negatives, negatives, share)
     rank = F.row_number().over(order(["anchor", "positive"], [F.col("negative_score").desc(), F.col("negative_id").asc_nulls_last(), "negative"]))
     return out.withColumn("rank", rank).filter(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -3,13 +3,13 @@
 Queries and candidates are packed into blocks. Every block of queries meets every block of
 candidates: blocks of candidates are dealt to groups, and each (query block, group) is a key
 of one shuffle, so no vector passes the driver and no task holds more than one block of each
-kind. A task walks a group's blocks in turn and carries the k best of each query along, whose
-least score bounds the search in the blocks that follow.
+kind. Query blocks are large, so that candidates are sent seldom. A task walks a group's blocks
+in turn and carries the k best of each query along, whose least score bounds the search in the
+blocks that follow.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,37 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, cut, numbered, pack, unpack
+from .common import cut
+from .vectors import Best, alike, blocks, id_of, matrix, met, rows_a_block, valid
 
-#: Queries in a block, candidates in a block, blocks in a group, dimensions in a step.
-QUERY_BLOCK, ROW_BLOCK, GROUP, STEP = 512, 1 << 14, 16, 8
+#: Queries in a block, candidates in a block at least and at most, dimensions in a step.
+QUERY_BLOCK, ROWS, STEP = 1 << 13, (1 << 12, 1 << 14), 8
 FOUND = "query string, query_id long, vec_id long, rid string, score long"
-#: A block of vectors; ``kind`` QUERIES sorts before CANDIDATES.
-BLOCK = "number long, blob binary"
-QUERIES, CANDIDATES = 0, 1
-#: Below this, sums of products are exact in doubles.
-EXACT = float(1 << 53)
-
-
-def valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding, __rid) of the rows that take part."""
-    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = numbered(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "__rid")
-    return rows.filter(F.col("embedding").isNotNull() & ~bad)
-
-
-def scaled(x) -> np.ndarray:
-    """floor(256 * x), as doubles."""
-    return np.floor(256.0 * np.asarray(x, np.float64))
-
-
-def columns(vectors: list, width: int) -> np.ndarray:
-    """One row for each dimension of scaled vectors; short ones are filled with zeros. Values
-    that doubles cannot sum exactly become Python integers."""
-    out = np.zeros((width, len(vectors)))
-    for k, x in enumerate(vectors):
-        out[:min(len(x), width), k] = x[:width]
-    return out if not out.size or float(np.abs(out).max()) ** 2 * max(width, 1) < EXACT else np.array([[int(v) for v in row] for row in out], object)
 
 
 class Block:
@@ -85,101 +60,36 @@ class Block:
         return alive, total
 
 
-def _pack_rows(rows: list[tuple]) -> bytes:
-    """(vec_id, vector, rid) rows; the vectors are scaled and as narrow as they fit."""
-    ids = [r[0] for r in rows]
-    known = np.array([i is not None for i in ids])
-    flat = scaled(np.fromiter((x for r in rows for x in r[1]), np.float64))
-    most = float(np.abs(flat).max(initial=0))
-    kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<f8"
-    return pack([known.tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([len(r[1]) for r in rows], "<u4").tobytes(), kind.encode(), flat.astype(kind).tobytes(), "\n".join(r[2] for r in rows).encode()])
-
-
-def _unpack_rows(blob: bytes) -> list[tuple]:
-    known, ids, sizes, kind, flat, rids = unpack(blob)
-    ids = [i if k else None for i, k in zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(known, np.bool_).tolist(), strict=True)]
-    ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64))
-    flat = np.frombuffer(flat, kind.decode()).astype(np.float64)
-    return [(i, flat[b - n:b], rid) for i, b, n, rid in zip(ids, ends.tolist(), np.frombuffer(sizes, "<u4").tolist(), rids.decode().split("\n"), strict=True)]
-
-
-def _blocks(size: int, given: bool):
-    """Rows to blocks of ``size``. Blocks end where the last column changes and carry it as
-    their number if it is ``given``, else a hash of their first row's place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def full() -> pa.RecordBatch:
-            number = held[0][3] if given else int.from_bytes(hashlib.blake2b(held[0][2].encode(), digest_size=7).digest(), "little")
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_pack_rows([r[:3] for r in held])], pa.binary())], schema=arrow_schema(BLOCK))
-
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and (len(held) == size or given and row[3] != held[0][3]):
-                    yield full()
-                    held = []
-                held.append(row)
-        if held:
-            yield full()
-
-    return run
-
-
-class _Best:
-    """The k best candidates so far of each query of a block."""
-
-    def __init__(self, queries: list[tuple], k: int):
-        self.queries, self.k = queries, k
-        self.found: list[list[tuple]] = [[] for _ in queries]
-
-    def look(self, rows: list[tuple]) -> None:
-        k, vectors = self.k, [q[1] for q in self.queries]
-        width = max([len(v) for v in vectors] + [len(r[1]) for r in rows])
-        x, q = columns([r[1] for r in rows], width), columns(vectors, width)
-        if object in (x.dtype, q.dtype) or float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(width, 1) >= EXACT:
-            x, q = (np.array([[int(v) for v in row] for row in m], object).reshape(m.shape) for m in (x, q))
-        block = Block(x)
-        place = {r[2]: i for i, r in enumerate(rows)}
-        for j, (_, _, rid) in enumerate(self.queries):
-            own = self.found[j]
-            at, scores = block.best(q[:, j], k, own[-1][0] * -1 if len(own) == k else None, place.get(rid))
-            if len(own) == k and len(at):
-                good = scores >= -own[-1][0]
-                at, scores = at[good], scores[good]
+class Search:
+    """A block of queries with the k best candidates so far of each."""
+
+    schema = FOUND
+
+    def __init__(self, t: pa.Table, k: int):
+        self.k, self.x = k, matrix(t.column("embedding"))
+        self.ids, self.places = t.column("vec_id").to_pylist(), t.column("__rid").to_pylist()
+        self.best = [Best(k) for _ in self.ids]
+
+    def look(self, t: pa.Table) -> None:
+        k, own_x = self.k, matrix(t.column("embedding"))
+        q, x = alike(self.x, own_x)
+        block = Block(np.ascontiguousarray(x.T))
+        places, ids = t.column("__rid").to_pylist(), t.column("vec_id").to_pylist()
+        where = {p: i for i, p in enumerate(places)}
+        for row, place, best in zip(q, self.places, self.best, strict=True):
+            at, scores = block.best(row, k, best.least() if len(best.rows) == k else None, where.get(place))
+            good = scores >= best.least()
+            at, scores = at[good], scores[good]
             if len(at) > 4 * k:
                 few = np.argpartition(-scores.astype(np.float64), k)[:k]
                 good = scores >= scores[few].min()
                 at, scores = at[good], scores[good]
-            new = [(-int(s), rows[i][0] is None, rows[i][0] or 0, rows[i][2]) for i, s in zip(at.tolist(), scores.tolist(), strict=True)]
-            self.found[j] = sorted(own + new)[:k]
-
-    def rows(self) -> pa.RecordBatch:
-        out = [(rid, i, None if none else v, other, -s) for (i, _, rid), own in zip(self.queries, self.found, strict=True) for s, none, v, other in own]
-        schema = arrow_schema(FOUND)
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
-
-
-def _search(k: int):
-    """Sorted mail of keys (query block, group): the queries, then the group's candidates."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, queries, best = None, [], None
-        for b in batches:
-            for block, group, kind, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (block, group) != now:
-                    if best is not None:
-                        yield best.rows()
-                    now, queries, best = (block, group), [], None
-                if kind == QUERIES:
-                    queries += _unpack_rows(blob)
-                elif queries:
-                    best = best or _Best(queries, k)
-                    best.look(_unpack_rows(blob))
-        if best is not None:
-            yield best.rows()
+            best.add([int(s) for s in scores], [ids[i] for i in at], [places[i] for i in at])
 
-    return run
+    def rows(self) -> Iterator[tuple]:
+        for i, place, best in zip(self.ids, self.places, self.best, strict=True):
+            for r in best.rows:
+                yield place, i, id_of(r), r[3], -r[0]
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -190,20 +100,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     Each query block meets each candidate block once, where their key sends them; a group
     returns k rows a query. Null vectors and those with null or non-finite components take no
     part; vectors of other lengths count as filled up with zeros; rows that repeat a vec_id
-    are rows of their own; an empty table gives none.
+    are rows of their own; an empty table gives none. Other columns are never read.
     """
-    rows = valid(vectors)
-    asked = cut(rows.filter(F.col("vec_id") % every == 0))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("number", F.pmod(F.xxhash64("__rid"), F.lit(blocks))).repartition("number").sortWithinPartitions("number", "__rid")
-    queries = cut(asked.mapInArrow(_blocks(QUERY_BLOCK, True), BLOCK))
-    held = cut(rows.mapInArrow(_blocks(ROW_BLOCK, False), BLOCK))
-    n = max(1, held.count())
-    groups = min(n, max(-(-n // GROUP), -(-int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)))
-    every_group, every_block = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (groups, blocks))
-    left = queries.select("number", every_group.alias("group"), F.lit(QUERIES).alias("kind"), "blob")
-    right = held.select(every_block.alias("number"), F.pmod("number", F.lit(groups)).cast("int").alias("group"), F.lit(CANDIDATES).alias("kind"), "blob")
-    mail = left.unionByName(right.withColumn("number", F.col("number").cast("long"))).repartition("number", "group").sortWithinPartitions("number", "group", "kind")
-    parts = mail.mapInArrow(_search(k), FOUND)
+    rows = cut(valid(vectors))
+    asked = rows.filter(F.col("vec_id") % every == 0)
+    queries = cut(blocks(asked.repartition(max(1, -(-asked.count() // QUERY_BLOCK))), QUERY_BLOCK))
+    parts = met(queries, cut(blocks(rows, rows_a_block(rows, *ROWS))), Search, k)
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "rid")
     return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

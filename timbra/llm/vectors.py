@@ -16,6 +16,8 @@ from .common import arrow_schema, numbered
 EXACT = float(1 << 53)
 #: A block of rows as an Arrow stream.
 BLOCK = "number long, blob binary"
+#: What a task is sent: a block of queries, then at least GROUP blocks of rows in large tables.
+QUERY_MAIL, ROW_MAIL, GROUP = 0, 1, 16
 
 
 def valid(vectors: DataFrame, **more: Column) -> DataFrame:
@@ -119,3 +121,69 @@ def blocks(rows: DataFrame, size: int, key: str | None = None, shape: Callable[[
             yield full()
 
     return rows.mapInArrow(run, BLOCK)
+
+
+def rows_a_block(rows: DataFrame, least: int, most: int) -> int:
+    """So many that every core has a block, within bounds."""
+    return min(most, max(least, rows.count() // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+class Best:
+    """The ``k`` highest scores so far, ties to the smaller id, then place."""
+
+    def __init__(self, k: int):
+        self.k, self.rows = k, []
+
+    def least(self) -> float:
+        """What a further row must reach."""
+        return -self.rows[-1][0] if len(self.rows) == self.k else float("-inf")
+
+    def add(self, scores: list[int], ids, places) -> None:
+        found = [(-s, i is None, i or 0, p) for s, i, p in zip(scores, ids, places, strict=True)]
+        self.rows = sorted(self.rows + found)[:self.k]
+
+
+def id_of(row: tuple):
+    return None if row[1] else row[2]
+
+
+def _walk(kind, *args):
+    """Sorted mail of keys (query block, group): the queries, then the group's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(kind.schema)
+
+        def full(found) -> Iterator[pa.RecordBatch]:
+            rows = list(found.rows())
+            for k in range(0, len(rows), 1 << 16):
+                some = rows[k:k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], f.type) for i, f in enumerate(schema)], schema=schema)
+
+        now, found = None, None
+        for b in batches:
+            for block, group, mail, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (block, group) != now:
+                    if found is not None:
+                        yield from full(found)
+                    now, found = (block, group), None
+                if mail == QUERY_MAIL:
+                    found = kind(table(blob), *args)
+                elif found is not None:
+                    found.look(table(blob))
+        if found is not None:
+            yield from full(found)
+
+    return run
+
+
+def met(queries: DataFrame, rows: DataFrame, kind, *args) -> DataFrame:
+    """Every block of ``queries`` against every block of ``rows``. ``kind`` is made of a block of
+    queries and ``args``, looks at each block of a group of rows and then gives ``rows()`` of its
+    ``schema``. A task holds one block of each side; the rows are sent once for each block of
+    queries."""
+    numbers, n = [r[0] for r in queries.select("number").collect()], max(1, rows.count())  # one number a block
+    groups = min(n, max(-(-n // GROUP), -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, len(numbers)))))
+    left = queries.select("number", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(QUERY_MAIL).alias("mail"), "blob")
+    right = rows.select(F.explode(F.lit(numbers).cast("array<long>")).alias("number"), F.pmod("number", F.lit(groups)).cast("int").alias("group"), F.lit(ROW_MAIL).alias("mail"), "blob")
+    mail = left.unionByName(right).repartition("number", "group").sortWithinPartitions("number", "group", "mail")
+    return mail.mapInArrow(_walk(kind, *args), kind.schema)
