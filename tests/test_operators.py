@@ -198,6 +198,27 @@ def test_text(spark):
     say = lambda t: one(spark, F.size(T.urgency_hits(F.lit(t))))
     assert say("Please share the code, it is URGENT") == 2 and say("hello") == 0 and one(spark, F.size(T.urgency_hits(F.lit(None).cast("string")))) == 0
     assert one(spark, T.redact(F.lit("call 98765 43210, or a.b@c.org"))) == "call [number], or [email]"
+
+
+def test_redaction_edges_and_time(spark):
+    """The patterns as they are told, in Python's engine; and ten megabytes of what they could walk."""
+    import re
+    import time
+
+    from timbra.functions import text as T
+
+    def told(t):
+        return re.sub(r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", "[email]", re.sub(r"\b\d[\d\s-]{3,}\b", "[number]", t))
+
+    rng = np.random.default_rng(8)
+    texts = ["..a@b.c", "a@b@c.org", "a@b.c-d@e.f", "--@x.y", "x a.b+c-d@e-f.g.h. y", "a@b....", "é@ü.de", "1 2 3 4 5 x", "12   ", "a@b.c,-d@e.f"] + ["".join(rng.choice(list("ab1.+-@ _,"), 40)) for _ in range(3000)]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.redact(F.col("t"))).collect()]
+    assert got == [told(t) for t in texts]
+    units = ["a.", "a-", "a.a-", "1 ", "1-", "-", ".", "a@", "@", "a@b", "a@b.", "+", " ", "1", "_"]
+    frame = spark.createDataFrame([(u * (10_000_000 // len(u)),) for u in units], "t string").repartition(len(units))
+    began = time.time()
+    assert frame.select(F.length(T.redact(F.col("t"))).alias("n")).count() == len(units)
+    assert frame.agg(F.sum(F.length(T.redact(F.col("t"))))).first()[0] > 0 and time.time() - began < 120
     assert one(spark, T.mask_number(F.lit("+91 98765-43210"))) == "********3210" and one(spark, T.mask_number(F.lit("12"))) == "***"
     assert one(spark, T.hash_identifier(F.lit("x"), "s")).startswith("h:")
     assert one(spark, T.retention_banner(F.lit("features_only"), F.lit(7200), F.lit(60))).endswith("after 2 h.")

@@ -22,7 +22,9 @@ def redact(text: Column, max_chars: int = 0, unicode: bool = True) -> Column:
     """Digit runs of four or more characters, then addresses, replaced; null becomes empty."""
     u = "(?U)" if unicode else ""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), u + r"\b\d[\d\s-]{3,}\b", "[number]")
-    out = F.regexp_replace(out, u + r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", "[email]")
+    # An address starts with the first word character of its run, or where the last one ended;
+    # nothing is walked twice.
+    out = F.regexp_replace(out, u + r"(?:(?<![\w.+-])([.+-]*+)(?=\w)|\G\b)[\w.+-]++@[\w-]++\.[\w.]+\b", "$1[email]")
     return F.substring(out, 1, max_chars) if max_chars else out
 
 
@@ -63,7 +65,7 @@ def extra_numbers(payload: Column, known: list[str]) -> Column:
 def alert_text(band: Column, session: Column, score: Column, labels: Column, action: Column) -> Column:
     """Band, call, score, two reasons, action."""
     why = F.when(F.size(labels) > 0, F.array_join(F.slice(labels, 1, 2), "; ")).otherwise("no single dominant factor")
-    return F.concat(F.lit("["), band, F.lit("] Call "), session, F.lit(": risk "), F.format_string("%.0f", score), F.lit("/100. "), why, F.lit(". "), action)
+    return F.concat(F.lit("["), band, F.lit("] Call "), session, F.lit(": risk "), F.format_string("%.0f", F.bround(score, 0)), F.lit("/100. "), why, F.lit(". "), action)
 
 
 def context_json(c) -> Column:
@@ -79,7 +81,7 @@ def sms(text: Column) -> Column:
 def email_body(headline: Column, score: Column, band: Column, action: Column, factors: Column) -> Column:
     """Headline, score, action and up to five factors (label, detail), a line each."""
     lines = F.transform(F.slice(factors, 1, 5), lambda f: F.concat(F.lit("  - "), f["label"], F.lit(": "), F.coalesce(f["detail"], F.lit(""))))
-    head = F.array(headline, F.lit(""), F.concat(F.lit("Risk score: "), F.format_string("%.0f", score), F.lit("/100 ("), band, F.lit(")")), F.concat(F.lit("Recommended action: "), action), F.lit(""), F.lit("Contributing factors:"))
+    head = F.array(headline, F.lit(""), F.concat(F.lit("Risk score: "), F.format_string("%.0f", F.bround(score, 0)), F.lit("/100 ("), band, F.lit(")")), F.concat(F.lit("Recommended action: "), action), F.lit(""), F.lit("Contributing factors:"))
     return F.array_join(F.concat(head, lines), "\n")
 
 

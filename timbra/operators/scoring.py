@@ -225,7 +225,7 @@ def top_factors(factors: Column, n: int = 3) -> Column:
 
 
 def headline(score: Column, band_name: Column, factors: Column) -> Column:
-    lead = F.concat(F.lit("Risk "), F.format_string("%.0f", score), F.lit("/100 — this voice "), lookup(band_name, dims.PHRASES, dims.PHRASES["LOW"]))
+    lead = F.concat(F.lit("Risk "), F.format_string("%.0f", F.bround(score, 0)), F.lit("/100 — this voice "), lookup(band_name, dims.PHRASES, dims.PHRASES["LOW"]))
     return F.when(F.size(factors) > 0, F.concat(lead, F.lit("; the strongest single indicator is "), F.lower(F.get(factors, F.lit(0))["label"]), F.lit("."))).otherwise(F.concat(lead, F.lit(".")))
 
 
@@ -249,5 +249,5 @@ def caveats(elapsed: Column, speech_ratio: Column, excluded: Column, confidence:
     c = dims.CAVEATS
     return F.array_compact(F.array(
         F.when(elapsed < 3, F.format_string(c["short"], elapsed.cast("double"))), F.when(speech_ratio < 0.35, c["silent"]), F.when(F.array_contains(excluded, "speaker"), c["no_speaker"]),
-        F.when(confidence < 0.5, c["unsure"]), F.when(heuristic, c["heuristic"]), F.when(shift > 1, F.format_string(c["lowered"], shift.cast("double"))),
+        F.when(confidence < 0.5, c["unsure"]), F.when(heuristic, c["heuristic"]), F.when(shift > 1, F.format_string(c["lowered"], F.bround(shift.cast("double"), 0))),
     ))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import exprs as X
 from ..functions import text as T
+from ..operators import layers as J
 from ..operators import metrics as M
 from ..operators import privacy as P
 from ..operators import reports as R
@@ -79,17 +80,22 @@ def layer_contributions(spark, d):
     return _fused(spark, d).select("session_id", "window_index", F.inline("fusion.shares")).select("session_id", "window_index", "layer", r6(F.col("share"), "share"))
 
 
-@query(f"WITH {Q.WINDOWS}, {Q.LAYERS}, t AS (SELECT *, sum(power) OVER (PARTITION BY session_id, window_index) AS mass FROM v) SELECT session_id, window_index, layer, round(CASE WHEN power > 1e-9 THEN power / mass ELSE 0 END, 4) AS weight_share, CASE WHEN power > 1e-9 THEN 'voted' ELSE 'abstained' END AS status FROM t WHERE layer IN ('speaker', 'context')")
+@query(f"WITH {Q.WINDOWS}, {Q.LAYERS}, t AS (SELECT *, sum(power) OVER (PARTITION BY session_id, window_index) AS mass FROM v) SELECT session_id, window_index, layer, round(CASE WHEN power > 1e-9 THEN power / mass ELSE 0 END, 4) AS weight_share, CASE WHEN power > 1e-9 THEN 'voted' ELSE 'abstained' END AS status FROM t")
 def layer_status(spark, d):
     rows = _fused(spark, d).select("session_id", "window_index", F.inline(S.layer_summary(F.col("layers"), F.col("fusion.shares"))))
-    return rows.filter(F.col("layer").isin("speaker", "context")).select("session_id", "window_index", "layer", "weight_share", "status")
+    return rows.select("session_id", "window_index", "layer", "weight_share", "status")
 
 
 @query(f"""WITH {Q.WINDOWS}, {Q.LAYERS}, c AS (SELECT *, row_number() OVER (PARTITION BY session_id, window_index ORDER BY confidence * (1 - score) DESC, layer) AS n FROM v WHERE confidence > 0.2 AND score < 0.35)
-  SELECT session_id, window_index, layer || '_genuine' AS code, round(confidence * (1 - score), 10) AS contribution FROM c WHERE n <= 2""")
+  SELECT session_id, window_index, layer || '_genuine' AS code, round(confidence * (1 - score), 10) AS contribution, round(score, 10) AS value FROM c WHERE n <= 2""")
 def counter_evidence(spark, d):
     rows = Q.layered(Q.windows(spark, d)).select("session_id", "window_index", F.inline(S.counter_evidence(F.col("layers"))))
-    return rows.select("session_id", "window_index", "code", F.round("contribution", 10).alias("contribution"))
+    return rows.select("session_id", "window_index", "code", F.round("contribution", 10).alias("contribution"), F.round("value", 10).alias("value"))
+
+
+#: The rules' labels and what they say of a value, as DuckDB values.
+LABELS = "(VALUES " + ", ".join(f"('{r[0]}', '{r[1]}')" for r in dims.ACOUSTIC_RULES + dims.PROSODIC_RULES) + ") AS lb(code, label)"
+DETAIL_SQL = "CASE code " + " ".join(f"WHEN '{k}' THEN printf('{t}', value{' * 100' if k in dims.PER_CENT else ''})" for k, t in dims.DETAILS.items()) + " END"
 
 
 RULE_ROWS = f"""{Q.EVIDENCE}, {Q.rules_sql()}, ev AS (SELECT f.window_id, layer, f.feature, f.value, weight, {Q.RAMP.format(v='f.value', a='low', b='high')} * weight AS contribution
@@ -99,19 +105,15 @@ RULE_ROWS = f"""{Q.EVIDENCE}, {Q.rules_sql()}, ev AS (SELECT f.window_id, layer,
 @query(f"""WITH {RULE_ROWS}, whole AS (SELECT layer, sum(weight) AS all_weight FROM rules GROUP BY layer), g AS (SELECT window_id, layer, sum(contribution) / sum(weight) AS e, sum(weight) AS total, count(*) AS n FROM ev GROUP BY ALL)
   SELECT window_id, layer, round(1 / (1 + exp(-(CASE layer WHEN 'acoustic' THEN -1.05 + 3.4 * (2 * e - 0.5) ELSE -1.2 + 3.0 * (2 * e - 0.5) END))), 6) AS score, round(least(1.0, 0.35 + 0.65 * total / all_weight), 6) AS confidence, n AS features_used FROM g JOIN whole USING (layer)""")
 def rule_scores(spark, d):
-    rules = dims.rules(spark)
-    out = S.rule_scores(Q.features(spark, d), rules, ["window_id"])
-    return out.select("window_id", "layer", r6(F.col("score"), "score"), r6(F.col("confidence"), "confidence"), F.col("features_used").cast("long").alias("features_used"))
+    out = J.layer_rows(Q.features(spark, d), ["window_id"], J.rules_only())
+    return out.select("window_id", "layer", r6(F.col("score"), "score"), r6(F.col("confidence"), "confidence"), "features_used")
 
 
-@query(f"""WITH {RULE_ROWS}, t AS (SELECT *, CAST(sum(CAST(weight AS DECIMAL(18,9))) OVER (PARTITION BY window_id, layer) AS DOUBLE) AS total FROM ev), k AS (SELECT window_id, feature AS code, max(contribution / total * CASE layer WHEN 'acoustic' THEN 0.45 ELSE 0.28 END) AS scaled FROM t GROUP BY ALL),
-  n AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY scaled DESC, code) AS rank FROM k) SELECT window_id, code, rank, round(CASE WHEN s > 1e-9 THEN scaled / s ELSE scaled END, 6) AS contribution FROM (SELECT *, sum(scaled) OVER (PARTITION BY window_id) AS s FROM n WHERE rank <= 6)""")
+@query(f"""WITH {RULE_ROWS}, t AS (SELECT *, CAST(sum(CAST(weight AS DECIMAL(18,9))) OVER (PARTITION BY window_id, layer) AS DOUBLE) AS total FROM ev), k AS (SELECT window_id, feature AS code, any_value(value) AS value, max(contribution / total * CASE layer WHEN 'acoustic' THEN 0.45 ELSE 0.28 END) AS scaled FROM t GROUP BY window_id, feature),
+  n AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY scaled DESC, code) AS rank FROM k) SELECT window_id, code, label, round(value, 6) AS value, rank, round(CASE WHEN s > 1e-9 THEN scaled / s ELSE scaled END, 6) + 0.0 AS contribution FROM (SELECT *, sum(scaled) OVER (PARTITION BY window_id) AS s FROM n WHERE rank <= 6) JOIN {LABELS} USING (code)""")
 def rule_factors_topk(spark, d):
-    rules = dims.rules(spark)
-    rows = Q.features(spark, d).select("window_id", S.rule_layers(S.judged_rules(F.col("features"), rules), rules).alias("layers"))
-    of = lambda x: F.transform(x["factors"], lambda f: f.withField("confidence", F.lit(1.0)).withField("share", X.lookup(x["layer"], dims.FUSION_WEIGHTS, 0.0)))
-    top = S.merged_factors(F.flatten(F.transform("layers", of)))
-    return rows.select("window_id", F.inline(top)).select("window_id", "code", F.col("rank").cast("long").alias("rank"), r6(F.col("contribution"), "contribution"))
+    top = J.factor_rows(Q.features(spark, d), ["window_id"], J.rules_only())
+    return top.select("window_id", "code", "label", r6(F.col("value"), "value"), "rank", r6(F.col("contribution"), "contribution"))
 
 
 @query(f"""WITH {Q.REQUESTS}, g AS (SELECT request_id, [
@@ -231,28 +233,39 @@ CONTEXT_ROWS = SQL["context_layer"].split("\n  SELECT request_id, n AS signals")
 
 @query(f"""WITH {RULE_ROWS}, whole AS (SELECT layer, sum(weight) AS all_weight FROM rules GROUP BY layer), g AS (SELECT window_id, layer, sum(contribution) / sum(weight) AS e, sum(weight) AS total FROM ev GROUP BY ALL),
   cl AS ({CONTEXT_ROWS} SELECT request_id AS window_id, 1 / (1 + exp(1.4 - 3.2 * e)) AS score, 0.3 + 0.5 * least(1.0, total / 5) AS confidence FROM t),
-  l AS (SELECT window_id, layer, 1 / (1 + exp(-(CASE layer WHEN 'acoustic' THEN -1.05 + 3.4 * (2 * e - 0.5) ELSE -1.2 + 3.0 * (2 * e - 0.5) END))) AS score, least(1.0, 0.35 + 0.65 * total / all_weight) * CASE layer WHEN 'acoustic' THEN 0.8 ELSE 1.0 END AS confidence, CAST(CASE layer WHEN 'acoustic' THEN 0.45 ELSE 0.28 END AS DOUBLE) AS weight FROM g JOIN whole USING (layer)
+  l AS (SELECT window_id, layer, coalesce(1 / (1 + exp(-(CASE layer WHEN 'acoustic' THEN -1.05 + 3.4 * (2 * e - 0.5) ELSE -1.2 + 3.0 * (2 * e - 0.5) END))), 0.5) AS score, CASE WHEN e IS NULL THEN 0.0 ELSE least(1.0, 0.35 + 0.65 * total / all_weight) * CASE layer WHEN 'acoustic' THEN 0.8 ELSE 1.0 END END AS confidence, CAST(CASE layer WHEN 'acoustic' THEN 0.45 ELSE 0.28 END AS DOUBLE) AS weight
+    FROM (SELECT k AS window_id, layer, all_weight FROM o, whole) LEFT JOIN g USING (window_id, layer)
     UNION ALL SELECT window_id, 'context', score, confidence, CAST(0.08 AS DOUBLE) FROM cl),
   v AS (SELECT *, weight * CAST(confidence AS DOUBLE) AS power, ln(least(greatest(score, 1e-4), 1 - 1e-4) / (1 - least(greatest(score, 1e-4), 1 - 1e-4))) AS z FROM l),
-  f AS (SELECT window_id, 1 / (1 + exp(-sum(power * z) / sum(power))) AS probability, greatest(0.05, least(1.0, sum(power) / sum(weight) * (1 - 0.35 * (max(score) - min(score))))) AS confidence FROM v GROUP BY window_id),
+  f AS (SELECT window_id, 1 / (1 + exp(-sum(power * z) / sum(power))) AS probability, greatest(0.05, least(1.0, sum(power) / sum(weight) * (1 - 0.35 * (max(score) FILTER (power > 1e-9) - min(score) FILTER (power > 1e-9))))) AS confidence FROM v GROUP BY window_id),
   {Q.REQUESTS}, {Q.SHIFT}, {PROFILES_SQL}, a AS (SELECT f.*, profile AS policy, shift, round_even(probability * 100, 1) AS score, greatest(0.0, elevated - shift) AS elevated, greatest(0.0, high - shift) AS high, greatest(0.0, critical - shift) AS critical FROM f JOIN sh ON request_id = window_id JOIN p USING (profile)),
-  b AS (SELECT *, {BAND.format(s='score')} AS band FROM a)
+  b AS (SELECT *, {BAND.format(s='score')} AS band FROM a),
+  sc AS (SELECT *, power / sum(power) OVER (PARTITION BY window_id) AS share FROM v), tt AS (SELECT *, CAST(sum(CAST(weight AS DECIMAL(18,9))) OVER (PARTITION BY window_id, layer) AS DOUBLE) AS total FROM ev),
+  k AS (SELECT tt.window_id, feature AS code, value, contribution / total * confidence * share AS k FROM tt JOIN sc USING (window_id, layer)),
+  n AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY k DESC, code) AS n FROM k), c AS (SELECT *, k / sum(k) OVER (PARTITION BY window_id) AS c FROM n WHERE n <= 6),
+  m AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY n) AS m FROM c WHERE c > 0.01 QUALIFY m <= 4),
+  fs AS (SELECT window_id, string_agg(code, ',' ORDER BY m) AS factors, string_agg({DETAIL_SQL}, ' | ' ORDER BY m) AS details, string_agg(printf('%.4f', round(c, 4)), ',' ORDER BY m) AS shares, max(label) FILTER (m = 1) AS label FROM m JOIN {LABELS} USING (code) GROUP BY window_id),
+  told AS (SELECT b.window_id, coalesce(factors, '') AS factors, coalesce(details, '') AS details, coalesce(shares, '') AS shares, printf('Risk %.0f/100 — this voice ', score) || CASE band {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dims.PHRASES.items())} END || coalesce('; the strongest single indicator is ' || lower(label) || '.', '.') AS headline FROM b LEFT JOIN fs USING (window_id)),
+  ls AS (SELECT window_id, string_agg(layer || ':' || CASE WHEN power > 1e-9 THEN 'voted' ELSE 'abstained' END || ':' || printf('%.4f', round(share, 4)), ',' ORDER BY CASE layer WHEN 'acoustic' THEN 0 WHEN 'prosodic' THEN 1 ELSE 2 END) AS summary,
+    coalesce(string_agg(layer || '_genuine', ',' ORDER BY g) FILTER (g <= 2), '') AS against FROM (SELECT *, CASE WHEN confidence > 0.2 AND score < 0.35 THEN row_number() OVER (PARTITION BY window_id ORDER BY CASE WHEN confidence > 0.2 AND score < 0.35 THEN confidence * (1 - score) ELSE -1 END DESC) END AS g FROM sc) GROUP BY window_id)
   SELECT window_id, policy, round(score, 1) AS score, band, round(probability, 6) AS probability, round(confidence, 6) AS confidence, round(shift, 6) AS threshold_shift, CASE band {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dims.ACTIONS.items())} END AS action,
-    CAST(2 + CASE WHEN confidence < 0.5 THEN 1 ELSE 0 END + CASE WHEN shift > 1 THEN 1 ELSE 0 END AS BIGINT) AS caveats FROM b""")
+    headline, factors, details, shares, summary, against, array_to_string(list_filter(['{dims.CAVEATS['short'] % 0.0}', CASE WHEN confidence < 0.5 THEN '{dims.CAVEATS['unsure']}' END, '{dims.CAVEATS['heuristic']}', CASE WHEN shift > 1 THEN printf('{dims.CAVEATS['lowered'].replace("'", "''")}', shift) END], lambda x: x IS NOT NULL), ' | ') AS caveats
+  FROM b JOIN told USING (window_id) JOIN ls USING (window_id)""")
 def assessed_windows(spark, d):
-    """Rules and context of each window fused, judged by the call's profile and facts, explained."""
-    from ..operators import assess as A
-
-    rules = dims.rules(spark)
+    """Rules and context of each window fused, judged by the call's profile and facts, explained:
+    one pass over Arrow batches."""
     r = Q.requests(spark, d).withColumn("transaction_amount", F.col("amount")).withColumn("claimed_identity", F.lit(""))
-    facts = r.select(F.col("request_id").alias("window_id"), "profile", *A.CONTEXT, S.context_signals(F.col).alias("signals"))
-    rows = Q.features(spark, d).join(facts, "window_id").withColumn("own", S.rule_layers(S.judged_rules(F.col("features"), rules), rules)).withColumn("c", S.context_score(F.col("signals")))
-    kind = "array<struct<code:string,label:string,contribution:double,value:double>>"
-    one = lambda name, score, confidence, factors: F.struct(name.alias("layer"), score.alias("score"), confidence.alias("confidence"), factors.alias("factors"))
-    rule = F.transform("own", lambda x: one(x["layer"], x["score"], F.when(x["layer"] == "acoustic", S.acoustic_confidence(x["confidence"])).otherwise(x["confidence"]), x["factors"]))
-    layers = F.concat(rule, F.array(one(F.lit("context"), F.col("c.score"), F.col("c.confidence"), F.array().cast(kind))))
-    out = A.assessed(rows.withColumn("layers", layers).withColumn("heuristic", F.lit(True)).select("window_id", "profile", *A.CONTEXT, "layers", "heuristic"), dims.profiles(spark))
-    return out.select("window_id", "policy", F.round("score", 1).alias("score"), "band", r6(F.col("probability"), "probability"), r6(F.col("confidence"), "confidence"), r6(F.col("threshold_shift"), "threshold_shift"), "action", F.size("caveats").cast("long").alias("caveats"))
+    facts = r.select(F.col("request_id").alias("window_id"), "profile", *[c for c in J.CONTEXT_KINDS if c in r.columns])
+    layers = J.rules_only().register(J.Layer("context", dims.FUSION_WEIGHTS["context"], J.context, (), ("context",)))
+    acoustic = J.Layer("acoustic", dims.FUSION_WEIGHTS["acoustic"], J.acoustic, layers.layers["acoustic"].features)
+    rows = Q.features(spark, d).join(facts, "window_id").repartition(spark.sparkContext.defaultParallelism, "window_id")  # small rows, much work: not to be coalesced
+    out = J.verdicts(rows, ["window_id"], layers.register(acoustic), J.Policy(heuristic=True))
+    told = lambda xs, f, by: F.array_join(F.transform(xs, f), by)
+    return out.select(
+        "window_id", "policy", F.round("score", 1).alias("score"), "band", r6(F.col("probability"), "probability"), r6(F.col("confidence"), "confidence"), r6(F.col("threshold_shift"), "threshold_shift"), "action", "headline",
+        told("factors", lambda f: f["code"], ",").alias("factors"), told("factors", lambda f: f["detail"], " | ").alias("details"), told("factors", lambda f: F.format_string("%.4f", F.round(f["contribution"], 4)), ",").alias("shares"),
+        told("layer_summary", lambda x: F.concat_ws(":", x["layer"], x["status"], F.format_string("%.4f", x["weight_share"])), ",").alias("summary"), told("counter_factors", lambda f: f["code"], ",").alias("against"), F.array_join("caveats", " | ").alias("caveats"),
+    )
 
 
 CALLS = "calls AS (SELECT conv_id, sum(n_chars) AS n_samples FROM (SELECT conv_id, length(text) * 97 AS n_chars FROM conversations) GROUP BY conv_id)"
@@ -596,11 +609,12 @@ def caveat_counts(spark, d):
     return _fused(spark, d).select("session_id", "window_index", F.size(c).alias("caveats"), F.array_join(c, " | ").alias("texts"))
 
 
-@query(f"WITH {RULE_ROWS}, b AS (SELECT window_id, max_by(feature, contribution) AS f, count(*) FILTER (contribution > 0.01) AS n FROM ev WHERE layer = 'acoustic' GROUP BY window_id) SELECT window_id, CAST(least(n, 4) AS INTEGER) AS shown FROM b")
+@query(f"""WITH {RULE_ROWS}, r AS (SELECT window_id, feature AS code, contribution, row_number() OVER (PARTITION BY window_id ORDER BY contribution DESC, feature) AS n, count(*) OVER (PARTITION BY window_id) AS judged FROM ev)
+  SELECT window_id, any_value(judged) AS judged, coalesce(string_agg(code, ',' ORDER BY n) FILTER (contribution > 0.01 AND n <= 4), '') AS shown FROM r GROUP BY window_id""")
 def explained_windows(spark, d):
-    ev = S.rule_evidence(Q.features(spark, d), dims.rules(spark), ["window_id"]).filter("layer = 'acoustic'")
-    rows = ev.groupBy("window_id").agg(F.collect_list(F.struct(F.col("feature").alias("code"), "label", "contribution")).alias("factors"))
-    return rows.select("window_id", F.size(S.explanation_factors(F.col("factors"))).alias("shown"))
+    ev = S.rule_evidence(Q.features(spark, d), dims.rules(spark), ["window_id"])
+    rows = ev.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct(F.col("feature").alias("code"), "label", "contribution"))).alias("factors"))
+    return rows.select("window_id", F.size("factors").cast("long").alias("judged"), F.array_join(F.transform(S.explanation_factors(F.col("factors")), lambda f: f["code"]), ",").alias("shown"))
 
 
 def _signals(spark, d, run: int = 80) -> DataFrame:
