@@ -108,10 +108,11 @@ def report(session: str, call: Call, closed_at: int | None, registry: Registry,
 
 
 class Judge:
-    """The steps of the fold. ``registry`` and ``policy`` are the same for all calls."""
+    """The steps of the fold. ``registry`` and ``policy`` are the same for all calls; with
+    ``features`` a window's payload holds its features and the digest of its samples as well."""
 
-    def __init__(self, registry: Registry | None = None, policy: Policy | None = None):
-        self.registry, self.policy = registry or Registry(), policy or Policy()
+    def __init__(self, registry: Registry | None = None, policy: Policy | None = None, features: bool = False):
+        self.registry, self.policy, self.features = registry or Registry(), policy or Policy(), features
         self.weights = self.registry.fusion()
         self.priors = {r[0]: r[1:5] for r in dims.LANGUAGES}
 
@@ -122,14 +123,18 @@ class Judge:
         call.enrolled = enrolled or call.enrolled
 
     def audio(self, session: str, call: Call, held: np.ndarray, vectors: list, alerted: Alerted, content: bytes, at: int, end: bool = False) -> tuple[list[tuple], np.ndarray]:
-        """(rows, samples that fill no window yet) after one more chunk and, at the ``end``, the
-        last short window."""
-        c = Chunker(held, call.consumed, call.index, call.total)
-        found = list(c.push(np.frombuffer(content[:len(content) // 2 * 2], "<i2") / np.float32(32768))) if content else []
+        """``heard`` of a chunk of PCM16."""
         if content:
             call.bytes += len(content)
             if len(call.hashes) < HASHES:
                 call.hashes.append(hashlib.sha256(content).hexdigest())
+        return self.heard(session, call, held, vectors, alerted, np.frombuffer(content[:len(content) // 2 * 2], "<i2") / np.float32(32768), at, end)
+
+    def heard(self, session: str, call: Call, held: np.ndarray, vectors: list, alerted: Alerted, samples: np.ndarray, at: int, end: bool = False) -> tuple[list[tuple], np.ndarray]:
+        """(rows, samples that fill no window yet) after these samples and, at the ``end``, the
+        last short window."""
+        c = Chunker(held, call.consumed, call.index, call.total)
+        found = list(c.push(samples)) if len(samples) else []
         if end:
             found += c.flush()
         call.consumed, call.index, call.total = c.consumed, c.index, c.total
@@ -170,7 +175,8 @@ class Judge:
             vectors.append(embedding[0].tolist())
             del vectors[:-dims.HISTORY]
         row = (session, "window", index, start, end, own, call.value, told["band"], provisional, call.peak, told["confidence"], speech, at, None)
-        yield (*row, json.dumps(told))
+        more = {"features": {k: round(v, 6) for k, v in values[0].items()}, "audio_sha256": hashlib.sha256(np.asarray(x, "<f4").tobytes()).hexdigest()} if self.features else {}
+        yield (*row, json.dumps(told | more))
         rank = dims.BANDS.index(told["band"])
         if not provisional and rank >= 2 and rank > alerted.top and (alerted.last is None or at - alerted.last >= dims.COOLDOWN_SECONDS * 1_000_000):
             alerted.top, alerted.last, call.alerts = rank, at, call.alerts + 1
