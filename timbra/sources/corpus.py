@@ -95,16 +95,13 @@ def corpus_features(rows: DataFrame, max_windows: int = 8, min_seconds: float =
     window_index, ``features``, ``embedding`` and ``vector`` in the order of ``feature_names``.
 
     Recordings that cannot be read or are shorter than ``min_seconds`` give no rows, windows
-    without speech neither. Recordings are read where they lie and never moved.
+    without speech neither. Recordings are read where they lie, windows by seek: no path passes
+    the driver, no content is moved and no more than a few windows are in memory.
     """
     from ..operators.features import extract, feature_names, vector
-    from ..operators.windows import windowed
-    from .audio import samples
+    from .recorded import windows
 
-    spark = rows.sparkSession
-    files = spark.read.format("binaryFile").load([r[0] for r in rows.select("path").distinct().collect()]).select("path", "content")
-    heard = rows.join(files, "path").withColumn("samples", samples(F.col("content"))).drop("content").filter(F.size("samples") >= int(min_seconds * dims.SAMPLE_RATE))
-    w = windowed(heard).filter(F.col("window_index") < max_windows)
+    w = windows(rows, max_windows, min_seconds)
     language = "language" if "language" in rows.columns else None
     out = extract(w, [*rows.columns, "window_index"], language=language)
     return out.filter(F.col("features")["speech_ratio"] > 0).withColumn("vector", vector(F.col("features"), feature_names()))
