@@ -228,6 +228,27 @@ def test_live_deleted_call_leaves_nothing(spark, tmp_path):
     assert sorted(got[got.kind == "late"].seq) == [rows[5][1], rows[6][1]]
 
 
+def test_calls_beyond_the_limit_are_refused(spark, tmp_path):
+    """The 501st open call is refused and reported; one that stops makes room; audio of a refused
+    call is never judged."""
+    at = 1_700_000_000_000_000
+    starts = [(f"s{k:03d}", 0, at + k, None, "start", None) for k in range(501)]
+    refused_audio = [("s500", 1, at + 600, CALLS["d"][0][:100].tobytes(), None, None)]
+    stop = [("s007", 1, at + 700, None, "stop", None)]
+    more = [("late", 0, at + 800, None, "start", None), ("again", 0, at + 801, None, "start", None), ("s001", 1, at + 802, None, None, None)]
+    got = streamed(spark, tmp_path, [starts, refused_audio + stop, more], limit=500)
+    assert sorted(got[got.kind == "refused"].session_id) == ["again", "s500"]
+    assert got[got.kind == "closed"].session_id.tolist() == ["s007"]
+    assert got[got.kind == "late"].session_id.tolist() == ["s500"] and not (got.kind == "window").any()
+
+
+def test_a_gate_keeps_count_by_time(spark, tmp_path):
+    at = 1_700_000_000_000_000
+    rows = [("a", 0, at, None, "start", None), ("b", 0, at + 3, None, "start", None), ("a", 1, at + 2, None, "stop", None), ("c", 0, at + 4, None, "start", None), ("b", 1, at + 9, None, "delete", None), ("d", 0, at + 10, None, "start", None)]
+    got = streamed(spark, tmp_path, [rows], limit=1)
+    assert sorted(got[got.kind == "refused"].session_id) == ["c"] and got[got.kind == "closed"].session_id.tolist() == ["a"]
+
+
 # Layers ------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,9 @@ the chunks. The last two carry a time to live, and so does the mark that a call
 Rows may come in any order. One waits until all before it are there, or until the call's own
 watermark, its newest time less ``delay``, has passed it; then what is missing counts as lost. A
 row that comes after its turn is not judged: it goes out as ``late`` and is counted.
+
+With a limit on open calls, the starts and stops (no audio) pass a gate first, which marks the
+starts that find no room; such a call goes out as one ``refused`` row and is never judged.
 """
 
 from __future__ import annotations
@@ -16,16 +19,61 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import dims
-from ..operators.call import OUT, Alerted, Call, Judge, enrolment, frame, with_enrolments
+from ..operators.call import OUT, ROWS, Alerted, Call, Judge, enrolment, frame, with_enrolments
 from ..operators.layers import Policy, Registry
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WAITING = "seq long, at long, content binary, control string, facts string, centroid array<double>, samples long, spread double"
 
 
+class Gate(StatefulProcessor):
+    """Starts, stops and deletes of all calls of a gate, in order of time: a start beyond
+    ``capacity`` open calls becomes "refused". A call that never stops is forgotten after
+    ``longest`` seconds. The state holds at most ``capacity`` names."""
+
+    def __init__(self, capacity: int, longest: float):
+        self.capacity, self.longest = capacity, longest
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getMapState("open", "session_id string", "at long", ttlDurationMs=int(self.longest * 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            pdf = pdf.sort_values(["at", "session_id", "seq"], kind="stable").reset_index(drop=True)
+            told = []
+            here = {k[0] for k in self.open.keys()}
+            for session, at, control in zip(pdf["session_id"], pdf["at"], pdf["control"], strict=True):
+                if control != "start":
+                    if session in here:
+                        here.discard(session)
+                        self.open.removeKey((session,))
+                elif session not in here:
+                    if len(here) >= self.capacity:
+                        control = "refused"
+                    else:
+                        here.add(session)
+                        self.open.updateValue((session,), (int(at),))
+                told.append(control)
+            yield pdf.assign(control=told)[[x.split()[0] for x in ROWS.split(", ")]]
+
+    def close(self) -> None:
+        pass
+
+
+def gated(rows: DataFrame, limit: int, gates: int = 1, longest: float = 4 * 3600.0) -> DataFrame:
+    """Streaming ROWS with the starts beyond ``limit`` open calls marked "refused". With one gate
+    the limit is exact; with more, calls are dealt to them by session, each with its share of the
+    limit rounded down, so that together they never open more. Only control rows pass a gate."""
+    control = rows.filter("control in ('start', 'stop', 'delete')")
+    other = rows.filter("control is null or control not in ('start', 'stop', 'delete')")
+    dealt = control.withColumn("gate", F.pmod(F.xxhash64("session_id"), F.lit(gates)).cast("int"))
+    return dealt.groupBy("gate").transformWithStateInPandas(Gate(max(1, limit // gates), longest), ROWS, "Append", "ProcessingTime").unionByName(other)
+
+
 class OneCall(StatefulProcessor):
     """``delay``: seconds that a row may be older than the newest of its call. ``raw_ttl``: seconds
     that raw audio is kept (0: never). ``alert_ttl``: seconds that an alert silences others, and
@@ -110,9 +158,14 @@ class OneCall(StatefulProcessor):
             self._clear()
             self.ended.update((max(int(r.seq) for r in new),))
             return
+        if refused := [r for r in new if r.control == "refused"]:
+            self._clear()
+            self.ended.update((int(refused[0].seq),))
+            yield frame([(session, "refused", *[None] * 10, int(refused[0].at), int(refused[0].seq), refused[0].facts)])
+            return
         again = any(r.control == "start" for r in new)
         if self.ended.exists() and not self.facts.exists() and not again:
-            call = Call()
+            call = Call()  # nothing of it is kept
             yield frame([self.judge.late(session, call, int(r.seq), int(r.at)) for r in new])
             return
         self.ended.clear()
@@ -165,9 +218,10 @@ class _Row:
         return (getattr(self, n) for n in self.__slots__)
 
 
-def live_calls(events: DataFrame, registry: Registry | None = None, policy: Policy | None = None, enrolments: DataFrame | None = None, delay: float = 30.0, idle: float = dims.IDLE_SECONDS, raw_ttl: float = 0.0, alert_ttl: float = 3600.0) -> DataFrame:
+def live_calls(events: DataFrame, registry: Registry | None = None, policy: Policy | None = None, enrolments: DataFrame | None = None, delay: float = 30.0, idle: float = dims.IDLE_SECONDS, raw_ttl: float = 0.0, alert_ttl: float = 3600.0, limit: int | None = None, gates: int = 1) -> DataFrame:
     """Streaming rows of calls (session_id, seq, ts, content, control, facts) to ``call.OUT``:
     judged windows, alerts, late rows and one report a call. ``seq`` counts a call's rows from 0.
+    With a ``limit`` a call that starts while so many are open is refused (see ``gated``).
 
     Enrolments (identity, centroid, samples, spread) are a static side. The session must use the
     RocksDB state store (``STORE``). The state of a call is bounded: thirty seconds of samples,
@@ -177,4 +231,6 @@ def live_calls(events: DataFrame, registry: Registry | None = None, policy: Poli
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != STORE:
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {STORE}")
     rows = with_enrolments(events, enrolments).filter("session_id is not null and seq is not null")
+    if limit is not None:
+        rows = gated(rows, limit, gates)
     return rows.groupBy("session_id").transformWithStateInPandas(OneCall(Judge(registry, policy), delay, idle, raw_ttl, alert_ttl), OUT, "Append", "ProcessingTime")
