@@ -333,3 +333,111 @@ def test_a_recording_in_an_answer_out(spark):
     assert a.headline.startswith(f"Risk {a.score:.0f}/100") and a.factors and a.n_alerts >= 1
     short = {r.session_id: r for r in C.answers(rows_, trail=3).collect()}["a"]
     assert [t.t for t in short.timeline] == [t.t for t in a.timeline][-3:] and short.score == a.score
+
+
+# What callers see ----------------------------------------------------------------------------
+
+
+def test_flags_views_and_weights(spark, stored):
+    from timbra.operators import reports as R
+
+    rows = spark.createDataFrame(stored.astype(object).where(stored.notna(), None), C.OUT)
+    flags = {r.session_id: r for r in R.result_flags(C.answers(rows)).collect()}
+    assert flags["a"].is_high_risk and flags["a"].is_synthetic == (flags["a"].peak_score >= 60) and flags["a"].top_factor.code == flags["a"].factors[0].code
+    assert flags["c"].inconclusive and not flags["c"].is_high_risk and flags["c"].top_factor is None and flags["c"].explained.splitlines()[0] == "No speech detected in this recording."
+    text = flags["a"].explained.splitlines()
+    assert text[0] == flags["a"].headline and text[1].startswith("  - ") and text[-1] == f"  -> {flags['a'].action}" and sum(x.startswith("  ! ") for x in text) == len(flags["a"].caveats)
+    views = {r.session_id: r for r in R.session_views(rows.filter("not (session_id = 'a' and kind = 'closed')")).collect()}
+    last = stored[(stored.session_id == "a") & (stored.kind == "window")].sort_values("window_index").iloc[-1]
+    assert views["a"].open and views["a"].score == round(last.score, 1) and views["a"].band == last.band and views["a"].profile is None
+    assert not views["b"].open and views["b"].profile == "no such" and views["b"].score == flags["b"].score and views["b"].windows_analyzed == flags["b"].windows_analyzed
+    table = {r.layer: (r.weight, r.a, r.b) for r in R.fusion_table(spark, L.Registry().weights({"context": 0.2}), (0.5, -0.1)).collect()}
+    assert table["context"] == (0.2, 0.5, -0.1) and list(table) == list(dims.LAYERS)
+    decisions = spark.createDataFrame([("allow",), ("block",), ("step_up",), ("not_found",)], "decision string")
+    assert [(r.allowed, r.blocked, r.needs_step_up) for r in R.approval_flags(decisions).collect()] == [(True, False, False), (False, True, False), (False, False, True), (False, False, False)]
+
+
+def test_channels_fail_for_themselves(spark, stored):
+    import http.server
+    import threading
+
+    from timbra.streaming.delivery import Channels, Webhook, delivered
+
+    heard = []
+
+    class Hook(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            heard.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(500 if self.path == "/bad" else 204)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Hook)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+
+    def broken(payload):
+        raise RuntimeError("no line")
+
+    try:
+        channels = Channels(webhook=Webhook(f"{url}/ok"), siem=Webhook(f"{url}/bad"), off=Webhook("")).register("sms", broken)
+        own = stored[stored.kind == "alert"]
+        alerts = spark.createDataFrame(own.astype(object).where(own.notna(), None), C.OUT).withColumn("wanted", F.array(*map(F.lit, ["webhook", "sms", "siem", "off", "nobody"])))
+        got = {(r.session_id, r.channel): (r.delivered, r.status, r.reason) for r in delivered(alerts, channels, "wanted").collect()}
+        one = alerts.first().session_id
+        assert got[one, "webhook"] == (True, 204, None) and got[one, "sms"] == (False, None, "no line") and got[one, "siem"] == (False, 500, None) and got[one, "off"] == (False, None, "no webhook URL configured")
+        assert len(heard) >= 2 and heard[0]["band"] in ("HIGH", "CRITICAL") and (one, "console") not in got
+        assert {r.channel for r in delivered(alerts.withColumn("wanted", F.lit(None).cast("array<string>")), channels, "wanted").collect()} == {"console"}
+    finally:
+        server.shutdown()
+
+
+def test_speakers_from_audio(spark):
+    from timbra.operators import speaker as K
+
+    none = spark.createDataFrame([], "identity string, vector array<double>")
+    rows = spark.createDataFrame([("ann", voice(140, 1.5).tolist()), ("ann", voice(141, 1.5, 1).tolist()), ("bob", voice(230, 1.5).tolist()), ("mute", [0.0] * 100)], "identity string, samples array<double>")
+    kept = K.enrol_audio(none, rows)
+    assert {r.identity: r.samples for r in K.identities(kept).collect()} == {"ann": 2, "bob": 1}
+    assert K.identities(K.forget(kept, "ann")).count() == 1 and K.forget(kept).count() == 0
+
+
+def test_small_expressions(spark, tmp_path):
+    """Exports that nothing else names."""
+    from timbra.functions import exprs as X
+    from timbra.functions import text as T
+    from timbra.operators import privacy as P
+    from timbra.operators import reports as R
+    from timbra.operators import scoring as S
+    from timbra.sources import corpus
+    from timbra.streaming import calls
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    p, h = 0.8, 0.3
+    z = lambda v: math.log(v / (1 - v))
+    assert one(S.blended(F.lit(p), F.lit(h))) == pytest.approx(1 / (1 + math.exp(-(0.75 * z(p) + 0.25 * z(h)))))
+    told = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0)], "session_id long, window_index long").withColumn("score", F.col("window_index") * 10.0).withColumn("band", F.lit("LOW"))
+    trail = {r.session_id: [t.window_index for t in r.trail] if r.trail else None for r in R.report_with_trail(spark.createDataFrame([(1,), (3,)], "session_id long"), told, limit=2).collect()}
+    assert trail == {1: [1, 2], 3: None}
+    factors = F.array(*[F.struct(F.lit(f"L{k}").alias("label"), (F.lit(f"d{k}") if k else F.lit(None).cast("string")).alias("detail")) for k in range(7)])
+    body = one(T.email_body(F.lit("Head"), F.lit(64.5), F.lit("HIGH"), F.lit("Call back."), factors)).split("\n")
+    assert body[0] == "Head" and "Risk score: 64/100 (HIGH)" in body and body[-5:] == ["  - L0: "] + [f"  - L{k}: d{k}" for k in range(1, 5)]
+    assert one(T.alert_text(F.lit("HIGH"), F.lit("c"), F.lit(65.5), F.array(F.lit("x"), F.lit("y"), F.lit("z")), F.lit("Act."))) == "[HIGH] Call c: risk 66/100. x; y. Act."
+    assert one(T.extra_numbers(F.lit('{"a": 1.5, "b": "x", "known": 3, "c": -2}'), ["known"])) == {"a": 1.5, "c": -2.0}
+    assert [one(T.consented(F.lit(v))) for v in ("Recorded", "no", "none-required")] == [True, False, True]
+    assert one(R.channels_for(F.array(F.lit("sms"), F.lit("fax")), ["sms"])) == ["sms"] and one(R.channels_for(F.array(F.lit("fax")), ["sms"])) == ["console"] == one(R.channels_for(F.lit(None).cast("array<string>"), ["sms"]))
+    out = calls.deliveries(spark.createDataFrame([(1, ["console", "sms"])], "id int, alert_channels array<string>")).collect()
+    assert {(r.channel, r.delivered) for r in out} == {("console", True), ("sms", False)}
+    stored_ = P.stored_sessions(spark.createDataFrame([({"caller_number": "98765", "origin": "voip"},)], "call_context map<string,string>"), "salt").first().call_context
+    assert json.loads(stored_)["origin"] == "voip" and json.loads(stored_)["caller_number"].startswith("h:")
+    files = spark.createDataFrame([("a", "real", 1), ("b", "fake", 2)], "path string, label string, mtime long")
+    key = corpus.cache_key(files, "v1").first().key
+    assert key == corpus.cache_key(files.orderBy("path", ascending=False), "v1").first().key and key != corpus.cache_key(files.withColumn("mtime", F.col("mtime") + 1), "v1").first().key and key != corpus.cache_key(files, "v2").first().key
+    frames = lambda *xs: F.array(*[F.array(*map(F.lit, x)) for x in xs])
+    assert one(X.float_mono(frames((0.5, 1.5), (3.0, 1.0), (0.0, -1.0)))) == [0.5, 1.0, -0.25] and one(X.float_mono(frames((100, 300), (0, -400)), 1000.0)) == [0.2, -0.2]
+    spark.createDataFrame([(1, 0, 100.0), (1, 0, 100.0), (1, 1, 101.0)], "session_id long, window_index long, s double").withColumn("ts", F.timestamp_seconds("s")).drop("s").write.parquet(str(tmp_path / "w"))
+    live = spark.readStream.schema("session_id long, window_index long, ts timestamp").parquet(str(tmp_path / "w"))
+    calls.write_once(calls.late_dropped(live), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 2

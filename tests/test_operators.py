@@ -626,6 +626,8 @@ def test_full_stack_and_summary(spark):
     assert got["auc"] == 1.0 and got["accuracy"] == 1.0 and got["tp"] == 10 and got["eer"] == 0
     fitted = spark.createDataFrame([("a", "refitted"), ("c", "pruned"), ("b", "pruned"), ("d", "kept defaults (too few samples)")], "feature string, action string")
     assert G.fit_summary(fitted) == "refitted: 1   pruned: 2   defaults kept: 1\npruned rules: b, c"
+    told = fitted.withColumn("auc", F.when(F.col("feature") != "d", F.lit(0.5) + F.ascii("feature") / 1000))
+    assert G.fit_summary(told).splitlines()[2:] == ["most discriminative rules:", f"  {'c':28s} AUC 0.599", f"  {'b':28s} AUC 0.598", f"  {'a':28s} AUC 0.597"]
 
 
 def test_enrolments_speech_and_context(spark):

@@ -92,8 +92,10 @@ def full_stack(windows: DataFrame, call: str = "session_id", order: str = "windo
 
 
 def fit_summary(fitted: DataFrame) -> str:
-    """Of ``fitted_rules``: how many rules were refitted, pruned and kept, and which were pruned."""
+    """Of ``fitted_rules``: how many rules were refitted, pruned and kept, which were pruned, and
+    the five that tell the classes apart best."""
     names = F.collect_list(F.when(F.startswith("action", F.lit("pruned")), F.col("feature")))
     n = lambda start: F.count_if(F.startswith("action", F.lit(start)))
-    r = fitted.agg(n("refitted"), n("pruned"), n("kept"), F.array_sort(names)).first()
-    return f"refitted: {r[0]}   pruned: {r[1]}   defaults kept: {r[2]}" + (f"\npruned rules: {', '.join(r[3])}" if r[3] else "")
+    r = fitted.agg(n("refitted"), n("pruned"), n("kept"), F.array_sort(names), *([F.slice(F.array_sort(F.collect_list(F.when(F.col("auc").isNotNull(), F.struct((-F.col("auc")).alias("k"), "feature")))), 1, 5)] if "auc" in fitted.columns else [])).first()
+    best = "".join(f"\n  {x.feature:28s} AUC {-x.k:.3f}" for x in (r[4] if len(r) > 4 else []))
+    return f"refitted: {r[0]}   pruned: {r[1]}   defaults kept: {r[2]}" + (f"\npruned rules: {', '.join(r[3])}" if r[3] else "") + (f"\nmost discriminative rules:{best}" if best else "")

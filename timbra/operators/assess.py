@@ -36,7 +36,7 @@ def assessed(rows: DataFrame, profiles: DataFrame, score_override: str | None =
     facts = [has(c, null(kinds[c])) for c in CONTEXT]
     out = rows.withColumn("__fusion", S.fuse(F.col("layers"), calibration, weights)).withColumn("__shift", threshold_shift(*facts))
     limits = profiles.select(F.col("profile").alias("__profile"), "elevated", "high", "critical")
-    out = out.withColumn("__profile", has("profile", F.lit("default"))).join(F.broadcast(limits), "__profile", "left")
+    out = out.withColumn("__profile", has("profile", F.lit("default"))).join(limits, "__profile", "left")
     default = next(p for p in dims.PROFILES if p[0] == "default")
     e, h, c = (lowered(F.coalesce(n, F.lit(v)), F.col("__shift")) for n, v in zip(("elevated", "high", "critical"), default[1:4], strict=True))
     own = S.score_100(F.col("__fusion.probability"))

@@ -105,7 +105,7 @@ def fitted_rules(values: DataFrame, rules: DataFrame, low_tail: float = 0.25, hi
     keep = few | flat
     action = F.when(few, "kept defaults (too few samples)").when(flat, "kept defaults (no spread in genuine speech)").when(own < min_auc, "pruned").otherwise("refitted")
     weight = F.when(keep, F.col("weight")).when(own < min_auc, 0.0).otherwise(F.col("weight") * F.least(F.greatest(0.6 + 1.6 * (own - 0.5), F.lit(0.6)), F.lit(1.6)))
-    return r.select("feature", action.alias("action"), F.when(keep, F.col("low")).otherwise(low).alias("fitted_low"), F.when(keep, F.col("high")).otherwise(high).alias("fitted_high"), weight.alias("fitted_weight"), F.coalesce("samples", F.lit(0)).alias("samples"))
+    return r.select("feature", action.alias("action"), F.when(keep, F.col("low")).otherwise(low).alias("fitted_low"), F.when(keep, F.col("high")).otherwise(high).alias("fitted_high"), weight.alias("fitted_weight"), F.coalesce("samples", F.lit(0)).alias("samples"), F.when(~keep, own).alias("auc"))
 
 
 def platt(rows: DataFrame, steps: int = 200, rate: float = 0.15, clip: float = 1e-6, bins: int = 4096) -> tuple[float, float]:

@@ -78,7 +78,7 @@ def approvals(requests: DataFrame, sessions: DataFrame, profiles: DataFrame, ses
     that are not known get ``not_found``. Thresholds are the profile's own."""
     known = sessions.select(session, F.coalesce("score", F.lit(0.0)).alias("risk_score"), F.coalesce("windows_analyzed", F.lit(0)).alias("windows_analyzed"), F.coalesce("audio_seconds", F.lit(0.0)).alias("audio_seconds"), F.lit(True).alias("known"))
     default = next(p for p in dims.PROFILES if p[0] == "default")
-    r = requests.join(known, session, "left").join(F.broadcast(profiles.select("profile", "elevated", "high", "critical")), "profile", "left")
+    r = requests.join(known, session, "left").join(profiles.select("profile", "elevated", "high", "critical"), "profile", "left")
     e, h, c = (F.coalesce(n, F.lit(v)) for n, v in zip(("elevated", "high", "critical"), default[1:4], strict=True))
     s, big = F.col("risk_score"), F.col("amount") >= dims.STEP_UP_AMOUNT
     thin = (F.col("windows_analyzed") < 3) | (F.col("audio_seconds") < 3)
@@ -117,3 +117,46 @@ def report_with_trail(sessions: DataFrame, assessments: DataFrame, session: str
     last = assessments.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= limit)
     own = last.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("window_index", "score", "band"))).alias("trail"))
     return sessions.join(own, session, "left")
+
+
+# What callers see -----------------------------------------------------------------------------
+
+HIGH_RISK = ("HIGH", "CRITICAL")
+
+
+def result_flags(answers: DataFrame) -> DataFrame:
+    """Answers (``call.answers``) with what a caller asks of them: is_high_risk, is_synthetic (by
+    the call's verdict), inconclusive ("could not tell" is not "genuine"), top_factor, explained."""
+    lines = lambda xs, f: F.transform(xs, f)
+    head = F.coalesce(F.nullif("headline", F.lit("")), F.concat(F.lit("Risk "), F.format_string("%.0f", F.bround("score", 0)), F.lit("/100 ("), "band", F.lit(")")))
+    text = F.concat(F.array(head), lines(F.slice("factors", 1, 4), lambda f: F.concat(F.lit("  - "), f["label"], F.lit(": "), F.coalesce(f["detail"], F.lit("")))), lines("caveats", lambda c: F.concat(F.lit("  ! "), c)), F.when(F.coalesce("action", F.lit("")) != "", F.array(F.concat(F.lit("  -> "), "action"))).otherwise(F.array().cast("array<string>")))
+    return answers.select(
+        "*", F.col("band").isin(*HIGH_RISK).alias("is_high_risk"), F.col("verdict").isin("likely_synthetic", "suspicious").alias("is_synthetic"),
+        F.col("verdict").isin("insufficient_audio", "inconclusive").alias("inconclusive"), F.get("factors", F.lit(0)).alias("top_factor"), F.array_join(text, "\n").alias("explained"),
+    )
+
+
+def approval_flags(approvals_: DataFrame) -> DataFrame:
+    """Decisions of ``approvals`` with allowed, blocked and needs_step_up."""
+    is_ = lambda d: F.col("decision") == d
+    return approvals_.select("*", is_("allow").alias("allowed"), is_("block").alias("blocked"), is_("step_up").alias("needs_step_up"))
+
+
+def session_views(rows: DataFrame) -> DataFrame:
+    """How each call stands, from the rows of ``call.OUT`` seen so far: open, last_activity, score,
+    band, peak_score and its counts; a report, once it is there, decides."""
+    kind = lambda k: F.col("kind") == k
+    last = F.max_by(F.when(kind("window"), F.struct("score", "band", "peak")), F.when(kind("window"), F.col("window_index")))
+    report = F.from_json(F.max(F.when(kind("closed"), F.col("payload"))), "struct<profile:string,language:string,identity:string,final_score:double,peak_score:double,band:string,stats:struct<windows_analyzed:long,windows_skipped:long,alerts_raised:long,late_rows:long>>")
+    g = rows.groupBy("session_id").agg(last.alias("w"), report.alias("r"), F.max("at").alias("at"), F.count_if(kind("window")).alias("windows"), F.count_if(kind("alert")).alias("alerts"), F.count_if(kind("refused")).alias("refused"))
+    return g.select(
+        "session_id", (F.col("r").isNull() & (F.col("refused") == 0)).alias("open"), (F.col("at") / 1e6).alias("last_activity"), "r.profile", "r.language", "r.identity",
+        F.round(F.coalesce("r.final_score", "w.score", F.lit(0.0)), 1).alias("score"), F.coalesce("r.band", "w.band", F.lit("LOW")).alias("band"), F.round(F.coalesce("r.peak_score", "w.peak", F.lit(0.0)), 1).alias("peak_score"),
+        F.coalesce("r.stats.windows_analyzed", "windows").alias("windows_analyzed"), F.coalesce("r.stats.alerts_raised", "alerts").alias("alerts_raised"),
+    )
+
+
+def fusion_table(spark, registry, calibration: tuple[float, float] = (1.0, 0.0)) -> DataFrame:
+    """The layers that vote, their weights and the calibration of what they give."""
+    rows = [(k, name, float(w), *map(float, calibration)) for k, (name, w) in enumerate(registry.fusion().items())]
+    return spark.createDataFrame(rows, "position int, layer string, weight double, a double, b double")

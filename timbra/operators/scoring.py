@@ -187,7 +187,7 @@ def trail(rows: DataFrame, session: str, order: str) -> DataFrame:
 
 def banded(rows: DataFrame, profiles: DataFrame, score: str = "smoothed") -> DataFrame:
     """Add the profile's band; unknown profiles count as the default one."""
-    known = F.broadcast(profiles.select("profile", "elevated", "high", "critical"))
+    known = profiles.select("profile", "elevated", "high", "critical")
     default = next(p for p in dims.PROFILES if p[0] == "default")
     out = rows.join(known, "profile", "left")
     e, h, c = (F.coalesce(n, F.lit(v)) for n, v in zip(("elevated", "high", "critical"), default[1:4], strict=True))

@@ -26,8 +26,23 @@ def loaded(rows: DataFrame) -> DataFrame:
     return out.filter(F.col("vector").isNotNull() & F.exists("vector", lambda v: v != 0))
 
 
-def forget(vectors: DataFrame, identity: str) -> DataFrame:
-    return vectors.filter(F.col("identity") != identity)
+def forget(vectors: DataFrame, identity: str | None = None) -> DataFrame:
+    """Without one identity, or without any."""
+    return vectors.filter(F.col("identity") != identity) if identity is not None else vectors.filter(F.lit(False))
+
+
+def identities(vectors: DataFrame) -> DataFrame:
+    """Who is enrolled, with how many vectors."""
+    return vectors.groupBy("identity").agg(F.count("*").alias("samples"))
+
+
+def enrol_audio(vectors: DataFrame, recordings: DataFrame, samples: str = "samples") -> DataFrame:
+    """Append the embedding of each recording (identity, samples at 16 kHz); those too short or
+    silent give none."""
+    from .features import extract
+
+    new = extract(recordings, ["identity"], samples).select("identity", F.col("embedding").alias("vector"))
+    return enrol(vectors, new.select(*[F.col(c) if c in new.columns else F.lit(None).alias(c) for c in vectors.columns]))
 
 
 def centroids(vectors: DataFrame) -> DataFrame:

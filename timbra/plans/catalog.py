@@ -62,7 +62,7 @@ def context_shift(spark, d):
 def effective_thresholds(spark, d):
     r = Q.requests(spark, d)
     s = X.threshold_shift(F.col("amount"), F.col("prior_fraud_reports"), F.col("known_contact"), F.col("caller_id_verified"), F.col("local_hour"))
-    j = r.withColumn("shift", s).join(F.broadcast(dims.profiles(spark)), "profile")
+    j = r.withColumn("shift", s).join(dims.profiles(spark), "profile")
     return j.select("request_id", "profile", *[r6(X.lowered(F.col(t), F.col("shift")), t) for t in ("elevated", "high", "critical")])
 
 
@@ -455,11 +455,11 @@ def leakage_flags(spark, d):
   j AS (SELECT r.feature, low, high, weight, samples, CASE WHEN high > low THEN q[3] ELSE q[1] END AS lo, CASE WHEN high > low THEN q[4] ELSE q[2] END AS hi, CASE WHEN high > low THEN auc ELSE 1 - auc END AS o FROM rules r LEFT JOIN q USING (feature) LEFT JOIN a USING (feature))
   SELECT feature, CASE WHEN samples IS NULL OR samples < 40 THEN 'kept defaults (too few samples)' WHEN abs(hi - lo) < 1e-9 THEN 'kept defaults (no spread in genuine speech)' WHEN o < 0.55 THEN 'pruned' ELSE 'refitted' END AS action,
     round(CASE WHEN samples IS NULL OR samples < 40 OR abs(hi - lo) < 1e-9 THEN low ELSE lo END, 6) AS fitted_low, round(CASE WHEN samples IS NULL OR samples < 40 OR abs(hi - lo) < 1e-9 THEN high ELSE hi END, 6) AS fitted_high,
-    round(CASE WHEN samples IS NULL OR samples < 40 OR abs(hi - lo) < 1e-9 THEN weight WHEN o < 0.55 THEN 0 ELSE weight * least(greatest(0.6 + 1.6 * (o - 0.5), 0.6), 1.6) END, 6) AS fitted_weight, coalesce(samples, 0) AS samples FROM j""")
+    round(CASE WHEN samples IS NULL OR samples < 40 OR abs(hi - lo) < 1e-9 THEN weight WHEN o < 0.55 THEN 0 ELSE weight * least(greatest(0.6 + 1.6 * (o - 0.5), 0.6), 1.6) END, 6) AS fitted_weight, coalesce(samples, 0) AS samples, round(CASE WHEN samples IS NULL OR samples < 40 OR abs(hi - lo) < 1e-9 THEN NULL ELSE o END, 6) AS auc FROM j""")
 def rule_anchors(spark, d):
     values = Q.features(spark, d).select("window_id", F.explode("features").alias("feature", "value")).withColumn("y", F.when(F.col("window_id") % 3 == 0, 1).otherwise(0))
     out = M.fitted_rules(values, dims.rules(spark))
-    return out.withColumns({c: F.round(c, 6) for c in ("fitted_low", "fitted_high", "fitted_weight")})
+    return out.withColumns({c: F.round(c, 6) for c in ("fitted_low", "fitted_high", "fitted_weight", "auc")})
 
 
 @query("WITH s AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS i, count(*) OVER () AS n FROM lineitem) SELECT round(median(v), 6) AS p50, round(max(v) FILTER (i = CAST(floor(n * 0.95::DOUBLE) AS BIGINT)), 6) AS p95, round(max(v) FILTER (i = CAST(floor(n * 0.99::DOUBLE) AS BIGINT)), 6) AS p99, round(avg(v), 4) AS mean, max(v) AS max FROM s")

@@ -10,19 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import dims
+from ..operators.scoring import smooth_step
 
 OUT = "session_id long, window_index long, score double, smoothed double, provisional boolean, peak double, band string, alert boolean, closed boolean"
+#: The fading share of a new score, scores remembered, the quantile that lifts.
+SMOOTHING = (0.35, 8, 0.8)
 STATE = "value double, history array<double>, seen long, peak double, top int, last double, profile string"
 
 
-def step(value: float | None, history: list[float], score: float, alpha: float = 0.35, memory: int = 8, quantile: float = 0.8) -> tuple[float, list[float]]:
-    """One more score of a call; the batch fold in Catalyst computes the same."""
-    history = [*history, score][-memory:]
-    value = score if value is None else alpha * score + (1 - alpha) * value
-    held = sorted(history)[int(quantile * (len(history) - 1))]
-    return (value + 0.5 * (held - value) if len(history) >= 3 and held > value else value), history
-
-
 def judge(profiles: dict[str, tuple[float, float, float]], profile: str = "default", cooldown: float = dims.COOLDOWN_SECONDS):
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         value, history, seen, peak, top, last, own = state.get if state.exists else (None, [], 0, 0.0, -1, None, profile)
@@ -37,7 +32,7 @@ def judge(profiles: dict[str, tuple[float, float, float]], profile: str = "defau
             own = named.iloc[0] if len(named) else own
             limits = profiles.get(own, profiles[profile])
             for index, score, ts in zip(whole["window_index"].tolist(), whole["score"].tolist(), whole["ts"], strict=True):
-                value, history = step(value, list(history), float(score))
+                value, history = smooth_step((value, list(history)) if seen else None, None if score is None or score != score else float(score), *SMOOTHING)
                 seen, peak = seen + 1, max(peak, value)
                 rank = sum(value >= t for t in limits)
                 at = ts.timestamp()
