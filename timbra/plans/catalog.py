@@ -228,6 +228,13 @@ def approval_gate(spark, d):
     return out.select("request_id", "decision", F.array_join("required_verification", ",").alias("verification"))
 
 
+@query(SQL["approval_gate"].replace("SELECT request_id, CASE WHEN missing", "SELECT request_id, decision, decision = 'allow' AS allowed, decision = 'block' AS blocked, decision = 'step_up' AS needs_step_up FROM (SELECT request_id, CASE WHEN missing", 1) + ")")
+def approval_results(spark, d):
+    """The gate's decisions as a caller asks for them."""
+    out = R.approval_flags(approval_gate(spark, d))
+    return out.select("request_id", "decision", "allowed", "blocked", "needs_step_up")
+
+
 CONTEXT_ROWS = SQL["context_layer"].split("\n  SELECT request_id, n AS signals")[0]
 
 
@@ -649,3 +656,43 @@ def trained_scores(spark, d):
     names = ["n_chars", "fraction", "width"]
     model, calibration, _ = L.train(rows, names, "logistic")
     return L.predict(model, L.aligned(rows, names)).select("doc_id", r6(M.calibrated(F.col("score"), *calibration), "score"))
+
+
+@query(f"""WITH RECURSIVE {JUDGED}, r AS (SELECT session_id, max_by(band, window_index) AS band, max_by(smoothed, window_index) AS score, max(smoothed) AS peak, (max(window_index) * 8000 + 16000) / 16000 AS seconds FROM j GROUP BY session_id),
+  vd AS (SELECT *, CASE WHEN seconds < 2 THEN 'insufficient_audio' WHEN peak >= 80 THEN 'likely_synthetic' WHEN peak >= 60 THEN 'suspicious' WHEN peak >= 35 THEN 'inconclusive' ELSE 'likely_genuine' END AS verdict FROM r)
+  SELECT session_id, verdict, band IN ('HIGH', 'CRITICAL') AS is_high_risk, verdict IN ('likely_synthetic', 'suspicious') AS is_synthetic, verdict IN ('insufficient_audio', 'inconclusive') AS inconclusive,
+    printf('Risk %.0f/100 (%s)', score, band) || chr(10) || '  -> ' || CASE band {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dims.ACTIONS.items())} END AS explained FROM vd""")
+def call_results(spark, d):
+    """What a caller asks of each call's report."""
+    report = R.session_report(_judged(spark, d))
+    none = F.array().cast("array<struct<label:string,detail:string>>")
+    out = R.result_flags(report.select("session_id", "verdict", "band", F.col("final_score").alias("score"), F.lit("").alias("headline"), X.lookup(F.col("band"), dims.ACTIONS, "").alias("action"), none.alias("factors"), F.array().cast("array<string>").alias("caveats")))
+    return out.select("session_id", "verdict", "is_high_risk", "is_synthetic", "inconclusive", "explained")
+
+
+@query(f"""WITH RECURSIVE {JUDGED}, g AS (SELECT session_id, max_by(smoothed, window_index) AS score, max_by(band, window_index) AS band, max(smoothed) AS peak, count(*) AS n FROM j GROUP BY session_id), t AS (SELECT user_id AS session_id, max(epoch_us(ts)) / 1000000 AS last, count(*) FILTER (event_type = 'error') AS alerts FROM events GROUP BY user_id)
+  SELECT session_id, session_id % 3 <> 0 AS open, round(last, 3) AS last_activity, CASE WHEN session_id % 3 = 0 THEN 'done' END AS profile, round(score, 1) AS score, band, round(peak, 1) AS peak_score, n AS windows_analyzed, CASE WHEN session_id % 3 = 0 THEN 7 ELSE alerts END AS alerts_raised FROM g JOIN t USING (session_id)""")
+def live_sessions(spark, d):
+    """How each call stands: two of three are still open, every error is an alert."""
+    order = ["session_id", "window_index"]
+    w = _judged(spark, d).join(Q.windows(spark, d).select(*order, "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")), order)
+    kinds = F.explode(F.array_compact(F.array(F.lit("window"), F.when(F.col("event_type") == "error", "alert")))).alias("kind")
+    peak = F.max("smoothed").over(W.Window.partitionBy("session_id").orderBy("window_index")).alias("peak")
+    rows = w.select("session_id", "window_index", F.col("smoothed").alias("score"), "band", peak, "at", "event_type", F.lit(None).cast("string").alias("payload")).select("*", kinds)
+    told = F.to_json(F.struct(F.lit("done").alias("profile"), F.col("x.score").alias("final_score"), F.col("peak").alias("peak_score"), F.col("x.band").alias("band"), F.struct(F.col("n").alias("windows_analyzed"), F.lit(7).alias("alerts_raised")).alias("stats")))
+    ends = rows.filter("kind = 'window' and session_id % 3 = 0").groupBy("session_id").agg(F.max_by(F.struct("score", "band"), "window_index").alias("x"), F.max("peak").alias("peak"), F.count("*").alias("n"), F.max("at").alias("at")).select("session_id", F.lit("closed").alias("kind"), told.alias("payload"), "at")
+    out = R.session_views(rows.unionByName(ends, allowMissingColumns=True))
+    return out.select("session_id", "open", F.round("last_activity", 3).alias("last_activity"), "profile", "score", "band", "peak_score", "windows_analyzed", "alerts_raised")
+
+
+@query()
+def recording_answers(spark, d):
+    """Runs of 500 vectors as recordings of two seconds, from bytes to an answer each."""
+    from ..operators import call as C
+
+    rows = _signals(spark, d, 500)
+    pcm = rows.select("window_id", F.transform("samples", lambda x: x.cast("float")).alias("samples"))
+    from ..sources.audio import to_pcm16
+
+    out = C.answers(C.recordings_judged(pcm.select(F.col("window_id").cast("string").alias("name"), to_pcm16(F.col("samples")).alias("content")), "name", "content"))
+    return out.select("session_id", "verdict", "score", "peak_score", "band", "duration_seconds", "windows_analyzed", F.size("timeline").alias("points"), "n_alerts")
