@@ -51,9 +51,15 @@ def smoothed(spark, scores):
     return [r["smoothed"] for r in S.smoothed(rows, "session_id", "window_index", "score").orderBy("window_index").collect()]
 
 
-def test_smoother(spark):
-    from timbra.streaming.calls import step
+def step(value, history, score, alpha=0.35, memory=8, quantile=0.8):
+    """One more score of a call, as it is told: faded, lifted halfway to what the last ones hold."""
+    history = [*history, score][-memory:]
+    value = score if value is None else alpha * score + (1 - alpha) * value
+    held = sorted(history)[int(quantile * (len(history) - 1))]
+    return (value + 0.5 * (held - value) if len(history) >= 3 and held > value else value), history
+
 
+def test_smoother(spark):
     spike, drop = smoothed(spark, [10] * 5 + [95])[-1], smoothed(spark, [85] * 5 + [20])[-1]
     assert 10 < spike < 60 and drop > 45
     rng = np.random.default_rng(0)
@@ -112,8 +118,6 @@ def test_alerts_escalate_and_cool_down(spark):
 
 def test_no_call_is_gathered(spark):
     """One long call among short ones: smoothing and alerts stream over it in linear time."""
-    from timbra.streaming.calls import step
-
     n = 60000
     rows = spark.range(n + 50).select(F.when(F.col("id") < n, 0).otherwise(F.col("id")).alias("session_id"), F.when(F.col("id") < n, F.col("id")).otherwise(0).alias("window_index"), (F.col("id") * 7919 % 1000 / 10).alias("score"))
     frame = S.smoothed(rows, "session_id", "window_index", "score")
