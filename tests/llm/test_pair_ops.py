@@ -262,15 +262,17 @@ def test_intervals_hold_and_prune():
     assert (near + slack < kth).mean() > 0.5  # more than half of the rows are never scored
 
 
-def test_vector_sql(spark, sf):
+@pytest.mark.parametrize("name", ["op7_line_dedup", "op8_top_k", "op10_suffix_dedup", "op11_minhash", "op12_vector_codes", "op13_hard_negatives"])
+def test_sql(spark, name):
     from timbra.llm.queries import QUERIES, SQL
 
+    sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS FROM '{sf}/embeddings.parquet'")
-    for name in ("op8_top_k", "op12_vector_codes", "op13_hard_negatives"):
-        frame = QUERIES[name](spark, sf)
-        cols = sorted(frame.columns)
-        cur = con.execute(SQL[name])
-        have = [d[0] for d in cur.description]
-        want = sorted(json.dumps([r[have.index(c)] for c in cols]) for r in cur.fetchall())
-        assert sorted(json.dumps([r[c] for c in cols]) for r in frame.collect()) == want and want
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS FROM '{sf}/{table}.parquet'")
+    frame = QUERIES[name](spark, sf)
+    cols = sorted(frame.columns)
+    cur = con.execute(SQL[name])
+    have = [d[0] for d in cur.description]
+    want = sorted(json.dumps([r[have.index(c)] for c in cols]) for r in cur.fetchall())
+    assert sorted(json.dumps([r[c] for c in cols]) for r in frame.collect()) == want and want

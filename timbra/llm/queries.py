@@ -96,6 +96,9 @@ QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_quality
 WHOLE = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 
 def vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
     """Lloyd's rounds one after the other: entries (part, entry, place, c), then assignments."""
@@ -121,12 +124,41 @@ def vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str
 
 
 SQL: dict[str, str] = {
+    "op7_line_dedup": f"""
+        WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        n AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line FROM l),
+        k AS (SELECT doc_id, pos, line, trim(translate(line, '{UPPER}', lower('{UPPER}')), {BLANKS}) AS key FROM n),
+        g AS (SELECT key, min(doc_id) AS least FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+        m AS (SELECT doc_id, pos, line, coalesce(doc_id > least, false) AS gone FROM k LEFT JOIN g USING (key))
+        SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
     "op8_top_k": f"""
         WITH {WHOLE},
         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
               FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op10_suffix_dedup": """
+        WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        w AS (SELECT doc_id, pos, b[pos:pos + 49] AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS pos FROM b)),
+        g AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING count(*) > 1),
+        r AS (SELECT doc_id, pos, coalesce(pos > lag(pos) OVER d + 50, true) AS opens FROM w JOIN g USING (s) WHERE doc_id > least WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+        i AS (SELECT doc_id, pos, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM r),
+        spans AS (SELECT doc_id, min(pos) AS a, max(pos) + 50 AS z FROM i GROUP BY doc_id, run),
+        p AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS a, a AS z, 1 AS span, z - a AS gone FROM spans
+              UNION ALL SELECT b.doc_id, coalesce(max(z), 1), any_value(octet_length(b)) + 1, 0, 0 FROM b LEFT JOIN spans USING (doc_id) GROUP BY b.doc_id)
+        SELECT doc_id, any_value(octet_length(b)) AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(sum(span) AS BIGINT) AS n_spans,
+               sha256(unhex(string_agg(hex(b[p.a:p.z - 1]), '' ORDER BY p.a, p.z))) AS kept_sha256 FROM p JOIN b USING (doc_id) GROUP BY doc_id""",
+    "op11_minhash": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', lower('{UPPER}')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+                                                  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN links ON other = x),
+        least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN n USING (doc_id)""",
     "op12_vector_codes": vector_codes_sql(),
     "op13_hard_negatives": f"""
         WITH {WHOLE},
