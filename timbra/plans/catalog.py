@@ -475,7 +475,10 @@ def latency_percentiles(spark, d):
     return out.select(r6(F.col("p50"), "p50"), r6(F.col("p95"), "p95"), r6(F.col("p99"), "p99"), F.round("mean", 4).alias("mean"), "max")
 
 
-@query()
+@query(f"""WITH RECURSIVE {Q.MARKS}, z AS (SELECT doc_id, score, 1 - quality AS y, ln(least(greatest(score, 1e-6), 1 - 1e-6) / (1 - least(greatest(score, 1e-6), 1 - 1e-6))) AS z FROM m WHERE quality IS NOT NULL), e AS (SELECT ln((1 - 1e-6) / 1e-6) AS e),
+  t AS (SELECT avg(z) AS z, count(*) AS n, sum(y) AS pos FROM z, e GROUP BY floor((z + e) / (2 * e) * 4096)), s AS (SELECT 0 AS i, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b
+    UNION ALL SELECT i + 1, any_value(a) - 0.15::DOUBLE * sum((n / (1 + exp(-greatest(-60, least(60, a * z + b)))) - pos) * z) / sum(n), any_value(b) - 0.15::DOUBLE * sum(n / (1 + exp(-greatest(-60, least(60, a * z + b)))) - pos) / sum(n) FROM s, t WHERE i < 200 GROUP BY i)
+  SELECT doc_id, round(1 / (1 + exp(-(a * ln(least(greatest(score, 1e-4), 1 - 1e-4) / (1 - least(greatest(score, 1e-4), 1 - 1e-4))) + b))), 6) AS calibrated FROM z, s WHERE i = 200""")
 def platt_calibration(spark, d):
     rows = Q.marks(spark, d).filter("quality is not null").withColumn("y", 1 - F.col("quality"))
     a, b = M.platt(rows)
@@ -696,3 +699,137 @@ def recording_answers(spark, d):
 
     out = C.answers(C.recordings_judged(pcm.select(F.col("window_id").cast("string").alias("name"), to_pcm16(F.col("samples")).alias("content")), "name", "content"))
     return out.select("session_id", "verdict", "score", "peak_score", "band", "duration_seconds", "windows_analyzed", F.size("timeline").alias("points"), "n_alerts")
+
+
+SPECTRA_BANDS = ((0, 300), (300, 1000), (1000, 2000), (2000, 4000), (4000, 6000), (6000, 8000))
+SHAPES = ("spec_centroid", "spec_spread", "spec_rolloff85", "spec_rolloff95", "spec_flatness", "spec_entropy", "spec_slope", "spec_flux", "spec_crest")
+SPECTRAL = tuple(f"{n}_{s}" for n in (*SHAPES, *(f"mfcc{i}" for i in range(13))) for s in ("mean", "std"))
+SPECTRAL += tuple(f"band_{a}_{b}" for a, b in SPECTRA_BANDS) + ("mfcc_delta_energy", "mfcc_delta_std", "env_roughness", "env_second_diff", "env_lag1_autocorr", "mel_frame_corr")
+
+
+@query(f"""WITH e AS (SELECT vec_id // 80 AS window_id, row_number() OVER (PARTITION BY vec_id // 80 ORDER BY vec_id) - 1 AS r, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+  x AS (SELECT window_id, flatten(list(x ORDER BY r)) AS x FROM e GROUP BY window_id), hann AS (SELECT list(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * k / 511) ORDER BY k) AS h FROM range(512) AS r(k)),
+  fr AS (SELECT window_id, t, list_transform(list_zip(x[t * 160 + 1:t * 160 + 512], h), lambda z: z[1] * z[2]) AS f FROM (SELECT *, unnest(range((len(x) - 512) // 160 + 1)) AS t FROM x WHERE len(x) >= 4000), hann),
+  ba AS (SELECT b, list(cos(2 * pi() * (b * k % 512) / 512) ORDER BY k) AS c, list(sin(2 * pi() * (b * k % 512) / 512) ORDER BY k) AS s FROM range(257) AS q(b), range(512) AS r(k) GROUP BY b),
+  sp AS MATERIALIZED (SELECT window_id, t, b, b * 31.25::DOUBLE AS hz, pow(list_dot_product(f, c), 2) + pow(list_dot_product(f, s), 2) AS p FROM fr, ba),
+  tot AS (SELECT *, sum(p) OVER (PARTITION BY window_id, t) + 1e-12 AS total, sqrt(p) AS mag FROM (SELECT window_id, t, b, hz, greatest(p, 1e-24) AS p FROM sp)),
+  up AS (SELECT *, sum(p / total) OVER (PARTITION BY window_id, t ORDER BY b) AS up, ln(hz + 1) - avg(ln(hz + 1)) OVER (PARTITION BY window_id, t) AS lf, mag / sqrt(sum(p) OVER (PARTITION BY window_id, t)) AS unit FROM tot),
+  fl AS (SELECT a.window_id, a.t, sqrt(sum(pow(a.unit - b.unit, 2))) AS flux FROM up a JOIN up b ON a.window_id = b.window_id AND a.t = b.t + 1 AND a.b = b.b GROUP BY ALL),
+  sh AS (SELECT window_id, t, sum(p / total * hz) AS spec_centroid, sqrt(greatest(sum(p / total * hz * hz) - pow(sum(p / total * hz), 2), 0)) AS spec_spread, min(hz) FILTER (up >= 0.85::DOUBLE) AS spec_rolloff85, min(hz) FILTER (up >= 0.95::DOUBLE) AS spec_rolloff95,
+    exp(avg(ln(p))) / (avg(p) + 1e-12) AS spec_flatness, -sum(p / total * ln(p / total + 1e-12)) / ln(257) AS spec_entropy, sum(ln(p) * lf) / sum(lf * lf) AS spec_slope, coalesce(any_value(flux), 0) AS spec_flux, max(mag) / (avg(mag) + 1e-12) AS spec_crest FROM up LEFT JOIN fl USING (window_id, t) GROUP BY window_id, t),
+  pt AS (SELECT m, 700 * (pow(10, (low + (2595 * log10(1 + 8000 / 700::DOUBLE) - low) * m / 41) / 2595) - 1) AS p FROM range(42) AS r(m), (SELECT 2595 * log10(1 + 20 / 700::DOUBLE) AS low)),
+  fb AS (SELECT a.m, b, greatest(least((b * 31.25::DOUBLE - a.p) / (k.p - a.p), (z.p - b * 31.25::DOUBLE) / (z.p - k.p)), 0) * 2 / (z.p - a.p) AS w FROM pt a JOIN pt k ON k.m = a.m + 1 JOIN pt z ON z.m = a.m + 2, range(257) AS r(b)),
+  me AS MATERIALIZED (SELECT window_id, t, m, sum(p * w) AS mel FROM sp JOIN fb USING (b) GROUP BY ALL),
+  ce AS MATERIALIZED (SELECT window_id, t, i, sum(ln(mel + 1e-8) * cos(pi() * (m + 0.5::DOUBLE) * i / 40)) * sqrt(CASE i WHEN 0 THEN 1 ELSE 2 END / 40) AS c FROM me, range(20) AS r(i) GROUP BY window_id, t, i),
+  de AS (SELECT (coalesce(lead(c) OVER o, c) - coalesce(lag(c) OVER o, c) + 2 * (coalesce(lead(c, 2) OVER o, lead(c) OVER o, c) - coalesce(lag(c, 2) OVER o, lag(c) OVER o, c))) / 10 AS d, window_id FROM ce WINDOW o AS (PARTITION BY window_id, i ORDER BY t)),
+  en AS (SELECT window_id, t, ln(sum(mel) + 1e-8) AS e, sqrt(sum(mel * mel)) + 1e-12 AS norm FROM me GROUP BY ALL),
+  ed AS (SELECT window_id, e - avg(e) OVER (PARTITION BY window_id) AS e, lag(e) OVER o - avg(e) OVER (PARTITION BY window_id) AS e1, e - lag(e) OVER o AS d1, e - 2 * lag(e) OVER o + lag(e, 2) OVER o AS d2 FROM en WINDOW o AS (PARTITION BY window_id ORDER BY t)),
+  fc AS (SELECT a.window_id, a.t, sum(a.mel * b.mel) / any_value(x.norm * y.norm) AS c FROM me a JOIN me b ON a.window_id = b.window_id AND a.m = b.m AND a.t = b.t + 1 JOIN en x ON x.window_id = a.window_id AND x.t = a.t JOIN en y ON y.window_id = b.window_id AND y.t = b.t GROUP BY a.window_id, a.t),
+  u AS (SELECT window_id, feature || '_mean' AS feature, avg(v) AS v FROM (UNPIVOT sh ON COLUMNS(* EXCLUDE (window_id, t)) INTO NAME feature VALUE v) GROUP BY ALL UNION ALL SELECT window_id, feature || '_std', stddev_pop(v) FROM (UNPIVOT sh ON COLUMNS(* EXCLUDE (window_id, t)) INTO NAME feature VALUE v) GROUP BY ALL
+    UNION ALL SELECT window_id, 'mfcc' || i || '_mean', avg(c) FROM ce WHERE i < 13 GROUP BY ALL UNION ALL SELECT window_id, 'mfcc' || i || '_std', stddev_pop(c) FROM ce WHERE i < 13 GROUP BY ALL
+    UNION ALL SELECT window_id, 'mfcc_delta_energy', avg(abs(d)) FROM de GROUP BY ALL UNION ALL SELECT window_id, 'mfcc_delta_std', stddev_pop(d) FROM de GROUP BY ALL
+    """ + "".join(f"UNION ALL SELECT window_id, 'band_{a}_{b}', sum(p) FILTER (hz >= {a} AND hz < {b}) / (sum(p) + 1e-12) FROM tot GROUP BY ALL " for a, b in SPECTRA_BANDS) + """
+    UNION ALL SELECT window_id, 'env_roughness', avg(abs(d1)) / (stddev_pop(e) + 1e-12) FROM ed GROUP BY ALL UNION ALL SELECT window_id, 'env_second_diff', avg(abs(d2)) / (stddev_pop(e) + 1e-12) FROM ed GROUP BY ALL
+    UNION ALL SELECT window_id, 'env_lag1_autocorr', sum(e * e1) / (sum(e * e) + 1e-12) FROM ed GROUP BY ALL UNION ALL SELECT window_id, 'mel_frame_corr', avg(c) FROM fc GROUP BY ALL)
+  SELECT window_id, feature, round(v, 6) AS value FROM u""")
+def spectral_features(spark, d):
+    """Shape, bands, cepstra, their changes and the loudness envelope, from a short-time transform of each signal."""
+    from ..operators.features import extract
+
+    rows = extract(_signals(spark, d), ["window_id"]).select("window_id", F.explode("features").alias("feature", "value"))
+    return rows.filter(F.col("feature").isin(*SPECTRAL)).select("window_id", "feature", r6(F.col("value"), "value"))
+
+
+@query(f"""WITH {Q.VECTORS}, x AS (SELECT vec_id, vector AS v, len(vector) AS n, list_max(list_transform(vector, lambda x: abs(x))) AS peak FROM e),
+  p AS (SELECT *, list_transform(v, lambda x, i: CASE WHEN i = 1 THEN x ELSE x - 0.97::DOUBLE * v[i - 1] END) AS pre, list_transform(range(1, n // 2 + 1), lambda i: (v[2 * i - 1] + v[2 * i]) / 2 / 0.25::DOUBLE) AS mono FROM x),
+  m AS (SELECT *, greatest(1, list_max(list_transform(mono, lambda x: abs(x)))) AS over, list_position(v, list_max(v)) AS top FROM p)
+  SELECT vec_id, n / 16000 AS seconds, round(list_sum(list_transform(pre, lambda x, i: x * i)), 6) AS emphasized, round(list_sum(list_transform(v, lambda x, i: x * (0.95::DOUBLE / peak) * i)), 6) AS normalized, round(list_sum(list_transform(mono, lambda x, i: x / over * i)), 6) AS mono,
+    round(CASE WHEN top IN (1, n) THEN top WHEN abs(v[top - 1] - 2 * v[top] + v[top + 1]) < 1e-12 THEN top ELSE top + 0.5::DOUBLE * (v[top - 1] - v[top + 1]) / (v[top - 1] - 2 * v[top] + v[top + 1]) END, 6) AS peak_at FROM m""")
+def sample_forms(spark, d):
+    """Vectors as samples: length, emphasis, level, two channels as one, the place of the peak. Arrays are told by
+    the sum of value times position."""
+    v = F.col("vector")
+    told = lambda xs: X.total(F.transform(xs, lambda x, i: x * (i + 1)))
+    pairs = F.transform(F.sequence(F.lit(1), F.floor(F.size(v) / 2).cast("int")), lambda i: F.slice(v, 2 * i - 1, 2))
+    top = F.array_position(v, F.array_max(v)).cast("int")
+    inner = F.when((top > 1) & (top < F.size(v)), X.parabolic_peak(F.get(v, top - 2), F.get(v, top - 1), F.get(v, top), top)).otherwise(top)
+    return Q.vectors(spark, d).select("vec_id", X.duration_seconds(v).alias("seconds"), r6(told(X.preemphasis(v)), "emphasized"), r6(told(X.peak_normalize(v)), "normalized"), r6(told(X.float_mono(pairs, 0.25)), "mono"), r6(inner, "peak_at"))
+
+
+#: Reasons that stand beside alerts, by how many there are.
+REASONS = [(r[1], r[0]) for r in dims.ACOUSTIC_RULES[:3]]
+CHANNELS_SQL = "ch(profile, own) AS (VALUES " + ", ".join(f"('{p[0]}', {p[4]!r})" for p in dims.PROFILES) + ")"
+
+
+@query(f"""WITH {Q.WINDOWS}, {PROFILES_SQL}, {CHANNELS_SQL}, b AS (SELECT event_id, session_id, score, k, {EVENT_PROFILE} AS profile, {BAND.format(s='score')} AS band FROM w LEFT JOIN p ON p.profile = {EVENT_PROFILE}),
+  a AS (SELECT *, CASE band {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dims.ACTIONS.items())} END AS action, {[r[0] for r in REASONS]!r}[:k % 4] AS labels, {[f"  - {a}: {b}" for a, b in REASONS]!r}[:k % 4] AS told, printf('%.0f', round_even(score, 0)) AS shown FROM b),
+  t AS (SELECT *, '[' || band || '] Call ' || session_id || ': risk ' || shown || '/100. ' || CASE WHEN len(labels) > 0 THEN array_to_string(labels[:2], '; ') ELSE 'no single dominant factor' END || '. ' || action AS line FROM a)
+  SELECT event_id, line, substr(line, 1, 160) AS sms, 'Call ' || session_id || chr(10) || chr(10) || 'Risk score: ' || shown || '/100 (' || band || ')' || chr(10) || 'Recommended action: ' || action || chr(10) || chr(10) || array_to_string(list_prepend('Contributing factors:', told), chr(10)) AS email,
+    CASE WHEN len(list_filter(own, lambda c: c IN ('websocket', 'sms'))) > 0 THEN array_to_string(list_filter(own, lambda c: c IN ('websocket', 'sms')), ',') ELSE 'console' END AS channels FROM t LEFT JOIN ch USING (profile)""")
+def alert_messages(spark, d):
+    """What each channel would say of every window, and the channels that its profile may use."""
+    w = S.banded(_event_profile(Q.windows(spark, d)), dims.profiles(spark), "score").join(dims.profiles(spark).select("profile", "alert_channels"), "profile", "left")
+    some = F.slice(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("detail")) for a, b in REASONS]), F.lit(1), F.col("k") % 4)
+    action, session = X.lookup(F.col("band"), dims.ACTIONS, ""), F.col("session_id").cast("string")
+    line = T.alert_text(F.col("band"), session, F.col("score"), F.transform(some, lambda f: f["label"]), action)
+    return w.select("event_id", line.alias("line"), T.sms(line).alias("sms"), T.email_body(F.concat(F.lit("Call "), session), F.col("score"), F.col("band"), action, some).alias("email"), F.array_join(R.channels_for(F.col("alert_channels"), ["websocket", "sms"]), ",").alias("channels"))
+
+
+CONSENTS = ("recorded", "Analysed", "none-required", "no", "")
+CONTEXT_SQL = {
+    "caller_number": "'\"+91' || request_id || '\"'", "claimed_identity": "CASE WHEN request_id % 9 <> 0 THEN '\"c' || session_id || '\"' END", "claimed_role": "'\"' || claimed_role || '\"'", "known_contact": "known_contact", "caller_id_verified": "caller_id_verified", "origin": "'\"' || origin || '\"'",
+    "transaction_amount": "CAST(amount AS DECIMAL(18,2))", "local_hour": "local_hour", "prior_fraud_reports": "prior_fraud_reports", "account_age_days": "account_age_days", "first_contact": "first_contact", "transcript": "'\"' || transcript || '\"'",
+}
+
+
+@query(f"""WITH {Q.REQUESTS} SELECT request_id, '{{' || concat_ws(',', {", ".join(f"'{chr(34)}{n}{chr(34)}:' || {e}" for n, e in CONTEXT_SQL.items())}) || '}}' AS context, coalesce(lower({list(CONSENTS)!r}[request_id % 6 + 1]) IN ('recorded', 'analysed', 'analyzed', 'none-required'), false) AS consented,
+    CASE request_id % 3 WHEN 0 THEN 'Privacy mode: scores only — no audio and no voice features are stored.' WHEN 1 THEN 'Privacy mode: features only — no audio is written to disk. Feature vectors are deleted after ' || (session_id * 1000 // 3600) || ' h.'
+      ELSE 'Privacy mode: RAW AUDIO RETAINED for ' || (session_id * 100 // 60) || ' min. This is opt-in and must be justified to your DPO.' END AS banner FROM r""")
+def context_texts(spark, d):
+    """Each request's call metadata as JSON without unknown facts, its consent header, and the notice of a retention policy."""
+    k, own = F.col("request_id"), {"transaction_amount": F.col("amount").cast("decimal(18,2)")}
+    own |= {"caller_number": F.concat(F.lit("+91"), k), "claimed_identity": F.when(k % 9 != 0, F.concat(F.lit("c"), "session_id"))}
+    header = F.get(F.array(*map(F.lit, CONSENTS)), (k % 6).cast("int"))
+    mode = F.when(k % 3 == 0, "none").when(k % 3 == 1, "features_only").otherwise("raw")
+    return Q.requests(spark, d).select("request_id", T.context_json(lambda n: own.get(n, F.col(n))).alias("context"), F.coalesce(T.consented(header), F.lit(False)).alias("consented"), T.retention_banner(mode, F.col("session_id") * 1000, F.col("session_id") * 100).alias("banner"))
+
+
+@query("""SELECT event_id, CAST(round(value, 2) AS DECIMAL(12,2))::DOUBLE AS amount, 1 AS numbers FROM events""")
+def extra_facts(spark, d):
+    """The numbers of a payload that are not known fields; text and known keys stay out."""
+    payload = F.concat(F.lit('{"known":'), F.get_json_object("props", "$.k"), F.lit(',"note":"a","amount":'), F.col("value").cast("decimal(12,2)").cast("string"), F.lit("}"))
+    m = T.extra_numbers(payload, ["known"])
+    return Q.table(spark, d, "events").select("event_id", m["amount"].alias("amount"), F.size(m).alias("numbers"))
+
+
+@query(f"""WITH RECURSIVE {JUDGED}, k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY window_index DESC) AS n FROM j)
+  SELECT session_id, count(*) AS windows_analyzed, string_agg(window_index || ':' || printf('%.1f', score) || ':' || band, ' ' ORDER BY window_index) FILTER (n <= 12) AS trail FROM k GROUP BY session_id""")
+def report_trails(spark, d):
+    """Each call's report with its last twelve assessments in order."""
+    j = _judged(spark, d)
+    out = R.report_with_trail(R.session_report(j), j, limit=12)
+    told = F.transform("trail", lambda x: F.concat_ws(":", x["window_index"], F.format_string("%.1f", x["score"]), x["band"]))
+    return out.select("session_id", "windows_analyzed", F.array_join(told, " ").alias("trail"))
+
+
+@query(f"""WITH {Q.WINDOWS}, {Q.LAYERS}, c AS (SELECT session_id, window_index, layer, CAST(confidence AS DOUBLE) * (score - 0.5::DOUBLE) AS c FROM l),
+  n AS (SELECT *, row_number() OVER (PARTITION BY session_id, window_index ORDER BY abs(c) DESC, CASE layer WHEN 'acoustic' THEN 0 WHEN 'prosodic' THEN 1 WHEN 'speaker' THEN 2 ELSE 3 END) AS rank FROM c)
+  SELECT session_id, window_index, rank, layer AS code, round(c, 10) + 0.0 AS contribution FROM n WHERE rank <= 3""")
+def top_weights(spark, d):
+    """The three layers that weigh most in each window, either way."""
+    pulls = F.transform("layers", lambda x: F.struct(x["layer"].alias("code"), (x["confidence"] * (x["score"] - 0.5)).alias("contribution")))
+    rows = Q.layered(Q.windows(spark, d)).select("session_id", "window_index", F.posexplode(S.top_factors(pulls)).alias("n", "x"))
+    return rows.select("session_id", "window_index", (F.col("n") + 1).cast("long").alias("rank"), "x.code", (F.round("x.contribution", 10) + 0.0).alias("contribution"))
+
+
+@query("""WITH c AS (SELECT 'p' || c_custkey AS profile, 20.0::DOUBLE + c_custkey % 10 AS elevated, 50.0::DOUBLE AS high, 80.0::DOUBLE AS critical, 'websocket' AS channels FROM customer),
+  s AS (SELECT 'p' || (s_suppkey * 2) AS profile, 30.0::DOUBLE AS elevated, 55.0::DOUBLE + s_suppkey % 7 AS high, 90.0::DOUBLE AS critical, 'email,sms' AS channels FROM supplier)
+  SELECT * FROM (SELECT * FROM c WHERE profile NOT IN (SELECT profile FROM s) UNION ALL SELECT * FROM s) WHERE profile <> 'p4'""")
+def profile_changes(spark, d):
+    """Profiles upserted by name, then one deleted."""
+    made = lambda key, e, h, c, ch: (F.concat(F.lit("p"), key).alias("profile"), e.alias("elevated"), h.alias("high"), c.alias("critical"), F.array(*map(F.lit, ch)).alias("alert_channels"))
+    num = lambda v: F.lit(float(v))
+    current = Q.table(spark, d, "customer").select(*made(F.col("c_custkey"), num(20) + F.col("c_custkey") % 10, num(50), num(80), ["websocket"]))
+    new = Q.table(spark, d, "supplier").select(*made(F.col("s_suppkey") * 2, num(30), num(55) + F.col("s_suppkey") % 7, num(90), ["email", "sms"]))
+    out = dims.delete_profile(dims.upsert_profile(current, new), "p4")
+    return out.select("profile", "elevated", "high", "critical", F.array_join("alert_channels", ",").alias("channels"))
