@@ -37,7 +37,7 @@ UNSEEN = 255
 #: times larger than all before.
 GROWTH = 4
 #: Exchange ends when a round raises the likelihood by less than this share of it.
-TOLERANCE = 1e-5
+TOLERANCE = 1e-4
 #: Pseudo-counts of the class unigram behind each class bigram.
 PRIOR = 20.0
 #: Text bytes in an envelope and for each partition of the tables; pairs counted at once.
