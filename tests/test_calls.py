@@ -357,6 +357,16 @@ def test_flags_views_and_weights(spark, stored):
     assert [(r.allowed, r.blocked, r.needs_step_up) for r in R.approval_flags(decisions).collect()] == [(True, False, False), (False, True, False), (False, False, True), (False, False, False)]
 
 
+def test_views_round_ties_half_up(spark):
+    """0.35 * 1.1 + 0.65 * 90.1 is a tie that its double lies just below."""
+    from timbra.operators import reports as R
+
+    tie = 0.35 * 1.1 + 0.65 * 90.1
+    assert tie < 58.95
+    rows = spark.createDataFrame([("a", "window", 0, tie, "HIGH", tie, 0, None), ("b", "window", 0, 58.94, "HIGH", 58.94, 0, None)], "session_id string, kind string, window_index long, score double, band string, peak double, at long, payload string")
+    assert {r.session_id: (r.score, r.peak_score) for r in R.session_views(rows).collect()} == {"a": (59.0, 59.0), "b": (58.9, 58.9)}
+
+
 def test_channels_fail_for_themselves(spark, stored):
     import http.server
     import threading

@@ -64,6 +64,12 @@ def threshold_shift(amount: Column, fraud_reports: Column, known_contact: Column
     return F.greatest(F.least(total, F.lit(dims.MAX_SHIFT)), F.lit(-dims.MAX_SHIFT))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Half up at the scaled value, as SQL engines round a double: smoothing leaves many a tie a
+    bit below (58.949999999999996), which ``F.round`` takes down by its decimal digits."""
+    return F.round(value * float(10**digits), 0) / float(10**digits)
+
+
 def lowered(threshold: Column, shift: Column) -> Column:
     return F.greatest(F.lit(0.0), threshold - shift)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.exprs import band_rank, verdict
+from ..functions.exprs import band_rank, rounded, verdict
 from .fold import folded
 
 
@@ -151,7 +151,7 @@ def session_views(rows: DataFrame) -> DataFrame:
     g = rows.groupBy("session_id").agg(last.alias("w"), report.alias("r"), F.max("at").alias("at"), F.count_if(kind("window")).alias("windows"), F.count_if(kind("alert")).alias("alerts"), F.count_if(kind("refused")).alias("refused"))
     return g.select(
         "session_id", (F.col("r").isNull() & (F.col("refused") == 0)).alias("open"), (F.col("at") / 1e6).alias("last_activity"), "r.profile", "r.language", "r.identity",
-        F.round(F.coalesce("r.final_score", "w.score", F.lit(0.0)), 1).alias("score"), F.coalesce("r.band", "w.band", F.lit("LOW")).alias("band"), F.round(F.coalesce("r.peak_score", "w.peak", F.lit(0.0)), 1).alias("peak_score"),
+        rounded(F.coalesce("r.final_score", "w.score", F.lit(0.0)), 1).alias("score"), F.coalesce("r.band", "w.band", F.lit("LOW")).alias("band"), rounded(F.coalesce("r.peak_score", "w.peak", F.lit(0.0)), 1).alias("peak_score"),
         F.coalesce("r.stats.windows_analyzed", "windows").alias("windows_analyzed"), F.coalesce("r.stats.alerts_raised", "alerts").alias("alerts_raised"),
     )
 

@@ -685,7 +685,7 @@ def live_sessions(spark, d):
     told = F.to_json(F.struct(F.lit("done").alias("profile"), F.col("x.score").alias("final_score"), F.col("peak").alias("peak_score"), F.col("x.band").alias("band"), F.struct(F.col("n").alias("windows_analyzed"), F.lit(7).alias("alerts_raised")).alias("stats")))
     ends = rows.filter("kind = 'window' and session_id % 3 = 0").groupBy("session_id").agg(F.max_by(F.struct("score", "band"), "window_index").alias("x"), F.max("peak").alias("peak"), F.count("*").alias("n"), F.max("at").alias("at")).select("session_id", F.lit("closed").alias("kind"), told.alias("payload"), "at")
     out = R.session_views(rows.unionByName(ends, allowMissingColumns=True))
-    return out.select("session_id", "open", F.round("last_activity", 3).alias("last_activity"), "profile", "score", "band", "peak_score", "windows_analyzed", "alerts_raised")
+    return out.select("session_id", "open", X.rounded(F.col("last_activity"), 3).alias("last_activity"), "profile", "score", "band", "peak_score", "windows_analyzed", "alerts_raised")
 
 
 @query()
