@@ -87,6 +87,17 @@ def test_rules_skip_what_cannot_be_judged(spark):
     assert got == {(1, "comb_strength"): 1.0, (2, "residual_kurtosis"): 1.0}
 
 
+def test_rule_evidence_is_compiled(spark):
+    """The rows of ``judged_rules``, without an array function that Spark interprets."""
+    rules = dims.rules(spark)
+    names = [r.feature for r in rules.collect()]
+    rows = spark.createDataFrame([(w, {n: (w * 7 + k) % 5 / 3 - 0.5 for k, n in enumerate(names) if (w + k) % 4}) for w in range(12)] + [(12, {}), (13, None), (14, {names[0]: float("nan"), names[1]: float("inf")})], "w long, features map<string,double>")
+    own = S.rule_evidence(rows, rules, ["w"])
+    assert "lambda" not in own._jdf.queryExecution().executedPlan().toString()
+    want = rows.select("w", F.inline(S.judged_rules(F.col("features"), rules)))
+    assert own.columns == want.columns and sorted(map(str, own.collect())) == sorted(map(str, want.collect()))
+
+
 @pytest.mark.parametrize(("n", "starts", "tails"), [(48000, [0, 0.5, 1, 1.5, 2, 2.5], 1), (15999, [0], 1), (6399, [], 0), (16000, [0, 0.5], 1), (22000, [0, 0.5], 1), (0, [], 0)])
 def test_windows(spark, n, starts, tails):
     rows = W.window_spans(spark.createDataFrame([(1, n)], "call long, n_samples long")).orderBy("window_index").collect()

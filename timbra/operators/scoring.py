@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,23 @@ def judged_rules(features: Column, rules: DataFrame) -> Column:
 
 
 def rule_evidence(features: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each window and rule that can be judged: strength and weighted contribution."""
-    return features.select(*keys, F.inline(judged_rules(F.col("features"), rules)))
+    """A row for each window and rule that can be judged: strength and weighted contribution.
+
+    The map is read once a feature and leaves before the rules are dealt out as (rule, value)
+    rows; what a rule says of a value is worked out there, once for all rules, in compiled code."""
+    table = rules.collect()
+    names = list(dict.fromkeys(n for x in table for n in (x.feature, *(x.requires or ()))))
+    value = {n: F.col(f"__f{k}") for k, n in enumerate(names)}
+    read = features.select(*keys, *[F.try_element_at("features", F.lit(n)).cast("double").alias(f"__f{k}") for k, n in enumerate(names)])
+
+    def judged(x) -> Column:
+        needs = [F.abs(F.coalesce(value[n], F.lit(0.0))) > EPS for n in x.requires or ()]
+        return F.when(reduce(lambda a, b: a & b, needs), value[x.feature]) if needs else value[x.feature]
+
+    dealt = read.select(*keys, F.posexplode(F.array(*map(judged, table))).alias("__rule", "value")).filter("value is not null")
+    of = lambda name: F.get(F.array(*[F.lit(x[name]) for x in table]), F.col("__rule"))
+    strength = ramp(F.col("value"), of("low"), of("high"))
+    return dealt.select(*keys, of("layer").alias("layer"), of("feature").alias("feature"), of("label").alias("label"), "value", of("weight").alias("weight"), strength.alias("strength"), (strength * of("weight")).alias("contribution"))
 
 
 def rule_layers(evidence: Column, rules: DataFrame) -> Column:
