@@ -659,3 +659,36 @@ def test_enrolments_speech_and_context(spark):
     assert 0.9 * 18000 < rows[0].n < 1.15 * 18000 and rows[1].n == rows[2].n == 0  # frames overlap by half
     c = spark.range(1).withColumns({n: F.lit(None).cast("string") for n in T.CONTEXT_FIELDS} | {"origin": F.lit("voip")})
     assert json.loads(one(spark, T.context_json(lambda n: F.lit("voip") if n == "origin" else F.lit(None).cast("string")))) == {"origin": "voip"} and c.count() == 1
+
+
+def test_assessments_of_a_batch_at_once():
+    """All windows as columns give what each gives alone, unknown facts and empty windows included."""
+    import pyarrow as pa
+
+    from timbra.operators import layers as J
+
+    n, rng = 200, np.random.default_rng(3)
+    registry = J.rules_only().register(J.Layer("context", 0.08, J.context, (), ("context",)))
+    rules = {r[0]: r for r in dims.ACOUSTIC_RULES + dims.PROSODIC_RULES}
+    values = np.array([[rng.choice([np.nan, 0.0, rules[f][2], rules[f][3], (rules[f][2] + rules[f][3]) / 2, rng.normal()]) if f in rules else rng.choice([np.nan, 0.0, 60.0]) for f in registry.features] for _ in range(n)])
+    values[0], values[1] = np.nan, 0.0
+    some = {
+        "claimed_identity": ["", None, "the CEO"], "claimed_role": ["", None, "clerk", "Managing Director"], "origin": ["", None, "VoIP", "pstn", "moon"], "known_contact": [True, False, None], "caller_id_verified": [True, False, None],
+        "transcript": [None, "", "hello", "URGENT, share the code, right now"], "transaction_amount": [None, 0.0, 2.5e6, 1e9], "prior_fraud_reports": [None, 0, 2, 9], "local_hour": [None, 3, 12, 22], "account_age_days": [None, 3, 300], "first_contact": [True, False, None],
+    }
+    facts = {f"c:{k}": pa.array([xs[rng.integers(len(xs))] for _ in range(n)], {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "long": pa.int64()}[J.CONTEXT_KINDS[k]]) for k, xs in some.items()}
+    facts = {k: v.take(pa.array([None, *range(1, n)], pa.int64())) for k, v in facts.items()}  # nothing is known of the first
+    profile = pa.array([["default", "consumer", None, "no such"][k % 4] for k in range(n)])
+    elapsed, speech, override = [0.5, 4.0] * (n // 2), [1.0] * (n // 2) + [0.1] * (n // 2), [None, 35.0, None, 88.8] * (n // 4)
+    columns = {"f": pa.ListArray.from_arrays(pa.array(range(0, values.size + 1, values.shape[1]), pa.int32()), pa.array(values.ravel(), from_pandas=True)), **facts}
+    batch, policy = J.batch_of(columns, registry, n), J.Policy(heuristic=True)
+    votes = registry.vote(batch)
+    fused = J.fuse(votes, registry.fusion())
+    whole = J.judged_columns(votes, fused, policy, profile, batch.context, elapsed, speech, override)
+    whole = [dict(zip("score band action probability confidence policy threshold_shift headline factors counter_factors layer_summary caveats".split(), r, strict=True)) for r in zip(*(c.to_pylist() for c in whole), strict=True)]
+    plain = J.Batch(n, batch.features, batch.vectors, batch.past, batch.enrolled, list(batch.context))
+    alone = registry.vote(plain)
+    again = J.fuse(alone, registry.fusion())
+    for i in range(n):
+        assert whole[i] == J.judged(alone, again, i, policy, profile[i].as_py(), plain.context[i], elapsed[i], speech[i], override[i])
+    assert {len(r["factors"]) for r in whole} >= {0, 4} and {r["band"] for r in whole} == set(dims.BANDS) and {len(r["counter_factors"]) for r in whole} >= {0, 1, 2}

@@ -265,13 +265,15 @@ def assessed_windows(spark, d):
     facts = r.select(F.col("request_id").alias("window_id"), "profile", *[c for c in J.CONTEXT_KINDS if c in r.columns])
     layers = J.rules_only().register(J.Layer("context", dims.FUSION_WEIGHTS["context"], J.context, (), ("context",)))
     acoustic = J.Layer("acoustic", dims.FUSION_WEIGHTS["acoustic"], J.acoustic, layers.layers["acoustic"].features)
-    rows = Q.features(spark, d).join(facts, "window_id").repartition(spark.sparkContext.defaultParallelism, "window_id")  # small rows, much work: not to be coalesced
+    n = 4 * spark.sparkContext.defaultParallelism  # small rows, much work: not to be coalesced, and dealt once, for the join
+    rows = Q.features(spark, d).repartition(n, "window_id").join(facts.repartition(n, "window_id"), "window_id")
     out = J.verdicts(rows, ["window_id"], layers.register(acoustic), J.Policy(heuristic=True))
     told = lambda xs, f, by: F.array_join(F.transform(xs, f), by)
+    four = lambda x: F.round(x, 4).cast("decimal(10,4)").cast("string")
     return out.select(
         "window_id", "policy", F.round("score", 1).alias("score"), "band", r6(F.col("probability"), "probability"), r6(F.col("confidence"), "confidence"), r6(F.col("threshold_shift"), "threshold_shift"), "action", "headline",
-        told("factors", lambda f: f["code"], ",").alias("factors"), told("factors", lambda f: f["detail"], " | ").alias("details"), told("factors", lambda f: F.format_string("%.4f", F.round(f["contribution"], 4)), ",").alias("shares"),
-        told("layer_summary", lambda x: F.concat_ws(":", x["layer"], x["status"], F.format_string("%.4f", x["weight_share"])), ",").alias("summary"), told("counter_factors", lambda f: f["code"], ",").alias("against"), F.array_join("caveats", " | ").alias("caveats"),
+        told("factors", lambda f: f["code"], ",").alias("factors"), told("factors", lambda f: f["detail"], " | ").alias("details"), told("factors", lambda f: four(f["contribution"]), ",").alias("shares"),
+        told("layer_summary", lambda x: F.concat_ws(":", x["layer"], x["status"], four(x["weight_share"])), ",").alias("summary"), told("counter_factors", lambda f: f["code"], ",").alias("against"), F.array_join("caveats", " | ").alias("caveats"),
     )
 
 
