@@ -692,3 +692,30 @@ def test_assessments_of_a_batch_at_once():
     for i in range(n):
         assert whole[i] == J.judged(alone, again, i, policy, profile[i].as_py(), plain.context[i], elapsed[i], speech[i], override[i])
     assert {len(r["factors"]) for r in whole} >= {0, 4} and {r["band"] for r in whole} == set(dims.BANDS) and {len(r["counter_factors"]) for r in whole} >= {0, 1, 2}
+
+
+def test_windows_reach_python_in_pieces(spark):
+    """A row to Python holds a bounded part of a window, and batches that cut windows change nothing."""
+    from timbra.operators import features as E
+
+    rng = np.random.default_rng(5)
+    rows = [(w, None if w == 3 else [float(x) for x in rng.normal(size=(16000, 4000, 3999, 0, 7777)[w % 5])]) for w in range(19)]
+    df = spark.createDataFrame(rows, "w long, samples array<double>").coalesce(1)
+    own = E.extract(df, ["w"])
+    assert "posexplode" in own._jdf.queryExecution().executedPlan().toString() and E.PIECE <= 1000
+    whole = {r.w: r for r in own.collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        cut = {r.w: r for r in E.extract(df, ["w"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert whole == cut and sorted(whole) == list(range(19))
+    from timbra.kernels import dsp
+
+    for w, x in rows:
+        if x is None or len(x) < E.MIN_SAMPLES:
+            assert whole[w].features == {} and not any(whole[w].embedding)
+        else:
+            alone, _ = dsp.features(np.array(x)[None], *next(r[1:5] for r in dims.LANGUAGES if r[0] == "auto"))
+            assert whole[w].features == pytest.approx(alone[0])
